@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourceloom.plans import corpus_queries, log_queries, symbol_queries  # noqa: F401  they fill the registry
+from sourceloom.plans import corpus_queries, log_queries, stream_queries, symbol_queries  # noqa: F401  they fill the registry
 from sourceloom.plans.common import REGISTRY, Inputs, prepare
 
 
