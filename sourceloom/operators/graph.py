@@ -74,7 +74,9 @@ def topo_layers(ws: Workspace, paths: DataFrame, edges: DataFrame) -> DataFrame:
         recent.append(free)
         if len(recent) > COMPACT_EVERY:
             finished = reduce(DataFrame.unionAll, recent[:-1]).select("repo", F.col("path").alias("dst"))
-            open_edges = ws.save(open_edges.join(finished, ["repo", "dst"], "left_anti").select("repo", "src", "dst"))
+            old = open_edges
+            open_edges = ws.save(old.join(finished, ["repo", "dst"], "left_anti").select("repo", "src", "dst"))
+            ws.release(old)
             recent = [free]
     known = reduce(
         DataFrame.unionAll, [d.withColumn("layer", F.lit(i).cast("bigint")) for i, d in enumerate(layers)]
@@ -95,11 +97,18 @@ def migration_order(ws: Workspace, layers: DataFrame) -> DataFrame:
 
 def _trim_step(core: DataFrame) -> DataFrame:
     """Drop edges that start where nothing arrives or end where nothing starts."""
-    arrives = core.select("repo", F.col("dst").alias("src")).distinct()
-    starts = core.select("repo", F.col("src").alias("dst")).distinct()
+    ends = F.array(
+        F.struct(F.col("src").alias("node"), F.lit(True).alias("starts"), F.lit(False).alias("arrives")),
+        F.struct(F.col("dst").alias("node"), F.lit(False).alias("starts"), F.lit(True).alias("arrives")),
+    )
+    inner = (
+        core.select("repo", F.explode(ends).alias("e")).groupBy("repo", F.col("e.node").alias("node"))
+        .agg(F.bool_or("e.starts").alias("starts"), F.bool_or("e.arrives").alias("arrives"))
+        .filter("starts AND arrives").select("repo", "node")
+    )
     return (
-        core.join(arrives, ["repo", "src"], "left_semi")
-        .join(starts, ["repo", "dst"], "left_semi")
+        core.join(inner.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
+        .join(inner.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi")
         .select("repo", "src", "dst")
     )
 
@@ -111,11 +120,9 @@ def cycle_core(ws: Workspace, edges: DataFrame) -> DataFrame:
     """
     core, seen = ws.save_counted(edges)
     while seen["rows"]:
-        before = seen["rows"]
-        step = core
-        for _ in range(HOPS_PER_ROUND):
-            step = _trim_step(step)
-        core, seen = ws.save_counted(step)
+        old, before = core, seen["rows"]
+        core, seen = ws.save_counted(_trim_step(old))
+        ws.release(old)
         if seen["rows"] == before:
             break
     return core
@@ -124,9 +131,9 @@ def cycle_core(ws: Workspace, edges: DataFrame) -> DataFrame:
 def _spread_labels(ws: Workspace, core: DataFrame) -> DataFrame:
     """Give each node the smallest path from which it can be reached, itself included."""
     nodes = core.select("repo", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    labels = ws.save(nodes.withColumn("label", F.col("node")))
+    saved = ws.save(nodes.withColumn("label", F.col("node")))
     while True:
-        step = labels.withColumn("old", F.col("label"))
+        step = saved.withColumn("old", F.col("label"))
         for _ in range(HOPS_PER_ROUND):
             sent = core.join(step.select("repo", F.col("node").alias("src"), "label"), ["repo", "src"]).select(
                 "repo", F.col("dst").alias("node"), "label", F.lit(None).cast("string").alias("old")
@@ -135,10 +142,11 @@ def _spread_labels(ws: Workspace, core: DataFrame) -> DataFrame:
                 step.select("repo", "node", "label", "old").unionAll(sent)
                 .groupBy("repo", "node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
             )
-        labels, seen = ws.save_counted(step, changed=F.count_if(F.col("label") != F.col("old")))
-        labels = labels.drop("old")
+        older = saved
+        saved, seen = ws.save_counted(step, changed=F.count_if(F.col("label") != F.col("old")))
+        ws.release(older)
         if not seen["changed"]:
-            return labels
+            return saved.drop("old")
 
 
 def _members(ws: Workspace, inner: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,6 +184,7 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         inner = ws.save(inner)
         members = ws.save(_members(ws, inner, labels))
         results.append(members)
+        old = core
         gone = members.select("repo", "node")
         rest = (
             inner.join(gone.withColumnRenamed("node", "src"), ["repo", "src"], "left_anti")
@@ -183,6 +192,7 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
             .select("repo", "src", "dst")
         )
         core = cycle_core(ws, rest)
+        ws.release(old, inner)
     if not results:
         return edges.limit(0).select("repo", F.col("src").alias("path"), F.col("dst").alias("component"))
     found = reduce(DataFrame.unionAll, results)

@@ -8,6 +8,8 @@ pieces are tied together by a table of one row per piece.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,24 +31,34 @@ def _pieces(ws: Workspace, df: DataFrame, keys: list[str], order: list[Column])
 
 
 def running_totals(
-    ws: Workspace, df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, Column]
+    ws: Workspace, df: DataFrame, keys: list[str], order: list[Column], totals: dict[str, Column],
+    wholes: dict[str, tuple[Column, Callable[[str], Column]]] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums per group; ``F.lit(1)`` gives the position from 1."""
+    """Add inclusive running sums per group; ``F.lit(1)`` gives the position from 1.
+
+    ``wholes`` adds aggregates over the whole group, each as the aggregate of a piece and the
+    function that merges pieces, so that no row is ever joined on the group key alone.
+    """
+    wholes = wholes or {}
     inputs = {f"_in_{name}": value for name, value in totals.items()}
     cut = _pieces(ws, df.withColumns(inputs), keys, order)
     piece = [*keys, _PIECE]
-    sums = cut.groupBy(*piece).agg(*[F.sum(f"_in_{name}").alias(f"_all_{name}") for name in totals])
+    sums = cut.groupBy(*piece).agg(
+        *[F.sum(f"_in_{n}").alias(f"_all_{n}") for n in totals],
+        *[aggregate.alias(f"_part_{n}") for n, (aggregate, _) in wholes.items()],
+    )
     before = Window.partitionBy(*keys).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *piece,
         *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in totals],
+        *[merge(f"_part_{n}").over(Window.partitionBy(*keys)).alias(n) for n, (_, merge) in wholes.items()],
     )
     upto = Window.partitionBy(*piece).orderBy(_SEQ).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select(
         *df.columns, _PIECE, *[F.sum(f"_in_{n}").over(upto).alias(f"_loc_{n}") for n in totals]
     )
     return local.join(offsets, piece).select(
-        *df.columns, *[(F.col(f"_loc_{n}") + F.col(f"_off_{n}")).alias(n) for n in totals]
+        *df.columns, *[(F.col(f"_loc_{n}") + F.col(f"_off_{n}")).alias(n) for n in totals], *wholes
     )
 
 

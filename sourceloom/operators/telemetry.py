@@ -84,11 +84,10 @@ def progress_series(ws: Workspace, outcomes: DataFrame) -> DataFrame:
 
     ``outcomes`` has job, ts, seq and ok; failed files do not advance the count.
     """
-    totals = outcomes.groupBy("job").agg(F.count("*").alias("total"), F.min("ts").alias("started_at"))
-    counted = ordered.running_totals(
-        ws, outcomes, ["job"], [F.col("ts"), F.col("seq")], {"completed": F.when(F.col("ok"), 1).otherwise(0)}
+    joined = ordered.running_totals(
+        ws, outcomes, ["job"], [F.col("ts"), F.col("seq")], {"completed": F.when(F.col("ok"), 1).otherwise(0)},
+        {"total": (F.count("*"), F.sum), "started_at": (F.min("ts"), F.min)},
     )
-    joined = counted.join(totals, "job")
     elapsed = T.duration_ms(F.col("started_at"), F.col("ts")) / 1000.0
     left = F.col("total") - F.col("completed")
     return joined.select(

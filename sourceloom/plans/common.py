@@ -43,7 +43,7 @@ class Inputs:
 
     @cached_property
     def paths(self) -> DataFrame:
-        return self.files.select("repo", "path")
+        return self.ws.save(self.files.select("repo", "path"))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -71,7 +71,9 @@ class Inputs:
 
     @cached_property
     def checks(self) -> DataFrame:
-        return checks.run_checks(self.ws, self.migrated, self.edges, self.entry_points, self.components, TARGET)
+        return self.ws.save(
+            checks.run_checks(self.ws, self.migrated, self.edges, self.entry_points, self.components, TARGET)
+        )
 
     # --- logs -----------------------------------------------------------------------------
     @cached_property
@@ -153,8 +155,8 @@ def r6(column: Column) -> Column:
 
 def prepare(spark: SparkSession) -> None:
     """Session settings the results depend on; a cluster's own sizing is left alone."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
-        spark.conf.set(key, DEFAULTS[key])
+    for key, value in DEFAULTS.items():
+        spark.conf.set(key, value)
     local = spark.sparkContext.master.startswith("local")
     if local and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a hot key is split even where that costs one more exchange
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":
@@ -66,13 +68,16 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = scratch_path(spark, label)
-        self._paths: list[str] = []
+        self._saved = 0
+        self._tables: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self._paths):05d}"
-        self._paths.append(path)
+        path = f"{self.root}/{self._saved:05d}"
+        self._saved += 1
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._tables.append((table, path))
+        return table
 
     def save_counted(self, df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
         """Save and return what the write itself counted: ``rows`` plus the given aggregates."""
@@ -81,9 +86,9 @@ class Workspace:
         saved = self.save(df.observe(seen, *counts))
         return saved, seen.get
 
-    def drop_older(self, keep: int) -> None:
-        """Delete superseded tables, keeping the newest ``keep``."""
-        for i, path in enumerate(self._paths[:-keep] if keep else self._paths):
-            if path:
+    def release(self, *tables: DataFrame) -> None:
+        """Delete saved tables that nothing will read any more."""
+        for i, (table, path) in reversed(list(enumerate(self._tables))):
+            if any(table is t for t in tables):
                 delete_path(self.spark, path)
-                self._paths[i] = ""
+                del self._tables[i]
