@@ -10,6 +10,8 @@ from sourceloom import rules
 SPACES = f"[{rules.SPACE}]"
 # A line with its terminator, as a universal-newline split keeps it.
 _BREAK = r"\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
+# Cuts after each terminator; a carriage return and its newline stay together.
+LINE_END = rf"(?<=[{_BREAK}])(?<!\r(?=\n))"
 LINE_PATTERN = rf"[^{_BREAK}]*(?:\r\n|[{_BREAK}])|[^{_BREAK}]+"
 
 
@@ -37,7 +39,7 @@ def extension_label(path: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACES}+|{SPACES}+\\z", "")
+    return F.btrim(text, F.lit(rules.SPACE_CHARS))
 
 
 def words(text: Column) -> Column:
@@ -55,7 +57,7 @@ def lines(text: Column) -> Column:
 
 
 def kept_lines(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(LINE_PATTERN), F.lit(0))
+    return F.filter(F.split(text, LINE_END), lambda x: x != "")
 
 
 def literal_array(values: list[str]) -> Column:

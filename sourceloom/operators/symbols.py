@@ -386,7 +386,7 @@ _PARAM = "array<struct<name:string,type:string>>"
 
 
 def _python_params(head: Column) -> Column:
-    listed = F.regexp_extract(head, r"\(((?:[^()]|\([^()]*\))*)\)", 1)
+    listed = F.regexp_extract(head, r"\(((?:[^()]++|\([^()]*\))*+)\)", 1)
     # a comma inside brackets belongs to a type
     flat = F.regexp_replace(listed, r",(?=[^\[\]]*\])", "\x1f")
     plain = F.filter(_items(flat), lambda p: (p != "") & ~p.rlike(r"^[*/]"))
@@ -424,7 +424,7 @@ def functions(files: DataFrame) -> DataFrame:
 
     def docstring(line: Column) -> Column:
         rest = F.array_join(F.slice(source_lines, line, F.size(source_lines)), "\n")
-        body = r"(?s)^(?:async[ \t]+)?def[^(]*\((?:[^()]|\([^()]*\))*\)[^:]*:[ \t]*(?:#[^\n]*)?\n[ \t\n]*"
+        body = r"(?s)^(?:async[ \t]+)?def[^(]*\((?:[^()]++|\([^()]*\))*+\)[^:]*:[ \t]*(?:#[^\n]*)?\n[ \t\n]*"
         triple = F.regexp_extract(rest, body + r"[rRuU]?(\"\"\"|''')(.*?)\1", 2)
         single = F.regexp_extract(rest, body + r"[rRuU]?([\"'])([^\"'\n]+)\1", 2)
         text = F.when(triple != "", triple).otherwise(single)

@@ -40,12 +40,24 @@ FROM (SELECT doc_id, text, CAST(doc_id AS VARCHAR(20)) AS d, chr(10) AS nl, chr(
 REPO = "corpus"
 
 
+# Below this size a table may come as a single split; above it, splits are plentiful.
+SPREAD_BELOW_BYTES = 1 << 30
+TEXT_TABLES = ["documents"]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small text table out to all cores; leave any larger table as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BELOW_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXT_TABLES else found
 
 
 def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file as a source delivers it: repo, path, content, size_bytes."""
-    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("documents")
     corpus = spark.sql(CODE_CORPUS_SQL)
     return corpus.select(F.lit(REPO).alias("repo"), "path", "content", "size_bytes")

@@ -701,7 +701,7 @@ PROMPTS = f"""SELECT f.repo, f.path, 'Rewrite one file in {TARGET}.' || chr(10)
   SELECT repo, path, md5(prompt) AS digest, CAST(length(prompt) AS BIGINT) AS n_chars FROM ({PROMPTS}) p""")
 def _(x: Inputs):
     prompts = context.assemble_prompts(
-        x.files, _summary(x), context.dep_context(x.edges, x.layers, x.migrated),
+        x.files, x.ws.save(_summary(x)), context.dep_context(x.edges, x.layers, x.migrated),
         imports.extract_imports(x.files), symbols.exports(x.files), TARGET,
     )
     return prompts.select("repo", "path", F.md5("prompt").alias("digest"), F.length("prompt").cast("bigint").alias("n_chars"))

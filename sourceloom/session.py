@@ -92,3 +92,8 @@ class Workspace:
             if any(table is t for t in tables):
                 delete_path(self.spark, path)
                 del self._tables[i]
+
+    def close(self) -> None:
+        """Delete all tables of the job, once its result has been written elsewhere."""
+        delete_path(self.spark, self.root)
+        self._tables.clear()

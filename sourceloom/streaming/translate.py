@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourceloom.operators import rewrite
+from sourceloom.session import Workspace
 from sourceloom.streaming.tables import read_batches, run_available, write_batch
 
 LEDGER = "repo string, path string, status string"
@@ -25,14 +26,18 @@ def stream_translate(files: DataFrame, target: str, out: str, translate: Column
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = ledger(spark, out).filter((F.col("batch_id") < batch_id) & (F.col("status") == "completed"))
-        fresh = batch.dropDuplicates(["repo", "path"]).join(
-            done.select("repo", "path").distinct(), ["repo", "path"], "left_anti"
+        # only keys meet the ledger; the texts then lose the few repeated files
+        ws = Workspace(spark, "repeated")
+        repeated = ws.save(
+            batch.select("repo", "path").join(done.select("repo", "path"), ["repo", "path"], "left_semi")
         )
+        fresh = batch.join(repeated, ["repo", "path"], "left_anti")
         write_batch(rewrite.render_migrated(fresh, target, translate), f"{out}/tried", batch_id)
         tried = spark.read.schema(MIGRATED).parquet(f"{out}/tried/batch_id={batch_id}")
         failed = F.col("migrated_content").isNull()
         status = F.when(failed, "failed").otherwise("completed").alias("status")
         write_batch(tried.select("repo", F.col("original_path").alias("path"), status), f"{out}/ledger", batch_id)
+        ws.close()
 
     run_available(files, sink, f"{out}/checkpoint")
 
