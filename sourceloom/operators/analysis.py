@@ -11,12 +11,14 @@ from sourceloom.operators import classify, ordered
 from sourceloom.session import Workspace
 
 
+def _per_language(files: DataFrame) -> DataFrame:
+    known = files.filter(F.col("language") != "unknown")
+    return known.groupBy("repo", "language").agg(F.count("*").alias("files"))
+
+
 def language_counts(files: DataFrame) -> DataFrame:
-    return (
-        files.filter(F.col("language") != "unknown")
-        .groupBy("repo", "language").agg(F.count("*").alias("files"))
-        .orderBy("repo", F.desc("files"), "language")
-    )
+    """Files per known language, most frequent first."""
+    return _per_language(files).orderBy("repo", F.desc("files"), "language")
 
 
 def avg_complexity(files: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def top_entry_points(files: DataFrame, n: int = rules.LISTED_ENTRY_POINTS) -> Da
 
 def analysis_summary(files: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:
     """One row per repository: the scalars an analysis run reports."""
-    by_language = language_counts(files).groupBy("repo").agg(
+    by_language = _per_language(files).groupBy("repo").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("files")).alias("n"), F.col("language")))).alias("l")
     ).select("repo", F.transform("l", lambda x: x["language"]).alias("languages"))
     source = F.col("file_type") == "source"

@@ -57,17 +57,19 @@ def dep_context(edges: DataFrame, layers: DataFrame, migrated: DataFrame) -> Dat
     a, b, c = rules.DEPENDENCY_BLOCK
     key = graph.order_key(F.col("layer"), F.col("path"))
     sources = layers.select("repo", F.col("path").alias("source_file"), key.alias("source_ord"))
-    targets = layers.select("repo", F.col("path").alias("target_file"), key.alias("target_ord"))
-    heads = migrated.select(
-        "repo", F.col("original_path").alias("target_file"),
-        T.preview(F.col("migrated_content"), rules.DEPENDENCY_CHARS).alias("head"),
+    # order and head of a target meet on unique keys, so a much-imported file is joined once
+    targets = layers.select("repo", F.col("path").alias("target_file"), key.alias("target_ord")).join(
+        migrated.select(
+            "repo", F.col("original_path").alias("target_file"),
+            T.preview(F.col("migrated_content"), rules.DEPENDENCY_CHARS).alias("head"),
+        ),
+        ["repo", "target_file"],
     )
     earlier = (
         edges.select("repo", "source_file", "target_file", "pattern_no", "match_no")
-        .join(targets, ["repo", "target_file"])
         .join(sources, ["repo", "source_file"])
+        .join(targets, ["repo", "target_file"])
         .filter("target_ord < source_ord")
-        .join(heads, ["repo", "target_file"])
     )
     block = F.concat(F.lit(a), "target_file", F.lit(b), "head", F.lit(c))
     return earlier.groupBy("repo", F.col("source_file").alias("path")).agg(

@@ -109,29 +109,6 @@ def remaining_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(done, ["repo", "path"], "left_anti")
 
 
-def progress_events(batches: DataFrame, outcomes: DataFrame, total: DataFrame) -> DataFrame:
-    """Event rows of a run: start, file_complete or file_error, checkpoint per batch, complete.
-
-    ``batches`` has repo, path and batch; ``outcomes`` repo, path and ok; ``total`` repo and
-    total files with those already done before the run.
-    """
-    rows = batches.join(outcomes, ["repo", "path"])
-    per_file = rows.select(
-        "repo", F.when(F.col("ok"), "file_complete").otherwise("file_error").alias("event_type"),
-        F.col("path").alias("file_path"), "batch",
-    )
-    none = F.lit(None).cast("string")
-    nowhere = F.lit(None).cast("bigint")
-    checkpoints = rows.select("repo", "batch").distinct().select(
-        "repo", F.lit("checkpoint").alias("event_type"), none.alias("file_path"), "batch"
-    )
-    ends = total.select(
-        "repo", F.explode(F.array(F.lit("start"), F.lit("complete"))).alias("event_type"),
-        none.alias("file_path"), nowhere.alias("batch"),
-    )
-    return per_file.unionByName(checkpoints).unionByName(ends)
-
-
 def priority_order(rules_table: DataFrame) -> DataFrame:
     """Enabled rules by ascending priority; equal priorities keep their order of arrival."""
     return rules_table.filter("enabled").orderBy("priority", "seq")

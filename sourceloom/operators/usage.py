@@ -50,16 +50,22 @@ def prompt_dedup(requests: DataFrame, order: list[str]) -> DataFrame:
 
 
 def responses(requests: DataFrame, order: list[str]) -> DataFrame:
-    """Price each request; a repeat of an earlier prompt key is a cached answer without cost."""
-    first = requests.groupBy("prompt_key").agg(F.min(F.struct(*order)).alias("first_at"))
-    cached = F.struct(*order) > F.col("first_at")
+    """Price each request; a repeat of an earlier prompt key is a cached answer without cost.
+
+    ``order`` names the columns that identify a request and put requests in order.
+    """
+    # the first request of each key is found by a combined minimum and marked by its own unique
+    # position, so nothing is joined on a key that many requests share
+    first = requests.groupBy("prompt_key").agg(F.min(F.struct(*order)).alias("at")).select(
+        "at.*", F.lit(True).alias("is_first")
+    )
     zero = F.lit(0).cast("bigint")
-    priced = requests.join(first, "prompt_key").withColumn("cached", cached)
+    priced = requests.join(first, order, "left").withColumn("cached", F.col("is_first").isNull())
     priced = priced.withColumn(
         "input_tokens", F.when(F.col("cached"), zero).otherwise(token_estimate(F.col("user_prompt"), F.col("provider")))
     ).withColumn("output_tokens", F.when(F.col("cached"), zero).otherwise(output_tokens(F.col("provider"))))
     cost = cost_estimate(F.col("provider"), F.col("input_tokens"), F.col("output_tokens"))
-    return priced.withColumn("cost_usd", cost).drop("first_at")
+    return priced.withColumn("cost_usd", cost).drop("is_first")
 
 
 def usage_totals(answered: DataFrame) -> DataFrame:
