@@ -136,5 +136,9 @@ def metric_key(name: Column, labels: Column) -> Column:
     return F.when(bare, name).otherwise(F.concat(name, F.lit("{"), rendered, F.lit("}")))
 
 
+def micros_between(started: Column, ended: Column) -> Column:
+    return F.unix_micros(ended.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))
+
+
 def duration_ms(started: Column, ended: Column) -> Column:
-    return (F.unix_micros(ended.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / 1000.0
+    return micros_between(started, ended) / 1000.0

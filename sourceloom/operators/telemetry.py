@@ -88,7 +88,7 @@ def progress_series(ws: Workspace, outcomes: DataFrame) -> DataFrame:
         ws, outcomes, ["job"], [F.col("ts"), F.col("seq")], {"completed": F.when(F.col("ok"), 1).otherwise(0)},
         {"total": (F.count("*"), F.sum), "started_at": (F.min("ts"), F.min)},
     )
-    elapsed = T.duration_ms(F.col("started_at"), F.col("ts")) / 1000.0
+    elapsed = T.micros_between(F.col("started_at"), F.col("ts")) / 1_000_000.0
     left = F.col("total") - F.col("completed")
     return joined.select(
         "job", "seq", "ok", "completed", "total",

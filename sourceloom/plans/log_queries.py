@@ -188,8 +188,8 @@ def _(x: Inputs):
     return telemetry.job_counts(x.statuses)
 
 
-@query("progress_series", """SELECT job, seq, ok, completed, total, round(completed / total * 100, 6) AS progress_pct,
-  round(("at" - started) / 1000000.0 / greatest(completed, 1) * (total - completed), 3)::DOUBLE AS eta_seconds FROM
+@query("progress_series", """SELECT job, seq, ok, completed, total, completed / total * 100 AS progress_pct,
+  ("at" - started) / 1000000.0::DOUBLE / greatest(completed, 1) * (total - completed) AS eta_seconds FROM
   (SELECT user_id AS job, event_id AS seq, event_type <> 'error' AS ok, epoch_us(ts) AS "at",
     CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS completed, count(*) OVER (PARTITION BY user_id) AS total,
     epoch_us(min(ts) OVER (PARTITION BY user_id)) AS started FROM events
@@ -197,10 +197,7 @@ def _(x: Inputs):
 def _(x: Inputs):
     outcomes = x.statuses.withColumn("ok", F.col("status") != "error")
     series = telemetry.progress_series(x.ws, outcomes)
-    return series.select(
-        "job", "seq", "ok", "completed", "total", F.round("progress_pct", 6).alias("progress_pct"),
-        F.round("eta_seconds", 3).alias("eta_seconds"),
-    )
+    return series.select("job", "seq", "ok", "completed", "total", "progress_pct", "eta_seconds")
 
 
 REMAINING = "SELECT * FROM files WHERE CAST(regexp_extract(path, 'f([0-9]+)', 1) AS BIGINT) % 3 <> 1"
