@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,22 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+def share(spark: SparkSession, thing) -> Callable:
+    """Broadcast an object of bounded size; each worker process unpacks it once and keeps it.
+
+    It travels by value, so that workers need no copy of this package.
+    """
+    sent = spark.sparkContext.broadcast({"packed": cloudpickle.dumps(thing)})
+
+    def get():
+        held = sent.value
+        if "live" not in held:
+            held["live"] = pickle.loads(held["packed"])
+        return held["live"]
+
+    return get
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

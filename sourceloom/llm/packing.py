@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceloom.llm.bpe import Vocabulary
+from sourceloom.llm.common import share
 from sourceloom.session import Workspace
 
 CAPACITY = 2048
@@ -147,12 +148,12 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:
 def token_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
                  capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Pieces of tokenised texts, each text followed by ``end_id``; only longer ones are cut, the first piece may be shorter."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = share(docs.sparkSession, vocabulary)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["id", "piece", "start", "length", "ids_crc32", "part", "rank"] + ["ids"] * keep_ids
 
     def cut(batches):
-        encoder, part, seen = shared.value, TaskContext.get().partitionId(), {}
+        encoder, part, seen = shared(), TaskContext.get().partitionId(), {}
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             ids_of, out = batch.column(0), [[] for _ in names]
@@ -188,7 +189,7 @@ def pack(ws: Workspace, docs: DataFrame, vocabulary: Vocabulary, id_col: str = "
     pieces = ws.save(token_pieces(docs, vocabulary, id_col, text_col, capacity, end_id, keep_ids))
     per_task = ws.save(pieces.groupBy("part", "length").count())
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    places = docs.sparkSession.sparkContext.broadcast(_places(configuration_plan(histogram, capacity)))
+    places = share(docs.sparkSession, _places(configuration_plan(histogram, capacity)))
     # one row per task and length
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = pieces.join(per_task.select("part", "length", before.alias("before")), ["part", "length"])
@@ -196,7 +197,7 @@ def pack(ws: Workspace, docs: DataFrame, vocabulary: Vocabulary, id_col: str = "
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"), *extra)
 
     def place(batches):
-        keys, sequences, copies, offsets = places.value
+        keys, sequences, copies, offsets = places()
         for batch in batches:
             length, rank = (batch.column(i).to_numpy() for i in (3, 5))
             at = np.searchsorted(keys, (length << 40) | rank, side="right") - 1

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import exact_dedup, packing, token_counts
+from sourceloom.llm import exact_dedup, language_id, near_dup, packing, token_counts
 from sourceloom.llm.bpe import Vocabulary
 from sourceloom.llm.common import prepare, table
 from sourceloom.session import Workspace
@@ -30,6 +30,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
+    docs = table(spark, sf_dir, "documents")
+    models = language_id.train(docs.where(~held_out), "lang", "text", "doc_id")
+    return language_id.identify(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 @query("op2_exact_dedup", """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
          g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -41,6 +49,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(Workspace(spark, "op2"), docs, text_sha256=digest)
 
 
+@query("op4_minhash_near_dedup")
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(Workspace(spark, "op4"), table(spark, sf_dir, "documents"), shingle=4)
+
+
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(Workspace(spark, "op5"), table(spark, sf_dir, "documents"), Vocabulary(public_tokenizers.path(VOCABULARY)))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.llm.bpe import Vocabulary
+from sourceloom.llm.common import share
 
 MAX_TOKENS = 1024
 
@@ -24,11 +25,11 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
     Null text counts as empty: 0 bytes, 0 tokens.  Null ids and repeated rows come out as they are, one
     row for each row.  Other columns are not read.  An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = share(docs.sparkSession, vocabulary)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def count(batches):
-        encoder = shared.value
+        encoder = shared()
         for batch in batches:
             texts = batch.column(1)
             yield pa.RecordBatch.from_arrays(
