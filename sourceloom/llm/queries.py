@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import exact_dedup, language_id, near_dup, packing, token_counts
+from sourceloom.llm import decontamination, exact_dedup, language_id, near_dup, packing, token_counts, warc
 from sourceloom.llm.bpe import Vocabulary
 from sourceloom.llm.common import prepare, table
 from sourceloom.session import Workspace
@@ -49,6 +49,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(Workspace(spark, "op2"), docs, text_sha256=digest)
 
 
+@query("op3_warc_revisits", """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+         r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS lowest FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id > lowest THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id > lowest THEN lowest END AS refers_to
+    FROM r""")
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(Workspace(spark, "op3"), table(spark, sf_dir, "pages"))
+
+
 @query("op4_minhash_near_dedup")
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(Workspace(spark, "op4"), table(spark, sf_dir, "documents"), shingle=4)
@@ -56,7 +67,28 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(Workspace(spark, "op5"), table(spark, sf_dir, "documents"), Vocabulary(public_tokenizers.path(VOCABULARY)))
+    return packing.pack(Workspace(spark, "op5"), table(spark, sf_dir, "documents"), Vocabulary(public_tokenizers.path(VOCABULARY)).prove_whole_tokens())
+
+
+@query("op7_winnowing_decontamination", r"""
+    WITH w AS (SELECT * FROM (VALUES ('[\x00-\x2F\x3A-\x60\x7B-\x7F]+', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) v(sep, up, low)),
+         d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), up, low), sep), x -> x <> '') AS words FROM documents, w),
+         i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), up, low), sep), x -> x <> '') AS words FROM benchmark, w),
+         iw AS (SELECT DISTINCT item_id, n, array_to_string(words[k:k + n - 1], ' ') AS win
+                FROM (SELECT item_id, words, least(len(words), 10) AS n, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS k FROM i WHERE len(words) > 0)),
+         sizes AS (SELECT DISTINCT n FROM iw),
+         dw AS (SELECT doc_id, n, k, array_to_string(words[k:k + n - 1], ' ') AS win
+                FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM d, sizes WHERE len(words) >= n)),
+         h AS (SELECT doc_id, k, n, item_id FROM dw JOIN iw USING (n, win)),
+         c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
+         l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""")
+def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(Workspace(spark, "op7"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("item_ids", 256).alias("items_sha256"), "contaminated")
 
 
 @query("op10_token_counts")
