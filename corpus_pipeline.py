@@ -36,7 +36,7 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of 2048 tokens."""
     prepare(spark)
-    return packing.pack(Workspace(spark, "packing"), docs, Vocabulary(public_tokenizers.path(VOCABULARY)))
+    return packing.pack(Workspace(spark, "packing"), docs, Vocabulary(public_tokenizers.path(VOCABULARY)).prove_whole_tokens())
 
 
 STAGES = [
