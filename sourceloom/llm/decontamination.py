@@ -77,7 +77,8 @@ def contamination(ws: Workspace, docs: DataFrame, items: DataFrame, id_col: str
     short = sorted(r[0] for r in probes.where(lengths < guarantee).select(lengths).distinct().collect())  # fewer than `guarantee` numbers
     before, context = _context(gram, guarantee)
     # a short item is looked up whole; runs of its length inside longer items are no windows
-    marked = fingerprints(probes, short, gram, guarantee).withColumn("mark", F.explode("marks")).select("item", "words", "mark.*")
+    # explode_outer, as a plain explode infers a filter, and pushing that down would inline the nested lambdas into each other
+    marked = fingerprints(probes, short, gram, guarantee).withColumn("mark", F.explode_outer("marks")).select("item", "words", "mark.*")
     marked = marked.where(F.col("span") == F.least(lengths, F.lit(guarantee)))
     contexts = ws.save(marked.select("item", "span", "hash", before.alias("i_before"), context.alias("i_context"))
                        .withColumn("context", F.md5(F.concat_ws(" ", "span", "i_before", "i_context"))).distinct())
@@ -86,7 +87,7 @@ def contamination(ws: Workspace, docs: DataFrame, items: DataFrame, id_col: str
     texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), words_of(F.col(text_col)).alias("words"))
     # one mark that always passes carries the number of words
     whole = F.array(F.struct(F.lit(0).alias("span"), F.lit(-1).alias("pos"), F.lit(0).cast("bigint").alias("hash")))
-    exploded = fingerprints(texts, short, gram, guarantee).withColumn("mark", F.explode(F.concat(whole, "marks"))).select(
+    exploded = fingerprints(texts, short, gram, guarantee).withColumn("mark", F.explode_outer(F.concat(whole, "marks"))).select(
         "id", "row", "words", "mark.*")
     bits = ws.save(bit_table(contexts.select("hash").distinct(), "hash"))
     passed = in_bits(exploded, F.col("hash"), bits).where(F.col("_maybe") | (F.col("pos") < 0))
@@ -98,7 +99,7 @@ def contamination(ws: Workspace, docs: DataFrame, items: DataFrame, id_col: str
     offsets = F.filter(F.sequence(F.lit(0), F.least("before", "i_before")), lambda o: (
         F.size(F.slice("i_context", F.col("i_before") - o + 1, F.col("span"))) == F.col("span"))
         & (F.slice("i_context", F.col("i_before") - o + 1, F.col("span")) == F.slice("context_words", F.col("before") - o + 1, F.col("span"))))
-    hits = ws.save(pairs.withColumn("o", F.explode(offsets)).select("id", "row", "context", (F.col("pos") - F.col("o")).alias("start"), "span").distinct())
+    hits = ws.save(pairs.withColumn("o", F.explode_outer(offsets)).where("o IS NOT NULL").select("id", "row", "context", (F.col("pos") - F.col("o")).alias("start"), "span").distinct())
 
     stretches = hits.groupBy("id", "row", "start").agg((F.col("start") + F.max("span")).alias("stop"))
     ordered = "OVER (PARTITION BY id, row ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"

@@ -72,8 +72,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_winnowing_decontamination", r"""
     WITH w AS (SELECT * FROM (VALUES ('[\x00-\x2F\x3A-\x60\x7B-\x7F]+', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) v(sep, up, low)),
-         d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), up, low), sep), x -> x <> '') AS words FROM documents, w),
-         i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), up, low), sep), x -> x <> '') AS words FROM benchmark, w),
+         d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), up, low), sep), lambda x: x <> '') AS words FROM documents, w),
+         i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), up, low), sep), lambda x: x <> '') AS words FROM benchmark, w),
          iw AS (SELECT DISTINCT item_id, n, array_to_string(words[k:k + n - 1], ' ') AS win
                 FROM (SELECT item_id, words, least(len(words), 10) AS n, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS k FROM i WHERE len(words) > 0)),
          sizes AS (SELECT DISTINCT n FROM iw),
