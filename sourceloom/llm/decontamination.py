@@ -28,7 +28,7 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def _gram_hashes(hashes: Column, width: int) -> Column:
+def gram_hashes(hashes: Column, width: int) -> Column:
     """Hash of every ``width`` neighbours; none if there are fewer."""
     starts = F.when(F.size(hashes) >= width, F.sequence(F.lit(0), F.size(hashes) - width)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.xxhash64(F.lit(width), *[F.get(hashes, i + k) for k in range(width)]))
@@ -38,7 +38,7 @@ def fingerprints(df: DataFrame, short: list[int], gram: int = GRAM, guarantee: i
     """``df`` (with words) plus marks: array of (span, pos, hash).  span is the length of the runs to compare there."""
     window = guarantee - gram + 1
     df = df.withColumn("_hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("_grams", _gram_hashes(F.col("_hashes"), gram))
+    df = df.withColumn("_grams", gram_hashes(F.col("_hashes"), gram))
     starts = F.when(F.size("_grams") >= window, F.sequence(F.lit(0), F.size("_grams") - window)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("_least", F.transform(starts, lambda j: F.least(*[F.get(F.col("_grams"), j + k) for k in range(window)])))
     # a gram is the least of some window if it equals the greatest least of the windows around it
@@ -46,7 +46,7 @@ def fingerprints(df: DataFrame, short: list[int], gram: int = GRAM, guarantee: i
     df = df.withColumn("_kept", kept)
     marks = [_marks(F.col("_kept"), guarantee)]
     for n in short:
-        marks.append(_marks(_gram_hashes(F.col("_hashes"), n), n))
+        marks.append(_marks(gram_hashes(F.col("_hashes"), n), n))
     return df.withColumn("marks", F.concat(*marks)).drop("_hashes", "_grams", "_least", "_kept")
 
 

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import decontamination, exact_dedup, language_id, near_dup, packing, token_counts, warc
+from sourceloom.llm import (decontamination, exact_dedup, language_id, license_scan, near_dup, packing, personal_data,
+                            token_counts, warc)
 from sourceloom.llm.bpe import Vocabulary
 from sourceloom.llm.common import prepare, table
 from sourceloom.session import Workspace
@@ -70,6 +71,28 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(Workspace(spark, "op5"), table(spark, sf_dir, "documents"), Vocabulary(public_tokenizers.path(VOCABULARY)).prove_whole_tokens())
 
 
+@query("op6_license_scan", """
+    WITH t(license, words) AS (SELECT license, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') FROM (VALUES """ + ", ".join(
+    "('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES) + """) v(license, text)),
+         ts AS (SELECT DISTINCT license, CAST(pow(2, ceil(log2(greatest(n, 16)))) AS BIGINT) AS span, array_to_string(words[k:k + 4], ' ') AS s
+                FROM (SELECT license, words, len(words) AS n, unnest(range(1, len(words) - 3)) AS k FROM t)),
+         sizes AS (SELECT license, count(*) AS size FROM ts GROUP BY license),
+         d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),
+         ds AS (SELECT doc_id, k - 1 AS pos, array_to_string(words[k:k + 4], ' ') AS s
+                FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS k FROM d)),
+         h AS (SELECT doc_id, license, s, unnest([pos // span, pos // span - 1]) AS win FROM ds JOIN ts USING (s)),
+         v AS (SELECT doc_id, license, max(held * 100 // size) AS share
+               FROM (SELECT doc_id, license, win, count(DISTINCT s) AS held FROM h GROUP BY ALL) JOIN sizes USING (license)
+               WHERE held * 100 >= size * 80 GROUP BY doc_id, license),
+         l AS (SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names, max(share) AS best FROM v GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses, CAST(coalesce(best, 0) AS INTEGER) AS best
+    FROM d LEFT JOIN l USING (doc_id)""")
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(Workspace(spark, "op6"), table(spark, sf_dir, "documents"))
+
+
 @query("op7_winnowing_decontamination", r"""
     WITH w AS (SELECT * FROM (VALUES ('[\x00-\x2F\x3A-\x60\x7B-\x7F]+', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) v(sep, up, low)),
          d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), up, low), sep), lambda x: x <> '') AS words FROM documents, w),
@@ -91,6 +114,14 @@ def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("item_ids", 256).alias("items_sha256"), "contaminated")
 
 
+@query("op8_personal_data")
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(Workspace(spark, "op8"), table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter(F.transform("base", lambda s: s["kind"]), F.lit(k).eqNullSafe)).cast("bigint").alias(f"n_{k}")
+              for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(personal_data.listed("base"), 256).alias("base_sha256"), personal_data.listed("spans").alias("spans"))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = token_counts.whole_token_vocabulary(public_tokenizers.path(VOCABULARY))
