@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import bit_table, in_bits
+from sourceloom.llm.common import bit_table, in_bits, row_key
 from sourceloom.llm.components import components
 from sourceloom.llm.words import mix, text_bytes, word_hashes
 from sourceloom.session import Workspace
@@ -92,7 +92,7 @@ def signature(shingles: np.ndarray, bins: int, donors: np.ndarray) -> np.ndarray
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bins: int, rows: int) -> DataFrame:
     """Per row: id, n_shingles, key of the shingle set (null if empty), band keys."""
     bands = bins // rows
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
 
     def sketch(batches):
         donors = _donors(bins)
@@ -112,11 +112,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bins: in
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["id", "n_shingles", "key", "bands"])
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), batch.column(2)],
+                names=["id", "n_shingles", "key", "bands", "row"])
 
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(sketch, f"id {kind}, n_shingles bigint, key binary, bands array<bigint>")
+    return picked.mapInArrow(sketch, f"id {kind}, n_shingles bigint, key binary, bands array<bigint>, row bigint")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -145,7 +145,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
+    """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id), row (see ``row_key``).
 
     Words are runs without ASCII white space, A-Z lower-cased.  Linked are texts whose shingle sets have at least
     ``percent`` of their union in common.  Null, empty and wordless texts have no shingles and no links.
@@ -206,7 +206,7 @@ def _answer(known: DataFrame, classes: DataFrame, roots: DataFrame | None, id_co
         lowest = owner.groupBy("root").agg(F.min("least").alias("lowest"))
         least = owner.join(lowest, "root").select("key", F.col("lowest").alias("least"))
     # rows without shingles get no partner; they need not meet in one task
-    linked = known.where(F.col("key").isNotNull()).select("id", "n_shingles", "key").join(least, "key", "left").select("id", "n_shingles", "least")
-    alone = known.where(F.col("key").isNull()).select("id", "n_shingles", F.col("id").alias("least"))
+    linked = known.where(F.col("key").isNotNull()).select("id", "n_shingles", "key", "row").join(least, "key", "left").select("id", "n_shingles", "least", "row")
+    alone = known.where(F.col("key").isNull()).select("id", "n_shingles", F.col("id").alias("least"), "row")
     return linked.union(alone).select(
-        F.col("id").alias(id_col), "n_shingles", F.col("least").alias("component_id"), F.col("id").eqNullSafe(F.col("least")).alias("kept"))
+        F.col("id").alias(id_col), "n_shingles", F.col("least").alias("component_id"), F.col("id").eqNullSafe(F.col("least")).alias("kept"), "row")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.llm import (decontamination, exact_dedup, language_id, license_scan, near_dup, packing, personal_data,
-                            token_counts, warc)
+                            token_counts, toxicity, warc)
 from sourceloom.llm.bpe import Vocabulary
 from sourceloom.llm.common import prepare, table
 from sourceloom.session import Workspace
@@ -122,6 +122,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(personal_data.listed("base"), 256).alias("base_sha256"), personal_data.listed("spans").alias("spans"))
 
 
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = token_counts.whole_token_vocabulary(public_tokenizers.path(VOCABULARY))

@@ -55,10 +55,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of every text and the end).  A-Z count as a-z."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, heads: int = 0) -> tuple[np.ndarray, ...]:
+    """(hash of every word, first word of every text and the end).  A-Z count as a-z.
+
+    With ``heads``, also a hash of each word's first so many bytes, 0 for words that are not longer.
+    """
     n = len(data)
-    hashes, first_words = [], np.zeros(len(offsets), np.int64)
+    hashes, head_hashes, first_words = [], [], np.zeros(len(offsets), np.int64)
     start, words, text = 0, 0, 0
     while start < n:
         end = min(start + BLOCK, n)
@@ -85,10 +88,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
         total = np.zeros(len(block) + 1, np.uint64)
         np.cumsum((LOWER[block].astype(np.uint64) + np.uint64(1)) * powers[:len(block)], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * inverses[s] + (e - s).astype(np.uint64)))
+        if heads:
+            code, folded = np.zeros(len(s), np.uint64), LOWER[block]
+            for k in range(heads):
+                code = code << np.uint64(8) | folded[np.minimum(s + k, len(block) - 1)].astype(np.uint64)
+            head_hashes.append(np.where(e - s > heads, mix(code + np.uint64(1)), np.uint64(0)))
         while text < len(offsets) and offsets[text] < end:
             first_words[text] = words + int(np.searchsorted(s, offsets[text] - start)) if offsets[text] >= start else first_words[text]
             text += 1
         words += len(s)
         start = end
     first_words[text:] = words
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), first_words
+    joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return (joined(hashes), first_words, joined(head_hashes)) if heads else (joined(hashes), first_words)
