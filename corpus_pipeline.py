@@ -6,15 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import exact_dedup, packing
+from sourceloom.llm import decontamination, exact_dedup, near_dup, packing, toxicity
 from sourceloom.llm.bpe import Vocabulary
-from sourceloom.llm.common import drop_rows, prepare, row_key
+from sourceloom.llm.common import drop_rows, prepare, row_key, table
 from sourceloom.session import Workspace, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 ORACLE_SQL = None  # tokenisation and packing are beyond SQL; tests/llm checks every stage against brute force
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model rejects go; it is fitted on the labels of the documents at hand."""
+    prepare(spark)
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays; rows repeated with one id and text count as one."""
     prepare(spark)
@@ -33,6 +39,23 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return unique.union(copies.dropDuplicates(["doc_id", "_row"]).drop("_row"))
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group stays."""
+    prepare(spark)
+    ws = Workspace(spark, "near")
+    dropped = ws.save(near_dup.near_duplicates(ws, docs, shingle=4).where("NOT kept").select(F.col("doc_id").alias("id"), "row"))
+    return drop_rows(docs, dropped, "doc_id", "text")
+
+
+def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    prepare(spark)
+    ws = Workspace(spark, "benchmark")
+    found = decontamination.contamination(ws, docs, table(spark, sf_dir, "benchmark"))
+    dropped = ws.save(found.where("contaminated").select(F.col("doc_id").alias("id"), "row"))
+    return drop_rows(docs, dropped, "doc_id", "text")
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of 2048 tokens."""
     prepare(spark)
@@ -40,7 +63,10 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", without_toxic),
     ("exact_dedup", without_exact_copies),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark_passages),
     ("best_fit_packing", packed),
 ]
 
