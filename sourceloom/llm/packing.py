@@ -29,7 +29,7 @@ from sourceloom.session import Workspace
 
 CAPACITY = 2048
 ROUNDS = 24
-STEP = 0.5
+STEP = 0.1
 
 
 def _knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +65,14 @@ def _fill(lengths: np.ndarray, best: np.ndarray, last: np.ndarray, room: np.ndar
 
 
 def configuration_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """[(length -> copies, number of such sequences)], holding each length exactly as often as given."""
+    """[(length -> copies, number of such sequences)], holding each length exactly as often as given.
+
+    The rounded program, unless best fit from the start needs fewer sequences (it may, on small histograms).
+    """
+    return min((_rounded(histogram, capacity, r) for r in (rounds, 0)), key=lambda plan: sum(times for _, times in plan))
+
+
+def _rounded(histogram: dict[int, int], capacity: int, rounds: int) -> list[tuple[dict[int, int], int]]:
     left = {n: k for n, k in histogram.items() if k > 0}
     plan: list[tuple[dict[int, int], int]] = []
     if left.pop(capacity, 0):
@@ -74,19 +81,18 @@ def configuration_plan(histogram: dict[int, int], capacity: int = CAPACITY, roun
         return plan
     lengths = np.array(sorted(left))
     counts = np.array([left[n] for n in lengths], float)
-    bound = max(float((lengths * counts).sum()) / capacity, 1.0)
     weights, mix = np.ones(len(lengths)), {}
-    for _ in range(rounds):
+    for turn in range(rounds):
         best, last = _knapsack(lengths, lengths / capacity * weights, capacity)
-        demand = counts * weights * lengths
-        mass = demand / demand.sum() * bound / rounds
-        covered = np.zeros(len(lengths))
-        for anchor, rest in enumerate(_fill(lengths, best, last, capacity - lengths)):
-            config = tuple(sorted([anchor, *rest]))
-            mix[config] = mix.get(config, 0.0) + mass[anchor]
-            for i in config:
-                covered[i] += mass[anchor]
-        weights *= np.exp(STEP * np.clip(1 - covered * rounds / counts, -1, 1))
+        covered, filled = np.zeros(len(lengths)), _fill(lengths, best, last, capacity - lengths)
+        for anchor in range(len(lengths) - 1, -1, -1):  # what larger lengths leave uncovered needs sequences of its own
+            mass = counts[anchor] - covered[anchor]
+            if mass > 0:
+                config = tuple(sorted([anchor, *filled[anchor]]))
+                mix[config] = mix.get(config, 0.0) + mass / rounds
+                for i in config:
+                    covered[i] += mass
+        weights *= np.exp(STEP / np.sqrt(1 + turn) * np.clip(1 - covered / counts, -1, 1))
         weights = np.clip(weights / weights.mean(), 1e-3, 1e3)
 
     remaining = {i: int(k) for i, k in enumerate(counts)}
@@ -108,10 +114,6 @@ def configuration_plan(histogram: dict[int, int], capacity: int = CAPACITY, roun
     ordered = sorted(mix, key=lambda c: (-size[c], -mix[c], c))
     for config in ordered:  # rounding down
         take(counted(config), int(mix[config]))
-    for config in ordered:  # then the configurations that leave no room, as often as pieces remain
-        if size[config] == capacity:
-            take(counted(config), capacity * len(lengths) + sum(remaining.values()))
-
     open_lengths = [i for i in range(len(lengths)) if remaining[i]]
     while open_lengths:  # best fit, largest first; each step uses up at least one length
         room, copies = capacity, {}

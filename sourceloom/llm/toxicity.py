@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     kept = unlike(lists)
     toxic, lists = [toxic[i] for i in kept], [lists[i] for i in kept]
-    fold = np.arange(len(lists)) % FOLDS == 0
+    fold = np.array([int(mix(np.array([len(x) + int(x.sum())], np.uint64))[0] % FOLDS) == 0 for x in lists])
     flat = lambda chosen: (np.array([toxic[i] for i in chosen]), np.repeat(np.arange(len(chosen)), [len(lists[i]) for i in chosen]),
                            np.concatenate([lists[i] for i in chosen]).astype(np.int64))
     trial = fit(*flat(np.flatnonzero(~fold)), counts) if (~fold).any() else None
@@ -168,15 +168,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def best_threshold(p: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
-    """Threshold with the greatest F1 on held-out texts, halfway to the next lower value; 0.5 if there are no toxic ones."""
-    if not toxic.any():
+    """Threshold with the greatest F1 on held-out texts, halfway to the next lower value.
+
+    0.5 if they have no toxic or no clean text, or if the threshold would be below their share of toxic ones.
+    """
+    if len(set(toxic.tolist())) < 2:
         return 0.5
+    usual = float((weight * toxic).sum() / weight.sum())
     order = np.argsort(-p, kind="stable")
     p, hit, all_ = p[order], np.cumsum((weight * toxic)[order]), np.cumsum(weight[order])
     last = np.append(p[1:] != p[:-1], True)
     f1 = np.where(last, 2 * hit / (all_ + (weight * toxic).sum()), 0)
     best = int(f1.argmax())
-    return float((p[best] + (p[best + 1] if best + 1 < len(p) else 0)) / 2)
+    found = float((p[best] + (p[best + 1] if best + 1 < len(p) else 0)) / 2)
+    return found if p[best] > usual else 0.5
 
 
 def scores(model: Model | None, column: pa.Array) -> np.ndarray:
