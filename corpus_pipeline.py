@@ -34,8 +34,9 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if again.isEmpty():
         return once
     unique = drop_rows(once, again, "doc_id", "text")
-    copies = once.withColumn("_row", row_key("doc_id", "text")).alias("d").join(
-        again, F.col("d.doc_id").eqNullSafe(F.col("id")) & (F.col("_row") == F.col("row")), "left_semi")
+    wanted = again.select(F.col("id").alias("_again"), F.col("row").alias("_again_row"))
+    copies = once.withColumn("_row", row_key("doc_id", "text")).join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("_again")) & (F.col("_row") == F.col("_again_row")), "left_semi")
     return unique.union(copies.dropDuplicates(["doc_id", "_row"]).drop("_row"))
 
 
