@@ -113,12 +113,12 @@ def target_path(path: Column, new_extension: Column) -> Column:
 
 
 def prompt_key(model: Column, system: Column, user: Column) -> Column:
-    """Prompts that agree in the hashed prefixes share a key."""
+    """Prompts share a key only if model, system and user text agree as a whole."""
     raw = F.concat_ws(
         ":",
         F.coalesce(model, F.lit("")),
-        F.substring(F.coalesce(system, F.lit("")), 1, rules.KEY_SYSTEM_CHARS),
-        F.substring(F.coalesce(user, F.lit("")), 1, rules.KEY_USER_CHARS),
+        F.coalesce(system, F.lit("")),
+        F.coalesce(user, F.lit("")),
     )
     return F.sha2(raw, 256)
 

@@ -50,20 +50,17 @@ def first_n_files(files: DataFrame, n: int, chars: int) -> DataFrame:
 
 
 def detect_framework(files: DataFrame) -> DataFrame:
-    """First signature in table order found in the joined heads of the first files."""
-    heads = first_n_files(
-        files.select("repo", "path", "content"), rules.FRAMEWORK_FILES, rules.FRAMEWORK_CHARS
-    )
-    joined = heads.groupBy("repo").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("path", "content"))), lambda x: x["content"]), "\n"
-        ).alias("heads")
-    )
-    found = None
-    for name, pattern in rules.FRAMEWORK_SIGNATURES:
-        hit = F.col("heads").rlike(T.java(pattern, multiline=False))
-        found = F.when(hit, name) if found is None else found.when(hit, name)
-    return joined.select("repo", found.alias("framework"))
+    """First signature in table order that any file of the repository has, in whole texts.
+
+    Each file yields the rank of its own first signature; only ranks are shuffled.
+    """
+    rank = None
+    for i, (_, pattern) in enumerate(rules.FRAMEWORK_SIGNATURES):
+        hit = F.col("content").rlike(T.java(pattern, multiline=False))
+        rank = F.when(hit, i) if rank is None else rank.when(hit, i)
+    names = T.literal_array([name for name, _ in rules.FRAMEWORK_SIGNATURES])
+    first = files.select("repo", rank.alias("rank")).groupBy("repo").agg(F.min("rank").alias("rank"))
+    return first.select("repo", F.get(names, F.col("rank")).alias("framework"))
 
 
 def top_entry_points(files: DataFrame, n: int = rules.LISTED_ENTRY_POINTS) -> DataFrame:

@@ -36,10 +36,11 @@ def detect_language(files: DataFrame) -> DataFrame:
 
 def keep_code(files: DataFrame) -> DataFrame:
     """Drop files of unknown language unless their suffix marks a kept configuration file."""
-    return files.filter(
-        (language_of(F.col("path")) != "unknown")
-        | T.extension(F.col("path")).isin(rules.KEPT_UNKNOWN_EXTENSIONS)
-    )
+    return files.filter(is_code(F.col("path")))
+
+
+def is_code(path: Column) -> Column:
+    return (language_of(path) != "unknown") | T.extension(path).isin(rules.KEPT_UNKNOWN_EXTENSIONS)
 
 
 def classify_file_type(files: DataFrame) -> DataFrame:

@@ -168,14 +168,14 @@ def cache_stats(marked: DataFrame) -> DataFrame:
     )
 
 
-def retry_log(attempts: DataFrame) -> DataFrame:
+def retry_log(attempts: DataFrame, allowance: int = rules.MAX_ATTEMPTS) -> DataFrame:
     """Per request of (request_id, attempt from 0, ok): attempts made, errors, waiting time.
 
-    A request ends with its first success or after the last attempt allowed.  Attempt ``i``
-    that fails is followed by a wait of 2^i + 0.5 seconds.
+    A request ends with its first success; every attempt in the log counts, also those beyond the
+    allowance, which only decides whether a request without success has been given up.  Attempt
+    ``i`` that fails is followed by a wait of 2^i + 0.5 seconds.
     """
-    allowed = attempts.filter(F.col("attempt") < rules.MAX_ATTEMPTS)
-    ends = allowed.groupBy("request_id").agg(
+    ends = attempts.groupBy("request_id").agg(
         F.min(F.when(F.col("ok"), F.col("attempt"))).alias("first_ok"), F.count("*").alias("n")
     )
     errors = F.coalesce(F.col("first_ok"), F.col("n")).cast("bigint")
@@ -185,5 +185,5 @@ def retry_log(attempts: DataFrame) -> DataFrame:
         F.coalesce(F.col("first_ok") + 1, F.col("n")).cast("bigint").alias("attempts"),
         errors.alias("errors"),
         waited.alias("wait_seconds"),
-        (F.col("first_ok").isNull() & (F.col("n") >= rules.MAX_ATTEMPTS)).alias("gave_up"),
+        (F.col("first_ok").isNull() & (F.col("n") >= allowance)).alias("gave_up"),
     )

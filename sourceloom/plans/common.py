@@ -157,9 +157,6 @@ def prepare(spark: SparkSession) -> None:
     """Session settings the results depend on; a cluster's own sizing is left alone."""
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
-    local = spark.sparkContext.master.startswith("local")
-    if local and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
 
 
 REGISTRY: dict[str, tuple[Callable[[Inputs], DataFrame], str | None]] = {}
@@ -213,14 +210,13 @@ FILE_TYPE = f"""CASE WHEN {sql_any('lower(path)', rules.TEST_MARKERS)} THEN 'tes
   WHEN {EXT} IN {sql_in(rules.SCRIPT_EXTENSIONS)} OR {sql_any('lower(path)', rules.BUILD_MARKERS)} THEN 'build'
   ELSE 'source' END"""
 PRUNED = f"NOT list_has_any(string_split(path, '/')[1:len(string_split(path, '/')) - 1], {sql_list(rules.IGNORED_DIRECTORIES)})"
-SMALL = f"size_bytes <= {rules.MAX_FILE_KB * 1024}"
 KEPT = f"({LANGUAGE} <> 'unknown' OR {EXT} IN {sql_in(rules.KEPT_UNKNOWN_EXTENSIONS)})"
 DECODED = "replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 
 RAW = f"raw AS MATERIALIZED (SELECT '{corpus.REPO}' AS repo, path, content, size_bytes FROM ({corpus.CODE_CORPUS_SQL}) c)"
 FILES = f"""{RAW}, files AS MATERIALIZED (
   SELECT repo, path, {DECODED} AS content, {LANGUAGE} AS language, {FILE_TYPE} AS file_type, size_bytes
-  FROM raw WHERE {PRUNED} AND {SMALL} AND {KEPT})"""
+  FROM raw WHERE {PRUNED} AND {KEPT})"""
 
 
 def imports_sql(patterns: dict[str, list[str]]) -> str:

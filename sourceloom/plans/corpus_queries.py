@@ -11,7 +11,7 @@ from sourceloom.operators import (
 )
 from sourceloom.plans.common import (
     COMPONENTS, DECODED, DISTINCT_KEYWORDS, EDGES, ENTRY, EXT, FILES, FILE_TYPE, IMPORTS, KEPT, LANGUAGE, LAYERS,
-    MIGRATED_SELECT, PRUNED, RAW, REACH, SMALL, TARGET, Inputs, edges_sql, imports_sql, migrated_sql, query, r6, rx,
+    MIGRATED_SELECT, PRUNED, RAW, REACH, TARGET, Inputs, edges_sql, imports_sql, migrated_sql, query, r6, rx,
     sql_any, sql_case, sql_in, sql_list, sql_strip, sql_text,
 )
 from sourceloom.session import scratch_path
@@ -43,9 +43,9 @@ def _(x: Inputs):
 
 @query("binary_filter", f"WITH {RAW} SELECT repo, path FROM raw WHERE CAST(regexp_extract(path, 'f([0-9]+)', 1) AS BIGINT) % 5 <> 0")
 def _(x: Inputs):
-    # every fifth file gets a NUL byte in front of its text
+    # every fifth file gets a NUL byte behind its text
     marked = F.regexp_extract("path", "f([0-9]+)", 1).cast("bigint") % 5 == 0
-    content = F.when(marked, F.concat(F.lit(bytearray(b"\x00")), F.col("content").cast("binary")))
+    content = F.when(marked, F.concat(F.col("content").cast("binary"), F.lit(bytearray(b"\x00"))))
     return S.binary_filter(x.raw.withColumn("content", content.otherwise(F.col("content").cast("binary")))).select("repo", "path")
 
 
@@ -62,6 +62,12 @@ def _(x: Inputs):
     return x.files.select("repo", "path", "language", "file_type", "size_bytes", F.md5("content").alias("digest"))
 
 
+@query("dropped_files", f"""WITH {RAW} SELECT repo, path, size_bytes, CASE WHEN NOT ({PRUNED}) THEN 'ignored directory' ELSE 'not code' END AS reason
+  FROM raw WHERE NOT ({PRUNED}) OR NOT {KEPT}""")
+def _(x: Inputs):
+    return S.dropped_files(x.raw)
+
+
 LAST_WRITERS = f"""{LAYERS}, migrated AS ({MIGRATED_SELECT}), kept AS (SELECT m.*, row_number() OVER (PARTITION BY m.repo, new_path
   ORDER BY layer DESC NULLS FIRST, original_path DESC) AS rn FROM migrated m JOIN layers l ON l.path = m.original_path)"""
 
@@ -344,11 +350,11 @@ def _(x: Inputs):
     return groups.select("repo", "module", "part", "files", F.array_join("paths", ",").alias("paths"))
 
 
-FRAMEWORK = "CASE " + " ".join(
-    f"WHEN regexp_matches(heads, {sql_text(p)}) THEN '{name}'" for name, p in rules.FRAMEWORK_SIGNATURES
+FRAMEWORK_RANK = "CASE " + " ".join(
+    f"WHEN regexp_matches(content, {sql_text(p)}) THEN {i}" for i, (_, p) in enumerate(rules.FRAMEWORK_SIGNATURES)
 ) + " END"
-FRAMEWORKS = f"""SELECT repo, {FRAMEWORK} AS framework FROM (SELECT repo, string_agg(left(content, {rules.FRAMEWORK_CHARS}), chr(10) ORDER BY path) AS heads
-  FROM (SELECT * FROM files ORDER BY path LIMIT {rules.FRAMEWORK_FILES}) f GROUP BY repo) h"""
+FRAMEWORK = "CASE rank " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(rules.FRAMEWORK_SIGNATURES)) + " END"
+FRAMEWORKS = f"SELECT repo, {FRAMEWORK} AS framework FROM (SELECT repo, min({FRAMEWORK_RANK}) AS rank FROM files GROUP BY repo) h"
 
 
 @query("detect_framework", f"WITH {FILES} {FRAMEWORKS}")

@@ -23,7 +23,7 @@ def _value(i: int) -> str:
     return "CASE provider " + " ".join(f"WHEN '{n}' THEN {v[i]}" for n, v in _P.items()) + " END"
 
 
-PROMPTS = f"""prompts AS MATERIALIZED (SELECT p.*, sha256(concat_ws(':', model, left(coalesce(system_prompt, ''), {rules.KEY_SYSTEM_CHARS}), left(user_prompt, {rules.KEY_USER_CHARS}))) AS prompt_key
+PROMPTS = f"""prompts AS MATERIALIZED (SELECT p.*, sha256(concat_ws(':', model, coalesce(system_prompt, ''), coalesce(user_prompt, ''))) AS prompt_key
   FROM (SELECT u.conv_id, u.turn, u.text AS user_prompt, s.system_prompt, a.answer,
     list_extract({_NAMES!r}, CAST(u.conv_id % {len(_NAMES)} + 1 AS BIGINT)) AS provider,
     list_extract({_NAMES!r}, CAST(u.conv_id % {len(_NAMES)} + 1 AS BIGINT)) || '-model' AS model
@@ -98,14 +98,14 @@ def _(x: Inputs):
     return stats.withColumn("hit_rate", r6(F.col("hit_rate")))
 
 
-@query("retry_log", """WITH a AS (SELECT event_id // 3 AS request_id, event_id % 3 AS attempt, event_type NOT IN ('error', 'click') AS ok FROM events),
+@query("retry_log", """WITH a AS (SELECT event_id // 5 AS request_id, event_id % 5 AS attempt, event_type NOT IN ('error', 'click') AS ok FROM events),
   ends AS (SELECT request_id, min(attempt) FILTER (ok) AS first_ok, count(*) AS n FROM a GROUP BY request_id)
   SELECT request_id, coalesce(first_ok + 1, n) AS attempts, coalesce(first_ok, n) AS errors,
-    CASE coalesce(first_ok, n) WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 4.0::DOUBLE ELSE 8.5::DOUBLE END AS wait_seconds,
-    first_ok IS NULL AND n = 3 AS gave_up FROM ends""")
+    CASE coalesce(first_ok, n) WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 4.0::DOUBLE WHEN 3 THEN 8.5::DOUBLE WHEN 4 THEN 17.0::DOUBLE ELSE 33.5::DOUBLE END AS wait_seconds,
+    first_ok IS NULL AND n >= 3 AS gave_up FROM ends""")
 def _(x: Inputs):
     attempts = x.table("events").select(
-        F.floor(F.col("event_id") / 3).cast("bigint").alias("request_id"), (F.col("event_id") % 3).alias("attempt"),
+        F.floor(F.col("event_id") / 5).cast("bigint").alias("request_id"), (F.col("event_id") % 5).alias("attempt"),
         (~F.col("event_type").isin("error", "click")).alias("ok"),
     )
     return usage.retry_log(attempts)

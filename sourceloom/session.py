@@ -26,7 +26,8 @@ DEFAULTS = {
 def local_session(cores: int | str = "*", app: str = "sourceloom", **conf: str) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for key, value in {**DEFAULTS, "spark.ui.enabled": "false", **conf}.items():
+    sizing = {} if cores == "*" else {"spark.sql.shuffle.partitions": str(cores)}
+    for key, value in {**DEFAULTS, "spark.ui.enabled": "false", **sizing, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
