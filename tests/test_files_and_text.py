@@ -11,13 +11,20 @@ def test_tree_scan(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "node_modules" / "x").mkdir(parents=True)
     (tmp_path / "src" / "a.py").write_bytes(b"import os\r\nx = 1\rbad \xff byte\n")
-    (tmp_path / "src" / "bin.py").write_bytes(b"a\x00b")
+    (tmp_path / "src" / "bin.py").write_bytes(b"#" * 9000 + b"\x00b")
+    (tmp_path / "src" / "huge.py").write_bytes(b"# 12345\n" * 250_000)
     (tmp_path / "src" / "big.py").write_bytes(b"#" * 3000)
     (tmp_path / "src" / "node_modules").write_bytes(b"no suffix")
     (tmp_path / "node_modules" / "x" / "i.js").write_bytes(b"1")
     (tmp_path / ".env").write_bytes(b"A=1")
     (tmp_path / "prod.env").write_bytes(b"A=1")
-    found = S.load_corpus(S.read_tree(spark, str(tmp_path)), max_kb=2)
+    tree = S.read_tree(spark, str(tmp_path))
+    assert {r.path: r.size_bytes for r in S.load_corpus(tree).collect()} == {
+        "src/a.py": 28, "prod.env": 3, "src/big.py": 3000, "src/huge.py": 2_000_000}
+    assert {r.path: r.reason for r in S.dropped_files(tree).collect()} == {
+        "src/bin.py": "binary", "src/node_modules": "not code", "node_modules/x/i.js": "ignored directory"}
+    assert "larger than the limit" in {r.reason for r in S.dropped_files(tree, max_kb=2).collect()}
+    found = S.load_corpus(tree, max_kb=2)
     got = {r.path: r for r in found.collect()}
     assert set(got) == {"src/a.py", "prod.env"}
     assert got["src/a.py"].content == "import os\nx = 1\nbad \ufffd byte\n" and got["src/a.py"].size_bytes == 28
@@ -87,11 +94,11 @@ def test_import_patterns_per_language(spark):
 
 def test_diff_pair(spark):
     pair = spark.createDataFrame(
-        [("r", "app.py", "app.ts", "def hello():\n    print('hello')\n", "function hello(): void {\n    console.log('hello');\n}\n", "typescript")],
+        [("r", "tax.py", "tax.ts", "RATE = 19\ndef vat(n):\n    return n * RATE\n", "function vat(n: number): number {\n    return n * 19;\n}\n", "typescript")],
         "repo string, original_path string, new_path string, original_content string, migrated_content string, target_language string",
     )
     row = diff.line_diff_stats(pair).head()
-    assert (row.lines_added, row.lines_removed, row.lines_unchanged, row.change_ratio) == (3, 2, 0, 1.0)
+    assert (row.lines_added, row.lines_removed, row.lines_unchanged, row.change_ratio) == (3, 3, 0, 1.0)
     assert row.original_language == "py" and diff.semantic_changes(pair).count() == 0
 
 

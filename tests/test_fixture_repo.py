@@ -1,4 +1,4 @@
-"""The five-file repository: exact values of every stage."""
+"""Two small repositories: exact values of every stage, worked out by hand."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,83 +7,83 @@ from sourceloom.operators import analysis, checks, classify, context, diff, grap
 
 
 @pytest.fixture(scope="module")
-def edges(spark, five_files):
-    return imports.dependency_edges(five_files).cache()
+def edges(spark, two_repos):
+    return imports.dependency_edges(two_repos).cache()
 
 
 @pytest.fixture(scope="module")
-def migrated(five_files):
-    return rewrite.render_migrated(five_files, "typescript").cache()
+def migrated(two_repos):
+    return rewrite.render_migrated(two_repos, "typescript").cache()
 
 
-def test_languages(five_files):
-    assert [tuple(r) for r in analysis.language_counts(five_files).collect()] == [("r", "javascript", 5)]
+def test_languages(two_repos):
+    assert {tuple(r) for r in analysis.language_counts(two_repos).collect()} == {("warehouse", "python", 5), ("kiosk", "java", 2)}
 
 
-def test_imports_and_edges(five_files, edges):
-    assert imports.extract_imports(five_files).count() == 6
-    assert [(e.source_file, e.target_file, e.import_type) for e in edges.collect()] == [
-        ("tests/userService.test.js", "src/services/userService.js", "static")
-    ]
+def test_imports_and_edges(two_repos, edges):
+    assert imports.extract_imports(two_repos).count() == 8
+    assert {(e.repo, e.source_file, e.target_file) for e in edges.collect()} == {
+        ("warehouse", "stock/levels.py", "stock/units.py"), ("warehouse", "stock/levels.py", "stock/limits.py"),
+        ("warehouse", "stock/units.py", "stock/levels.py"), ("warehouse", "gate/main.py", "stock/limits.py"),
+        ("warehouse", "gate/main.py", "stock/levels.py"), ("warehouse", "checks/levels_test.py", "stock/levels.py"),
+    }
 
 
-def test_framework_entry_points_complexity_modules(ws, five_files):
-    assert analysis.detect_framework(five_files).head().framework == "express"
-    assert [r.path for r in classify.entry_points(five_files).collect()] == ["src/index.js"]
-    assert analysis.avg_complexity(five_files).head().avg_complexity == 0.25
-    groups = {r.module: r.files for r in analysis.module_groups(ws, five_files).collect()}
-    assert groups == {"src": 4, "tests": 1}
+def test_framework_entry_points_complexity_modules(ws, two_repos):
+    assert {r.repo: r.framework for r in analysis.detect_framework(two_repos).collect()} == {"warehouse": None, "kiosk": "spring-boot"}
+    assert [(r.repo, r.path) for r in classify.entry_points(two_repos).collect()] == [("warehouse", "gate/main.py")]
+    assert {r.repo: r.avg_complexity for r in analysis.avg_complexity(two_repos).collect()} == {"warehouse": 0.75, "kiosk": 0.0}
+    groups = {(r.repo, r.module): r.files for r in analysis.module_groups(ws, two_repos).collect()}
+    assert groups == {("warehouse", "stock"): 3, ("warehouse", "gate"): 1, ("warehouse", "checks"): 1, ("kiosk", "menu"): 2}
 
 
-def test_graph(ws, five_files, edges):
-    assert graph.has_cycle(ws, five_files, graph.simple_edges(edges)).head().has_cycle is False
-    layers = graph.topo_layers(ws, five_files, edges)
-    assert {r.path: r.layer for r in layers.collect() if r.layer} == {"tests/userService.test.js": 1}
-    order = graph.migration_order(ws, layers).orderBy("position").collect()
-    assert [r.position for r in order] == [1, 2, 3, 4, 5]
-    assert order[-1].path == "tests/userService.test.js"
+def test_framework_of_a_late_file_and_a_late_line(spark):
+    rows = [("r", f"f{i:03d}.py", "x = 1\n") for i in range(80)] + [("r", "z.py", "#\n" * 5000 + "from flask import Flask\n")]
+    files = spark.createDataFrame(rows, "repo string, path string, content string")
+    assert analysis.detect_framework(files).head().framework == "flask"
 
 
-def test_checks_and_report(ws, five_files, edges, migrated):
+def test_graph(ws, two_repos, edges):
+    cyclic = {r.repo: r.has_cycle for r in graph.has_cycle(ws, two_repos, graph.simple_edges(edges)).collect()}
+    assert cyclic == {"warehouse": True, "kiosk": False}
+    found = graph.components(ws, graph.simple_edges(edges)).collect()
+    assert {(r.path, r.component) for r in found} == {("stock/levels.py", "stock/levels.py"), ("stock/units.py", "stock/levels.py")}
+    layers = graph.topo_layers(ws, two_repos, edges)
+    assert {r.path for r in layers.collect() if r.layer == 0} == {"stock/limits.py", "menu/Board.java", "menu/Price.java"}
+
+
+def test_checks_and_report(ws, two_repos, edges, migrated):
     cycles = graph.components(ws, graph.simple_edges(edges))
-    found = checks.run_checks(ws, migrated, edges, classify.entry_points(five_files), cycles, "typescript").cache()
-    failed = sorted(r.check_name for r in found.filter("NOT passed").collect())
-    assert failed == [
-        "Import Resolution: src/routes/api.ts",
-        "Import Resolution: src/services/userService.ts",
-        "Import Resolution: tests/userService.test.ts",
-    ]
-    report = checks.validation_report(found).head()
-    assert (report.total_checks, report.passed_checks, report.failed_checks, report.success_rate) == (10, 7, 3, 70.0)
-    summary = rewrite.report_summary(migrated, found).head()
-    assert summary.files_migrated == 5 and summary.avg_confidence == pytest.approx(0.92)
-    parts = rewrite.migration_report(migrated, found)
-    assert parts["checks"].count() == 10 and parts["mapping"].count() == 5 and parts["warnings"].count() == 0
-
-
-def test_context(ws, five_files, edges, migrated):
-    layers = graph.topo_layers(ws, five_files, edges)
-    rows = context.dep_context(edges, layers, migrated).collect()
-    assert [r.path for r in rows] == ["tests/userService.test.js"]
-    assert rows[0].context.startswith("\n### Already translated: src/services/userService.js\n```\n// Translated from")
-
-
-def test_render_and_diff_of_stand_in(five_files, migrated):
-    row = migrated.filter("original_path = 'src/db/connection.js'").head()
-    assert row.new_path == "src/db/connection.ts"
-    assert row.migrated_content.startswith(
-        "// Translated from javascript to typescript\n// Original: src/db/connection.js\n\nconst db"
-    )
-    stats = diff.line_diff_stats(migrated).collect()
-    assert all(s.lines_added == 3 and s.lines_removed == 0 for s in stats)
+    found = checks.run_checks(ws, migrated, edges, classify.entry_points(two_repos), cycles, "typescript").cache()
+    failed = {(r.repo, r.check_name): r.details for r in found.filter("NOT passed").collect()}
+    assert failed == {
+        ("warehouse", "Orphaned Files Detection"): "Found 1 potentially orphaned files: checks/levels_test.ts",
+        ("warehouse", "Circular Dependency Check"): "Pre-existing circular dependencies found: 1 cycles.",
+    }
+    report = {r.repo: (r.total_checks, r.passed_checks, r.success_rate) for r in checks.validation_report(found).collect()}
+    assert report == {"warehouse": (10, 8, 80.0), "kiosk": (7, 7, 100.0)}
+    assert rewrite.migration_report(migrated, found)["mapping"].count() == 7
+
+
+def test_context(ws, two_repos, edges, migrated):
+    layers = graph.topo_layers(ws, two_repos, edges)
+    rows = {r.path: r.context for r in context.dep_context(edges, layers, migrated).collect()}
+    assert rows["gate/main.py"].startswith("\n### Already translated: stock/limits.py\n```\n")
+    assert not any(path.startswith("menu/") for path in rows)
+
+
+def test_added_header_is_the_only_difference(migrated):
+    row = migrated.filter("original_path = 'stock/limits.py'").head()
+    assert row.new_path == "stock/limits.ts" and row.migrated_content.endswith("TOP = 40  # pallets in one aisle\n")
+    assert all(r.lines_added == 3 and r.lines_removed == 0 for r in diff.line_diff_stats(migrated).collect())
 
 
-def test_custom_translation_and_confidence(five_files):
-    upper = rewrite.translate_with(five_files, "go", F.upper("content"))
-    assert upper.filter("migrated_content = upper(original_content)").count() == 5
+def test_custom_translation_and_confidence(two_repos):
+    upper = rewrite.translate_with(two_repos, "go", F.upper("content"))
+    assert upper.filter("migrated_content = upper(original_content)").count() == 7
     assert {r.new_path.rsplit(".", 1)[1] for r in upper.collect()} == {"go"}
     good, bad = rewrite.confidence_range(upper.withColumn("confidence_score", F.lit(1.5)))
-    assert good.count() == 0 and bad.count() == 5
+    assert good.count() == 0 and bad.count() == 7
 
 
 def test_last_writer_wins(spark, ws):

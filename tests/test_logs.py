@@ -34,9 +34,15 @@ def test_costs(spark):
 
 
 def test_retry_log(spark):
-    rows = [(1, 0, True), (2, 0, False), (2, 1, True), (2, 2, True), (3, 0, False), (3, 1, False), (3, 2, False)]
+    rows = [(1, 0, True), (2, 0, False), (2, 1, True), (2, 2, True), (3, 0, False), (3, 1, False), (3, 2, False), (3, 3, False), (4, 0, False), (4, 1, False), (4, 2, False), (4, 3, True)]
     log = usage.retry_log(spark.createDataFrame(rows, "request_id bigint, attempt int, ok boolean"))
-    assert sorted(map(tuple, log.collect())) == [(1, 1, 0, 0.0, False), (2, 2, 1, 1.5, False), (3, 3, 3, 8.5, True)]
+    assert sorted(map(tuple, log.collect())) == [(1, 1, 0, 0.0, False), (2, 2, 1, 1.5, False), (3, 4, 4, 17.0, True), (4, 4, 3, 8.5, False)]
+
+
+def test_prompts_that_differ_late_have_different_keys(spark):
+    row = spark.range(1).select(*[T.prompt_key(F.lit("m"), F.lit("s" * 300 + a), F.lit("u" * 600 + b)).alias(n)
+                                  for n, a, b in (("x", "", ""), ("y", "", "!"), ("z", "!", ""), ("w", "", ""))]).head()
+    assert row.x == row.w and len({row.x, row.y, row.z}) == 3
 
 
 def test_prompt_dedup_keeps_first(spark):
@@ -70,18 +76,18 @@ def test_snapshots(spark):
     at = lambda s: datetime.fromtimestamp(s, timezone.utc)
     one = spark.createDataFrame([("a", 1), ("b", 2)], "path string, v int")
     two = spark.createDataFrame([("b", 9), ("c", 3)], "path string, v int")
-    point = snapshots.create_snapshot(spark, root, "phase1", one, at(100), ["path"], "Before migration").head()
-    assert (point.file_count, point.description, point.snapshot_id) == (2, "Before migration", "phase1_100")
+    point = snapshots.create_snapshot(spark, root, "intake", one, at(100), ["path"], "first stock count").head()
+    assert (point.file_count, point.description, point.snapshot_id) == (2, "first stock count", "intake_100")
     # same phase and second: merged
-    assert snapshots.create_snapshot(spark, root, "phase1", two, at(100), ["path"]).head().file_count == 3
-    assert snapshots.create_snapshot(spark, root, "phase2", None, at(150), ["path"]).head().file_count == 0
-    snapshots.create_snapshot(spark, root, "phase1", one, at(200), ["path"])
-    restored = snapshots.restore_snapshot(spark, root, "phase1", one.schema)
+    assert snapshots.create_snapshot(spark, root, "intake", two, at(100), ["path"]).head().file_count == 3
+    assert snapshots.create_snapshot(spark, root, "sorting", None, at(150), ["path"]).head().file_count == 0
+    snapshots.create_snapshot(spark, root, "intake", one, at(200), ["path"])
+    restored = snapshots.restore_snapshot(spark, root, "intake", one.schema)
     assert sorted(map(tuple, restored.collect())) == [("a", 1), ("b", 2)]
     assert snapshots.restore_snapshot(spark, root, "nothing", one.schema) is None
     snapshots.cleanup(spark, root, 1)
     left = history.list_snapshots(snapshots.read_log(spark, root)).collect()
-    assert [p.path for p in left] == ["phase1_200"]
+    assert [p.path for p in left] == ["intake_200"]
     actions = [r.action for r in snapshots.read_log(spark, root).collect()]
     assert (actions.count("CREATE_ROLLBACK"), actions.count("ROLLBACK"), actions.count("CLEANUP")) == (4, 1, 2)
 
@@ -95,10 +101,10 @@ def test_snapshot_diff(spark):
 
 def test_priority_order(spark):
     hooks = spark.createDataFrame(
-        [("second", 200, 0, True), ("first", 100, 1, True), ("off", 1, 2, False), ("tie", 100, 3, True)],
+        [("ship", 70, 0, True), ("pack", 30, 1, True), ("idle", 1, 2, False), ("label", 30, 3, True)],
         "name string, priority int, seq int, enabled boolean",
     )
-    assert [r.name for r in telemetry.priority_order(hooks).collect()] == ["first", "tie", "second"]
+    assert [r.name for r in telemetry.priority_order(hooks).collect()] == ["pack", "label", "ship"]
 
 
 def test_json_log_round_trip(spark):

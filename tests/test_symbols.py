@@ -3,11 +3,11 @@ from conftest import one_file
 from sourceloom.operators import symbols
 
 PYTHON_IMPORTS = """
-import os
-import json
-from typing import List, Dict
-from src.models.config import MigrationConfig
-from ..utils import helper
+import decimal
+import csv
+from fractions import Fraction, gcd
+from ledger.book.rows import Entry
+from ...shared import rounding
 """
 
 
@@ -18,9 +18,9 @@ def rows(df, *columns):
 def test_python_imports(spark):
     found = symbols.python_imports(one_file(spark, PYTHON_IMPORTS, "python"))
     assert rows(found, "line", "module", "name", "type", "level") == [
-        (2, "os", None, "absolute", 0), (3, "json", None, "absolute", 0),
-        (4, "typing", "Dict", "absolute", 0), (4, "typing", "List", "absolute", 0),
-        (5, "src.models.config", "MigrationConfig", "absolute", 0), (6, "utils", "helper", "relative", 2),
+        (2, "decimal", None, "absolute", 0), (3, "csv", None, "absolute", 0),
+        (4, "fractions", "Fraction", "absolute", 0), (4, "fractions", "gcd", "absolute", 0),
+        (5, "ledger.book.rows", "Entry", "absolute", 0), (6, "shared", "rounding", "relative", 3),
     ]
 
 
@@ -45,35 +45,35 @@ def test_python_classes_and_nesting(spark):
     assert (found["A"].line, found["B"].line) == (3, 6)
 
 
-def test_python_class_of_three_methods(spark):
-    code = "\nclass MyService:\n    def __init__(self, db):\n        self.db = db\n\n    async def get_users(self) -> list:\n        return []\n\n    def _private_method(self):\n        pass\n"
+def test_python_class_methods_in_order(spark):
+    code = "class Scale:\n    unit = 'g'\n    def tare(self): self.zero = 0\n\n    async def settle(self, ms) -> float:\n        return ms / 2\n"
     found = symbols.classes(one_file(spark, code, "python")).collect()
-    assert len(found) == 1 and found[0].name == "MyService" and len(found[0].methods) == 3
+    assert [(c.name, [(m.name, m.is_async) for m in c.methods]) for c in found] == [("Scale", [("tare", False), ("settle", True)])]
 
 
 def test_python_functions(spark):
     code = (
-        '\ndef process_data(input_file: str, output_dir: str) -> bool:\n    """Process the data file."""\n    return True\n'
-        "\nasync def fetch_remote(url: Dict[str, int] = {}, *rest) -> dict:\n    pass\n\ndef long(\n    a,\n    b: int,\n):\n    'short'\n"
+        '\ndef weigh(parcel: Parcel, tare: float) -> float:\n    """Weight in grams."""\n    return 0.0\n'
+        "\nasync def ship(stops: Dict[str, int] = {}, *rest) -> Route:\n    pass\n\ndef long(\n    a,\n    b: int,\n):\n    'short'\n"
     )
     found = symbols.functions(one_file(spark, code, "python")).orderBy("line").collect()
-    assert [f.name for f in found] == ["process_data", "fetch_remote", "long"]
-    assert found[0].docstring == "Process the data file." and found[0].return_type == "bool"
+    assert [f.name for f in found] == ["weigh", "ship", "long"]
+    assert found[0].docstring == "Weight in grams." and found[0].return_type == "float"
     assert found[1].is_async and found[1].docstring is None
-    assert [(p.name, p.type) for p in found[1].params] == [("url", "Dict[str, int]")]
+    assert [(p.name, p.type) for p in found[1].params] == [("stops", "Dict[str, int]")]
     assert [(p.name, p.type) for p in found[2].params] == [("a", None), ("b", "int")]
     assert found[2].docstring == "short"
 
 
 def test_js_imports(spark):
-    es6 = "\nimport React from 'react';\nimport { useState, useEffect } from 'react';\nimport axios from 'axios';\n"
+    es6 = "import Chart from 'plots';\nimport { axis, legend } from 'plots';\nimport palette from './colours';\n"
     assert rows(symbols.js_imports(one_file(spark, es6, "javascript")), "module", "name", "type") == [
-        ("axios", "axios", "default"), ("react", "React", "default"),
-        ("react", "useEffect", "named"), ("react", "useState", "named"),
+        ("./colours", "palette", "default"), ("plots", "Chart", "default"),
+        ("plots", "axis", "named"), ("plots", "legend", "named"),
     ]
-    cjs = "\nconst express = require('express');\nconst { Router } = require('express');\nconst path = require('path');\n"
+    cjs = "const knex = require('knex');\nconst { raw } = require('knex');\nconst zlib = require('zlib');\n"
     assert rows(symbols.js_imports(one_file(spark, cjs, "javascript")), "name", "type") == [
-        ("Router", "cjs_named"), ("express", "cjs_default"), ("path", "cjs_default"),
+        ("knex", "cjs_default"), ("raw", "cjs_named"), ("zlib", "cjs_default"),
     ]
     other = "const m = await import('./lazy');\nimport * as all from 'x';\nimport { a as b } from 'y';"
     assert rows(symbols.js_imports(one_file(spark, other, "javascript")), "module", "name", "alias", "type") == [
@@ -88,11 +88,11 @@ def test_ts_type_imports(spark):
 
 def test_exports(spark):
     js = (
-        "\nexport const API_URL = 'http://localhost';\nexport function handleRequest(req, res) {}\n"
-        "export default class AppController {}\nmodule.exports = { helper, utils };\n"
+        "export const RATE = 19;\nexport function vat(net) { return net * RATE; }\n"
+        "export default class Till {}\nmodule.exports = { open, close };\n"
     )
     assert rows(symbols.exports(one_file(spark, js, "javascript")), "name") == [
-        ("API_URL",), ("AppController",), ("handleRequest",), ("helper",), ("utils",),
+        ("RATE",), ("Till",), ("close",), ("open",), ("vat",),
     ]
     py = "__all__ = ['a', \"b\"]\ndef f(): pass\ndef _g(): pass\nclass C: pass\n    def inner(): pass\n"
     assert rows(symbols.exports(one_file(spark, py, "python")), "name", "type") == [
