@@ -19,6 +19,14 @@ def _events(x: Inputs):
     return read_stream(x.spark, x.sf_dir, x.table("events").schema, "events.parquet")
 
 
+def _shuffled_events(x: Inputs, files: int = 6):
+    """The whole table as several micro-batches that do not follow time."""
+    folder = scratch_path(x.spark, "events")
+    events = x.table("events")
+    events.repartition(files, F.xxhash64("event_id")).write.parquet(folder)
+    return read_stream(x.spark, folder, events.schema, files_per_batch=2)
+
+
 def _streamed(x: Inputs, **tables) -> Inputs:
     """The same inputs with some tables as streams."""
     class Streamed(Inputs):
@@ -92,19 +100,17 @@ def _(x: Inputs):
 @query("stream_ttl_hits", f'WITH RECURSIVE {TTL} SELECT key, "at", seq, hit FROM walk')
 def _(x: Inputs):
     out = scratch_path(x.spark, "hits")
-    logs.stream_ttl_hits(_streamed(x, events=_events(x)).requests, out, TTL_SECONDS)
-    return logs.marked_requests(x.spark, out)
+    logs.stream_ttl_hits(_streamed(x, events=_shuffled_events(x)).requests, out)
+    return logs.marked_requests(x.ws, out, TTL_SECONDS)
 
 
 @query("stream_spans", f"""SELECT event_id AS span_id, event_type AS operation, CASE WHEN event_id % 7 = 0 THEN 'running' ELSE {STATUS} END AS status,
   CASE WHEN event_id % 7 <> 0 THEN round({SPAN_MS}, 3)::DOUBLE END AS duration_ms FROM events""")
 def _(x: Inputs):
     out = scratch_path(x.spark, "spans")
-    streamed = [_streamed(x, events=_events(x)).spans for _ in range(2)]
-    starts = streamed[0].select("span_id", "operation", "started_at")
     # every seventh span never ends
-    ends = streamed[1].filter("span_id % 7 <> 0").select("span_id", "ended_at", "status")
-    logs.stream_spans(starts, ends, out)
+    ends = _streamed(x, events=_shuffled_events(x)).spans.filter("span_id % 7 <> 0")
+    logs.stream_spans(ends, out)
     found = logs.spans(x.spark, out, x.spans.select("span_id", "operation", "started_at"))
     return found.select(
         "span_id", "operation", "status",

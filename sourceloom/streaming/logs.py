@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sourceloom import rules
+from sourceloom.operators import usage
+from sourceloom.session import Workspace
 from sourceloom.streaming.tables import change_log, newest, read_batches, run_available, write_batch
 
 FINISHED = ["completed", "failed"]
@@ -40,83 +38,35 @@ def current_metrics(spark: SparkSession, out: str) -> DataFrame:
 
 
 # --- cache hits ---------------------------------------------------------------------------------
-class LiveEntry(StatefulProcessor):
-    """The live cache entry of one key; a timer drops it once the watermark has passed its end."""
-
-    def __init__(self, ttl_micros: int):
-        self.ttl = ttl_micros
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.created = handle.getValueState("created", "at bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "seq"])
-        created = self.created.get()[0] if self.created.exists() else None
-        hits, before = [], created
-        for at in batch["at"].tolist():
-            hit = created is not None and at - created <= self.ttl
-            if not hit:
-                created = at
-            hits.append(hit)
-        if created != before:
-            self.created.update((created,))
-            self.handle.registerTimer((created + self.ttl) // 1000 + 1)
-        yield pd.DataFrame({"key": key[0], "at": batch["at"], "seq": batch["seq"], "hit": hits})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.created.exists():
-            ends = (self.created.get()[0] + self.ttl) // 1000 + 1
-            if ends <= expiredTimerInfo.getExpiryTimeInMs():
-                self.created.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_ttl_hits(
-    requests: DataFrame, out: str, ttl_seconds: int = rules.DEFAULT_TTL_SECONDS, lateness: str = "1 hour"
-) -> None:
-    """Mark requests of (key, at in microseconds, seq) as hit or miss while they come in.
-
-    Requests later than the watermark are dropped, which bounds the state.
+def stream_ttl_hits(requests: DataFrame, out: str) -> None:
+    """Log requests of (key, at in microseconds, seq) while they come in, each batch in one folder.
+
+    Whether a request is a hit depends on all earlier ones of its key, whenever they arrive, so no
+    request is marked before the log is read and none is ever too late.
     """
-    ttl = (ttl_seconds or rules.DEFAULT_TTL_SECONDS) * 1_000_000
-    marked = (
-        requests.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", lateness)
-        .groupBy("key").transformWithStateInPandas(
-            statefulProcessor=LiveEntry(ttl), outputStructType="key string, at bigint, seq bigint, hit boolean",
-            outputMode="Append", timeMode="EventTime",
-        )
-    )
-    run_available(marked, lambda batch, i: write_batch(batch, f"{out}/marked", i), f"{out}/checkpoint")
+    run_available(requests.select("key", "at", "seq"), lambda batch, i: write_batch(batch, f"{out}/requests", i), f"{out}/checkpoint")
 
 
-def marked_requests(spark: SparkSession, out: str) -> DataFrame:
-    return read_batches(spark, f"{out}/marked", "key string, at bigint, seq bigint, hit boolean").drop("batch_id")
+def marked_requests(ws: Workspace, out: str, ttl_seconds: int = rules.DEFAULT_TTL_SECONDS) -> DataFrame:
+    """All requests so far as hit or miss, in order of time; keys of any length are cut by ranges."""
+    logged = read_batches(ws.spark, f"{out}/requests", "key string, at bigint, seq bigint").drop("batch_id")
+    return usage.ttl_hits(ws, logged, ttl_seconds)
 
 
 # --- spans ----------------------------------------------------------------------------------------
-CLOSED = "span_id bigint, operation string, started_at timestamp, ended_at timestamp, status string"
+ENDS = "span_id bigint, ended_at timestamp, status string"
 
 
-def stream_spans(starts: DataFrame, ends: DataFrame, out: str, lateness: str = "1 hour", longest: str = "1 day") -> None:
-    """Join span starts with their ends; both sides forget what can no longer be matched."""
-    begun = starts.withWatermark("started_at", lateness)
-    ended = ends.withColumnRenamed("span_id", "end_id").withWatermark("ended_at", lateness)
-    closed = begun.join(
-        ended,
-        F.expr(
-            f"span_id = end_id AND ended_at >= started_at AND ended_at <= started_at + interval {longest}"
-        ),
-    ).select("span_id", "operation", "started_at", "ended_at", "status")
-    run_available(closed, lambda batch, i: write_batch(batch, f"{out}/closed", i), f"{out}/checkpoint")
+def stream_spans(ends: DataFrame, out: str) -> None:
+    """Log the ends of spans; a span may last any time, and its end may come at any time."""
+    run_available(ends.select("span_id", "ended_at", "status"), lambda batch, i: write_batch(batch, f"{out}/ends", i), f"{out}/checkpoint")
 
 
 def spans(spark: SparkSession, out: str, starts: DataFrame) -> DataFrame:
-    """All spans begun so far; those without an end are still running."""
-    closed = read_batches(spark, f"{out}/closed", CLOSED).select("span_id", "ended_at", "status")
+    """All spans begun so far; those without an end are still running.  Of several ends the first counts, none before the start."""
+    ends = read_batches(spark, f"{out}/ends", ENDS).select("span_id", F.struct("ended_at", "status").alias("end"))
+    timely = starts.select("span_id", "started_at").join(ends, "span_id").where("end.ended_at >= started_at")
+    closed = timely.groupBy("span_id").agg(F.min("end").alias("end")).select("span_id", "end.*")
     return starts.join(closed, "span_id", "left").select(
         "span_id", "operation", "started_at", "ended_at", F.coalesce("status", F.lit("running")).alias("status")
     )

@@ -46,9 +46,11 @@ def test_status_and_metrics(spark, events):
 
 def test_ttl_hits(spark, ws, events):
     requests = events.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq")
-    out = scratch_path(spark, "hits")
-    logs.stream_ttl_hits(split_stream(spark, requests, "seq"), out, 1200)
-    assert same(logs.marked_requests(spark, out).select("key", "at", "seq", "hit"), usage.ttl_hits(ws, requests, 1200))
+    for order in ("seq", "shuffled", "backwards"):
+        mixed = requests.withColumn("shuffled", F.pmod(F.xxhash64("seq"), F.lit(400))).withColumn("backwards", 399 - F.col("seq"))
+        out = scratch_path(spark, "hits")
+        logs.stream_ttl_hits(split_stream(spark, mixed, order, parts=5), out)
+        assert same(logs.marked_requests(ws, out, 1200).select("key", "at", "seq", "hit"), usage.ttl_hits(ws, requests, 1200))
 
 
 def test_spans(spark, events):
@@ -57,8 +59,11 @@ def test_spans(spark, events):
         "span_id", F.timestamp_micros(F.unix_micros("started_at") + 5_000_000).alias("ended_at"), F.lit("ok").alias("status")
     )
     out = scratch_path(spark, "spans")
-    logs.stream_spans(split_stream(spark, starts, "span_id"), split_stream(spark, ends, "span_id"), out)
+    late = ends.filter("span_id % 40 = 1").withColumn("ended_at", F.timestamp_micros(F.unix_micros("ended_at") + 40 * 86_400_000_000))
+    early = ends.filter("span_id % 40 = 2").withColumn("ended_at", F.timestamp_micros(F.unix_micros("ended_at") - 40_000_000))
+    logs.stream_spans(split_stream(spark, ends.filter("span_id % 40 <> 1").union(late).union(early), "span_id"), out)
     found = logs.spans(spark, out, starts)
+    assert found.filter("ended_at < started_at").count() == 0 and found.filter("ended_at > started_at + interval 30 days").count() == 10
     assert found.filter("status = 'running'").count() == 100 and found.filter("status = 'ok'").count() == 300
 
 
