@@ -176,6 +176,23 @@ def check_untranslated(migrated: DataFrame) -> DataFrame:
     return _verdict(rows, name, F.col("n") > 0, "error", F.concat(F.lit(bad), "first"), good)
 
 
+def offenders(migrated: DataFrame, edges: DataFrame, entry_points: DataFrame, target: str) -> DataFrame:
+    """Every file that a check on single files finds fault with: repo, check_name, path.
+
+    The verdicts name the first few; this table has them all.  Three checks look at a row once,
+    orphans at keys only.
+    """
+    names = {k: rules.CHECK_TEXTS[k][0] for k in ("orphans", "naming", "completeness", "untranslated")}
+    faults = F.array_compact(F.array(
+        F.when(name_violation(F.col("new_path"), target), names["naming"]),
+        F.when(T.near_empty(F.col("migrated_content")), names["completeness"]),
+        F.when(T.untranslated(F.col("original_content"), F.col("migrated_content")), names["untranslated"]),
+    ))
+    own = migrated.select("repo", F.explode_outer(faults).alias("check_name"), F.col("new_path").alias("path")).filter("check_name IS NOT NULL")
+    alone = orphan_files(migrated, edges, entry_points).select("repo", F.lit(names["orphans"]).alias("check_name"), F.col("new_path").alias("path"))
+    return own.unionByName(alone)
+
+
 def run_checks(
     ws: Workspace, migrated: DataFrame, edges: DataFrame, entry_points: DataFrame,
     components: DataFrame, target: str,

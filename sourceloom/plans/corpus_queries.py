@@ -511,6 +511,18 @@ def _(x: Inputs):
     return checks.check_untranslated(_trimmed(x))
 
 
+_FAULTS = {
+    "orphans": ORPHANS, "naming": NAMING, "completeness": f"length({sql_strip('migrated_content')}) < {rules.MIN_TRANSLATED_CHARS}",
+    "untranslated": f"{sql_strip('migrated_content')} = {sql_strip('original_content')}",
+}
+
+
+@query("check_offenders", f"WITH {EDGES}, plain AS ({MIGRATED_SELECT}), migrated AS MATERIALIZED ({TRIMMED}) " + " UNION ALL ".join(
+    f"SELECT repo, '{rules.CHECK_TEXTS[k][0]}' AS check_name, new_path AS path FROM migrated WHERE {c}" for k, c in _FAULTS.items()))
+def _(x: Inputs):
+    return checks.offenders(_trimmed(x), x.edges, x.entry_points, TARGET)
+
+
 ALL_CHECKS = " UNION ALL ".join([IMPORT_CHECK, ORPHAN_CHECK, NAMING_CHECK, CYCLE_CHECK, EMPTY_CHECK, SAME_CHECK])
 CHECKS = f"{refs_sql(migrated_sql(COMPONENTS))}, checks AS MATERIALIZED ({ALL_CHECKS})"
 
