@@ -70,8 +70,13 @@ def _items(text: Column) -> Column:
 
 
 def _rows(files: DataFrame, entries: Column, *keep: str) -> DataFrame:
-    """Explode an array of structs into columns next to the file key."""
-    return files.select("repo", "path", *keep, F.explode(entries).alias("e")).select("repo", "path", *keep, "e.*")
+    """Explode an array of structs into columns next to the file key.
+
+    A plain explode would infer a filter on the array and push it down, which copies the columns that
+    the array's lambdas read into the lambdas, to be worked out anew for each element.
+    """
+    found = files.select("repo", "path", *keep, F.explode_outer(entries).alias("e")).filter("e IS NOT NULL")
+    return found.select("repo", "path", *keep, "e.*")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -83,32 +88,33 @@ def _null(kind: str = "string") -> Column:
 
 
 # --- imports ------------------------------------------------------------------------------------
-def _whole_statement(source_lines: Column, i: Column, line: Column) -> Column:
-    """A line with what follows it while a bracket is open or a backslash continues it."""
+def _cut(files: DataFrame, head: str, name: str) -> DataFrame:
+    """Add the text cut before each line that matches ``head``, and the numbers of these lines."""
+    numbered = F.transform(T.lines(F.col("content")), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    starts = F.transform(F.filter(numbered, lambda x: x["text"].rlike(T.java(head))), lambda x: x["line"])
+    return files.withColumns({f"{name}_pieces": F.split("content", T.java(rf"(?={head})")), f"{name}_starts": starts})
+
+
+def _whole_statement(piece: Column) -> Column:
+    """A piece's first line with what follows it while a bracket is open or a backslash continues it."""
+    line = F.substring_index(piece, "\n", 1)
     open_bracket = F.contains(line, F.lit("(")) & ~F.contains(line, F.lit(")"))
-    rest = F.array_join(F.slice(source_lines, i + 1, F.size(source_lines)), "\n")
-    whole = F.regexp_extract(rest, r"^(?:[^\n(\\]*\\\n)*[^\n(]*(?:\([^)]*\)?)?", 0)
+    whole = F.regexp_extract(piece, r"^(?:[^\n(\\]*\\\n)*[^\n(]*(?:\([^)]*\)?)?", 0)
     continued = open_bracket | F.endswith(line, F.lit("\\"))
     return F.when(continued, F.regexp_replace(whole, r"(?:\\\n|#[^\n]*|\n)", " ")).otherwise(line)
 
 
-def _statements(content: Column, head: str) -> Column:
-    """Structs (line, text) of the logical lines whose first line matches ``head``."""
-    source_lines = T.lines(content)
-    numbered = F.transform(source_lines, lambda x, i: F.struct(i.alias("i"), x.alias("text")))
-    return F.transform(
-        F.filter(numbered, lambda x: x["text"].rlike(T.java(head))),
-        lambda x: F.struct(
-            (x["i"] + 1).alias("line"), _whole_statement(source_lines, x["i"], x["text"]).alias("text")
-        ),
-    )
+def _statements(name: str) -> Column:
+    """Structs (line, text) of the logical lines at which ``_cut`` has cut."""
+    pieces, starts = F.col(f"{name}_pieces"), F.col(f"{name}_starts")
+    own = F.slice(pieces, F.size(pieces) - F.size(starts) + 1, F.size(starts))
+    paired = F.arrays_zip(starts.alias("line"), own.alias("piece"))
+    return F.transform(paired, lambda x: F.struct(x["line"].alias("line"), _whole_statement(x["piece"]).alias("text")))
 
 
 def python_imports(files: DataFrame) -> DataFrame:
     """One row per imported name: module, name, alias, type, level, line."""
-    found = _rows(
-        _in_language(files, ["python"]), _statements(F.col("content"), rf"^[ \t]*(?:import|from)[ \t.]")
-    )
+    found = _rows(_cut(_in_language(files, ["python"]), r"^[ \t]*(?:import|from)[ \t.]", "_import"), _statements("_import"))
     plain_list = _group(F.col("text"), PY_IMPORT_LINE, 1)
     alias = rf"[ \t]as[ \t]+([{W}]+)"
     plain = found.filter(plain_list != "").select(
@@ -246,14 +252,17 @@ _OPEN = "struct<line:int,indent:int,kind:string,name:string>"
 _PY_STATE = f"struct<open:array<{_OPEN}>,waiting:array<string>,heads:array<{_HEAD}>>"
 
 
-def _python_heads(content: Column) -> Column:
+# what opens a block or waits for one: classes, functions and decorators
+_MARKER = rf"^[ \t]*(?:class[ \t]+[{W}]+|(?:async[ \t]+)?def[ \t]+[{W}]+|@[{W}])"
+
+
+def _python_heads() -> Column:
     """Class and function heads with the head that encloses each, in one pass over the heads.
 
     The state holds the open blocks by indentation and the decorators that wait for a head.
     """
-    marker = rf"^[ \t]*(?:class[ \t]+[{W}]+|(?:async[ \t]+)?def[ \t]+[{W}]+|@[{W}])"
     items = F.transform(
-        _statements(content, marker),
+        _statements("_head"),
         lambda x: F.struct(
             x["line"].alias("line"),
             F.length(F.regexp_extract(x["text"], r"^[ \t]*", 0)).alias("indent"),
@@ -355,7 +364,8 @@ def _js_bases(head: Column) -> Column:
 def classes(files: DataFrame) -> DataFrame:
     """Classes with bases, decorators or annotations, and methods: one row per class."""
     content = F.col("content")
-    python = _in_language(files, ["python"]).select("repo", "path", "language", _python_heads(content).alias("heads"))
+    split = _cut(_in_language(files, ["python"]), _MARKER, "_head")
+    python = split.select("repo", "path", "language", _python_heads().alias("heads"))
     listed = F.transform(
         F.filter("heads", lambda h: h["kind"] == "class"),
         lambda c: F.struct(
@@ -419,11 +429,14 @@ def _js_params(listed: Column) -> Column:
 def functions(files: DataFrame) -> DataFrame:
     """Top-level functions: name, params, return_type, is_async, decorators, line, docstring."""
     content = F.col("content")
-    source_lines = T.lines(content)
     nothing = F.array().cast("array<string>")
+    # the text is cut once before each top-level definition; a definition finds its piece by its line
+    cut = _cut(_cut(_in_language(files, ["python"]), _MARKER, "_head"), r"^(?:async[ \t]+)?def[ \t]", "_def")
 
     def docstring(line: Column) -> Column:
-        rest = F.array_join(F.slice(source_lines, line, F.size(source_lines)), "\n")
+        pieces, lines = F.col("_def_pieces"), F.col("_def_starts")
+        at = F.array_position(lines, line).cast("int") - 1 + F.size(pieces) - F.size(lines)
+        rest = F.get(pieces, at)
         body = r"(?s)^(?:async[ \t]+)?def[^(]*\((?:[^()]++|\([^()]*\))*+\)[^:]*:[ \t]*(?:#[^\n]*)?\n[ \t\n]*"
         triple = F.regexp_extract(rest, body + r"[rRuU]?(\"\"\"|''')(.*?)\1", 2)
         single = F.regexp_extract(rest, body + r"[rRuU]?([\"'])([^\"'\n]+)\1", 2)
@@ -431,7 +444,7 @@ def functions(files: DataFrame) -> DataFrame:
         return F.nullif(T.strip(text), F.lit(""))
 
     python = F.transform(
-        F.filter(_python_heads(content), lambda h: (h["kind"] == "def") & (h["indent"] == 0)),
+        F.filter(_python_heads(), lambda h: (h["kind"] == "def") & (h["indent"] == 0)),
         lambda h: F.struct(
             h["name"].alias("name"), _python_params(h["text"]).alias("params"),
             F.nullif(T.strip(F.regexp_extract(h["text"], r"\)[ \t]*->([^:]+):", 1)), F.lit("")).alias("return_type"),
@@ -457,7 +470,7 @@ def functions(files: DataFrame) -> DataFrame:
     )
     java = braces(JAVA_FUNCTION, 2, lambda x: _java_params(_group(x, JAVA_FUNCTION, 3)), 1)
     return _union([
-        _rows(_in_language(files, ["python"]), python, "language"),
+        _rows(cut, python, "language"),
         _rows(_in_language(files, _JS), javascript, "language"),
         _rows(_in_language(files, ["java"]), java, "language"),
     ])
