@@ -15,10 +15,10 @@ def plan(df):
 
 
 @pytest.fixture(scope="module")
-def stored(spark, five_files, tmp_path_factory):
+def stored(spark, two_repos, tmp_path_factory):
     """The fixture as a table on disk, so that scans show in the plans."""
     path = str(tmp_path_factory.mktemp("stored") / "files")
-    five_files.write.parquet(path)
+    two_repos.write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -53,13 +53,14 @@ def test_aggregates_combine_before_the_shuffle(stored):
 
 def test_size_filter_reaches_the_file_scan(spark, tmp_path):
     (tmp_path / "a.py").write_bytes(b"x")
-    assert "LessThanOrEqual(length,512000)" in plan(S.size_filter(S.read_tree(spark, str(tmp_path))))
+    assert "LessThanOrEqual(length,512000)" in plan(S.size_filter(S.read_tree(spark, str(tmp_path)), 500))
 
 
-def test_repositories_stay_apart(spark, ws, five_files):
-    both = five_files.unionByName(five_files.withColumn("repo", F.lit("r2")))
+def test_repositories_stay_apart(spark, ws, two_repos):
+    one = two_repos.filter("repo = 'warehouse'").withColumn("repo", F.lit("r"))
+    both = one.unionByName(one.withColumn("repo", F.lit("r2")))
     edges = imports.dependency_edges(both).cache()
-    assert sorted(r.repo for r in edges.collect()) == ["r", "r2"]
+    assert sorted(r.repo for r in edges.collect()) == ["r"] * 6 + ["r2"] * 6
     layers = graph.topo_layers(ws, both, edges)
     order = graph.migration_order(ws, layers).groupBy("repo").agg(F.max("position").alias("m")).collect()
     assert {r.repo: r.m for r in order} == {"r": 5, "r2": 5}
@@ -71,11 +72,11 @@ def test_repositories_stay_apart(spark, ws, five_files):
     assert report == {"r": 10, "r2": 10}
 
 
-def test_arrow_function_as_translation(five_files):
+def test_arrow_function_as_translation(two_repos):
     @F.pandas_udf("string")
     def shout(text: pd.Series) -> pd.Series:
         return text.str.upper()
 
-    out = rewrite.translate_with(five_files, "rust", shout("content"))
-    assert out.filter("migrated_content = upper(original_content)").count() == 5
+    out = rewrite.translate_with(two_repos, "rust", shout("content"))
+    assert out.filter("migrated_content = upper(original_content)").count() == 7
     assert "ArrowEvalPython" in plan(out)
