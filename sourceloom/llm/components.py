@@ -1,4 +1,4 @@
-"""Connected components by rounds of joins; only counts reach the driver."""
+"""Connected components by contraction; only counts reach the driver."""
 
 from __future__ import annotations
 
@@ -9,23 +9,25 @@ from sourceloom.session import Workspace
 
 
 def components(ws: Workspace, links: DataFrame) -> DataFrame:
-    """(node, root) for every end of a link (a, b); root is the least node that can be reached.
+    """(node, root) for every end of a link (a, b); nodes of one component share a root, which is one of them.
 
-    Each round takes the least root among neighbours, then jumps to the root's root, so that distances at least
-    halve.  A hub's neighbours are reduced before the shuffle, and the joins may be split where one node has many links.
+    Each level maps a node to the least node of its neighbourhood and replaces links by links between these.  A star is
+    gone after one level; with nodes in random order, the rest shrinks by a constant factor at each.  A hub's
+    neighbours are reduced before the shuffle, and the joins may be split where one node has many links.
     """
-    both = ws.save(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = ws.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
-    changed = True
-    while changed:
-        near = both.join(roots, both.b == roots.node).groupBy("a").agg(F.min("root").alias("near"))
-        least = roots.join(near, roots.node == near.a, "left").select(
-            "node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        lowered = ws.save(least)
-        up = lowered.select(F.col("node").alias("up"), F.col("root").alias("above"))
-        jumped = lowered.join(up, lowered.root == up.up, "left").select(
-            "node", F.least("root", F.coalesce("above", "root")).alias("root"), "was")
-        saved, seen = ws.save_counted(jumped, moved=F.sum(F.when(F.col("root") != F.col("was"), 1).otherwise(0)))
-        ws.release(lowered, roots)
-        roots, changed = saved, (seen["moved"] or 0) > 0
-    return roots.select("node", "root")
+    levels, rows = [], 1
+    while rows:
+        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        level = ws.save(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
+        levels.append(level)
+        named = lambda end: level.select(F.col("node").alias(end), F.col("root").alias(f"to_{end}"))
+        moved = links.join(named("a"), "a").join(named("b"), "b").where("to_a <> to_b")
+        pair = moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        links, seen = ws.save_counted(pair)
+        rows = seen["rows"] or 0
+    roots = levels.pop()
+    while levels:
+        below = levels.pop()
+        above = roots.select(F.col("node").alias("up"), F.col("root").alias("above"))
+        roots = below.join(above, below.root == F.col("up"), "left").select("node", F.coalesce("above", "root").alias("root"))
+    return roots

@@ -8,8 +8,8 @@ similarity.  Groups of ``ROWS`` bins are bands; texts with a common band share a
 Equal shingle sets are one class from the start, so copies never meet in a bucket.  Inside a bucket, candidate
 edges form a star: one hub, chosen by a hash, and its members, as many edges as members.  Candidates are
 confirmed on full shingle sets.  What is not linked to its hub may still be linked to another member, so
-buckets whose members are in different components get another hub, drawn anew for each bucket, until a
-round over all unresolved buckets finds no new link.
+buckets whose members are in different components get another hub, drawn anew for each bucket and round: first for half
+of the members, as most of a large group falls together then, later for all, until a round finds no link.
 
 Two sets at similarity 0.8 miss each other in all 30 bands of 5 with probability (1 - 0.8 ** 5) ** 30, 7 in a million.
 """
@@ -32,6 +32,7 @@ SHINGLE = 5
 PERCENT = 80
 BINS, ROWS = 150, 5
 ATTEMPTS = 512
+SAMPLED = 2  # one in so many places in unresolved buckets is tried in the second round; later ones try all that are left
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -155,49 +156,55 @@ def near_duplicates(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text
     known = ws.save(sketches(docs, id_col, text_col, shingle, bins, rows))
     # one class for each distinct set: copies are counted before the shuffle and never meet in buckets
     classes = ws.save(known.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n")))
-    order = F.xxhash64("key")
     one_each = known.join(classes.select("key", F.col("least").alias("id")), ["key", "id"], "left_semi")
-    banded = one_each.select("key", "id", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min(F.struct(order.alias("h"), "key")).alias("hub"), F.max(F.struct(order.alias("h"), "key")).alias("far"))
-    shared = ws.save(hubs.where("hub <> far").select("band", F.col("hub.key").alias("hub")))
-    in_shared = in_bits(banded, F.xxhash64("band"), bit_table(shared.select(F.xxhash64("band").alias("h")), "h")).where("_maybe")
-    members = ws.save(in_shared.join(shared, "band").select("band", "key", "id", "hub"))
+    banded = one_each.select("key", "id", F.col("n_shingles").alias("n"), F.xxhash64("key").alias("h"), F.explode("bands").alias("band"))
+    shared = ws.save(banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("band", "low"))
+    in_shared = in_bits(banded, F.col("band"), bit_table(shared, "band")).where("_maybe")
+    members = ws.save(in_shared.join(shared, "band").select("band", "key", "id", "n", "h", "low"))
     if members.isEmpty():
         return _answer(known, classes, None, id_col)
-
     candidates = members.select(F.xxhash64("id").alias("h"))
     sets = ws.save(full_sets(in_bits(docs, F.xxhash64(F.col(id_col)), bit_table(candidates, "h")).where("_maybe"), id_col, text_col, shingle)
                    .dropDuplicates(["key"]))
-    sizes = classes.select("key", "n")
-
-    def fitting(stars: DataFrame) -> DataFrame:
-        """Distinct edges whose set sizes alone do not rule the similarity out."""
-        pairs = stars.where("hub <> key").select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct()
-        sized = pairs.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a").join(
-            sizes.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
-        return sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
-
-    tested = ws.save(fitting(members.select("hub", "key")))
-    links = ws.save(confirmed(tested, sets, percent))
-    turn, found = 0, True
-    roots = components(ws, links)
-    while found:
+
+    def edges(stars: DataFrame) -> DataFrame:
+        """Distinct edges of (key, n, hub, hub_n) whose set sizes alone do not rule the similarity out."""
+        fit = stars.where((F.col("hub") != F.col("key")) & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent))
+        return fit.select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct()
+
+    # first the member with the least hash, which is the same in many buckets
+    first = members.where("h = low").select("band", F.col("key").alias("hub"), F.col("n").alias("hub_n"))
+    links = ws.save(confirmed(edges(members.join(first, "band")), sets, percent))
+    roots = ws.save(components(ws, links)) if not links.isEmpty() else None
+    turn, share, done = 0, SAMPLED, False
+    while not done:
         turn += 1
-        owner = members.select("band", "key").join(roots, F.col("key") == F.col("node"), "left").select(
-            "band", "key", F.coalesce("root", "key").alias("root"))
-        draw = F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("h"), "key", "root")
-        mixed = owner.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(draw).alias("hub"))
-        mixed = mixed.where("low <> high").select("band", F.col("hub.key").alias("hub"), F.col("hub.root").alias("hub_root"))
-        stars = owner.join(mixed, "band").where("root <> hub_root").select("hub", "key")
-        fresh = ws.save(fitting(stars).join(tested, ["a", "b"], "left_anti"))
-        new, seen = ws.save_counted(confirmed(fresh, sets, percent))
-        found = (seen["rows"] or 0) > 0
-        if found:
-            links, tested = links.union(new), tested.union(fresh)
-            roots = components(ws, links)
+        plain = members.select("band", "key", "n", F.xxhash64("key", "band", F.lit(turn)).alias("draw"))
+        owner = plain.withColumn("root", F.col("key")) if roots is None else plain.join(
+            roots, F.col("key") == F.col("node"), "left").select("band", "key", "n", "draw", F.coalesce("root", "key").alias("root"))
+        mark = F.xxhash64("root")
+        mixed = owner.groupBy("band").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.min("draw").alias("drawn")).where("low <> high")
+        open_ = ws.save(owner.join(mixed.select("band", "drawn"), "band"))
+        hubs = open_.where("draw = drawn").select("band", F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
+        sampled = open_.where(F.pmod(F.xxhash64("draw"), F.lit(share)) == 0)
+        new, seen = ws.save_counted(confirmed(edges(sampled.join(hubs, "band").where("root <> hub_root")), sets, percent))
+        if seen["rows"]:
+            roots = ws.save(components(ws, new) if roots is None else _merged(ws, new, roots))
+        done, share = not seen["rows"] and share == 1, 1
     return _answer(known, classes, roots, id_col)
 
 
+def _merged(ws: Workspace, new: DataFrame, roots: DataFrame) -> DataFrame:
+    """Roots after new links, by the components of the links between roots."""
+    root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    between = new.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()
+    over = ws.save(components(ws, ws.save(between)))
+    moved = roots.join(over.select(F.col("node").alias("up"), F.col("root").alias("above")), F.col("root") == F.col("up"), "left")
+    known = moved.select("node", F.coalesce("above", "root").alias("root"))
+    return known.union(over.join(roots, "node", "left_anti"))
+
+
 def _answer(known: DataFrame, classes: DataFrame, roots: DataFrame | None, id_col: str) -> DataFrame:
     if roots is None:
         least = classes.select("key", "least")
