@@ -191,9 +191,45 @@ def near_duplicates(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text
         if seen["rows"]:
             roots = ws.save(components(ws, new) if roots is None else _merged(ws, new, roots))
         done, share = not seen["rows"] and share == 1, 1
+    # the last round has changed no root and compared every hub with all others, so a bucket is open if these differ among themselves
+    others = open_.where("draw <> drawn").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = ws.save(open_.join(others.select("band"), "band").select("key", "n", "root").distinct())
+    new, seen = ws.save_counted(confirmed(_rare_pairs(ws, left, sets, percent), sets, percent))
+    if seen["rows"]:
+        roots = ws.save(components(ws, new) if roots is None else _merged(ws, new, roots))
     return _answer(known, classes, roots, id_col)
 
 
+def _rare_pairs(ws: Workspace, left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots among ``left`` (key, n, root) that may meet the similarity; no pair that does is missing.
+
+    Shingles are put in one order, the rarest first.  Sets of n and m shingles at the similarity have at least
+    ``need`` = percent * (n + m) / (100 + percent) in common, so one among the first n - need + 1 and m - need + 1.  The smaller
+    set needs no more than ``few`` of them, the larger one no more than ``most``.
+    """
+    n, up = F.col("n"), lambda c: F.ceil(c).cast("bigint")
+    token = left.select("key").join(sets, "key").select("key", F.explode("shingles").alias("token"))
+    # a shingle that one set alone has needs a place, but no partner
+    counts = ws.save(token.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1"))
+    listed = token.join(counts, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("common"))
+    most = listed.join(left, "key").withColumn("single", n - F.size("common")).withColumn("most", n - up(n * percent / 100) + 1).where("single < most")
+    rare = most.select("key", "n", "root", "single", F.posexplode(F.slice("common", F.lit(1), (F.col("most") - F.col("single")).cast("int"))).alias("nth", "at"))
+    rare = ws.save(rare.select("key", "n", "root", F.col("at.token").alias("token"), (F.col("single") + F.col("nth") + 1).alias("place")))
+    # of a token's sets in its commonest root, none needs to meet another
+    held = rare.groupBy("token", "root").agg(F.count(F.lit(1)).alias("count")).groupBy("token").agg(
+        F.max_by("root", F.struct("count", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "major")
+    rare = ws.save(rare.join(held, "token"))
+    few = rare.where(F.col("place") <= n - up(n * 2 * percent / (100 + percent)) + 1)
+    larger = lambda df: df.select("token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "root", "place")])
+    minor = F.col("root") != F.col("major")
+    need = up((n + F.col("n_b")) * percent / (100 + percent))
+    fit = ((n <= F.col("n_b")) & (n * 100 >= F.col("n_b") * percent) & (F.col("root") != F.col("root_b"))
+           & (F.col("place") <= n - need + 1) & (F.col("place_b") <= F.col("n_b") - need + 1))
+    pairs = few.where(minor).join(larger(rare), "token").where(fit).select("key", "key_b").union(
+        few.where(~minor).join(larger(rare.where(minor)), "token").where(fit).select("key", "key_b"))
+    return pairs.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
+
+
 def _merged(ws: Workspace, new: DataFrame, roots: DataFrame) -> DataFrame:
     """Roots after new links, by the components of the links between roots."""
     root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))

@@ -104,6 +104,18 @@ def test_components_match_brute_force(spark, ws, width):
     assert got == {i: (n, c, c == i) for i, (n, c) in brute(rows, width).items()}
 
 
+def test_pairs_inside_a_large_family_that_does_not_link(spark, ws):
+    """Forms with seven fields are similar at 0.75 and share large buckets; those with two equal fields, at 0.82, must all be found."""
+    base, texts = prose(12, 200).split(), []
+    for k in range(1000):
+        words = list(base)
+        for field in range(7):
+            words[15 + 28 * field] = f"w{k - 900 if k >= 900 and field in (k % 7, (k + 3) % 7) else k}x{field}"
+        texts.append((k, " ".join(words), "en"))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(ws, make(spark, texts), shingle=4).collect()}
+    assert got == {k: k - 900 if k >= 900 else k for k in range(1000)}
+
+
 def test_near_duplicates_on_all_edge_cases(spark, ws, edges):
     rows = near_dup.near_duplicates(ws, edges, shingle=4).collect()
     assert len(rows) == len(edge_rows())
