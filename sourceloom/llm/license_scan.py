@@ -1,13 +1,14 @@
-"""Licence notices by MinHash bands over overlapping windows, in DataFrame functions only.
+"""Licence notices by MinHash sketches over overlapping windows, in DataFrame functions only.
 
 A template's set is its word 5-shingles (all words if it has fewer).  Templates are put into size classes; a class reads
 texts in windows of twice its size at steps of its size, so every occurrence lies whole in one window.  Only
 shingles that some template has can be common to a window and a template; a bitmap of fixed size lets these through
-and drops the rest where they are read, and windows are compared by MinHash over what remains.
+and drops the rest where they are read, and windows are compared over what remains.
 
-With one row a band and ``BANDS`` bands, a window at Jaccard similarity s to a template (over template shingles)
-retrieves it with probability 1 - (1 - s) ** BANDS: 0.99998 at 0.5, 0.98 at 0.22.  Retrieved
-templates are verified by exact containment: the share of the template's shingles that the window holds.
+A template's sketch is the MinHash one of its own: those of its shingles with the least hashes, one more than a
+matching window may lack and at least ``BANDS``.  A window that holds one of them retrieves the template, so whatever else it
+holds, none that matches is missed.  Retrieved templates are verified by exact containment: the share of the template's shingles
+that the window holds.
 """
 
 from __future__ import annotations
@@ -78,10 +79,10 @@ def license_scan(ws: Workspace, docs: DataFrame, templates: list[tuple[str, str]
     at = F.floor(F.col("pos") / F.col("span"))
     windows = ws.save(found.where("hash IS NOT NULL").join(classes, "hash").withColumn("window", F.explode_outer(F.array(at, at - 1)))
                       .select("id", "row", "span", "window", "hash").distinct())
-    least = [F.min(F.xxhash64("hash", F.lit(k))).alias(f"m{k}") for k in range(bands)]
-    banded = lambda df, *keys: df.groupBy(*keys, "span").agg(*least).select(
-        *keys, "span", F.posexplode_outer(F.array(*[f"m{k}" for k in range(bands)])).alias("band", "value"))
-    retrieved = banded(windows, "id", "row", "window").join(banded(library, "license"), ["span", "band", "value"]).select(
+    drawn = library.groupBy("license", "span").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("hash").alias("draw"), "hash"))).alias("drawn"))
+    lacking = F.size("drawn") - F.ceil(F.size("drawn") * percent / 100)
+    sketch = drawn.select("license", "span", F.explode_outer(F.slice("drawn", F.lit(1), F.greatest(F.lit(bands), lacking + 1).cast("int"))).alias("least"))
+    retrieved = windows.join(sketch.select("license", "span", F.col("least.hash").alias("hash")), ["span", "hash"]).select(
         "id", "row", "span", "window", "license").distinct()
 
     in_window = lambda a, b: (F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.row") == F.col(f"{b}.row"))

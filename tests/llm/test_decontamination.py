@@ -98,6 +98,13 @@ def test_licences_against_brute_force(spark, ws):
     assert any(got.values()) and not all(got.values())
 
 
+def test_three_notices_in_one_window(spark, ws):
+    notices = [(f"t{k}-{n}", prose(100 * k + n, n)) for k in range(40) for n in (5, 8, 12)]
+    rows = [(k, " ".join(t for _, t in notices[3 * k:3 * k + 3]), "en") for k in range(40)]
+    got = {r.doc_id: r.licenses for r in license_scan.license_scan(ws, make(spark, rows), templates=notices).collect()}
+    assert got == {k: f"t{k}-12,t{k}-5,t{k}-8" for k in range(40)}
+
+
 def test_licence_edge_cases(spark, ws, edges, nothing):
     rows = license_scan.license_scan(ws, edges).collect()
     assert len(rows) == len(edge_rows()) and not any(r.n_licenses for r in rows)
