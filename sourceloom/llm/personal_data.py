@@ -2,7 +2,8 @@
 
 Generators propose spans: the four base patterns, whether their match is valid or not, looser spellings of the same kinds and
 digit fragments.  Proposals overlap.  Trees over format and context features learn from base matches and fragments (valid
-ones are positive, those that fail their check and fragments negative), counted over all documents into at most a few thousand
+ones are positive, also in a loose spelling of the same kind; those that fail their check are negative, and so are fragments that
+touch neither a valid match nor a loose proposal, as they might be part of one), counted over all documents into at most a few thousand
 distinct feature rows, which is all that reaches the driver.  A threshold is calibrated on a fifth of the documents that
 the trees have not seen.  Loose proposals above it that touch no base span are added; base spans always stay.
 
@@ -28,7 +29,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|@)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++){1,4}",
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|@)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])",
@@ -58,6 +59,14 @@ def _valid(kind: Column, span: Column) -> Column:
             .when(kind == "card", card).otherwise(count.between(9, 15)))
 
 
+def _respelled(kind: Column, span: Column) -> Column:
+    """A valid base match as the loose patterns spell its kind, null if they cannot."""
+    national = F.regexp_replace(span, r"^\+[0-9]{1,3}[\x20.-]", "")
+    card = F.regexp_replace(_digits(span), r"^([0-9]{4})([0-9]{4})([0-9]{4})([0-9]{4})$", "$1.$2.$3.$4")
+    return (F.when(kind == "email", F.regexp_replace(span, "@", " [at] ")).when((kind == "card") & (F.length(_digits(span)) == 16), card)
+            .when((kind == "phone") & national.rlike(f"^{LOOSE['phone']}$"), national))
+
+
 def _matches(text: Column, source: str, kind: str, pattern: str, sign: str) -> Column:
     """Array of matches with the gaps around them; empty without looking further if the sign is missing."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
@@ -111,17 +120,27 @@ def personal_data(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_c
     size = F.length("span")
     before = Window.partitionBy("uid", "source", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     start = (F.sum(F.col("gap") + size).over(before) - size).cast("bigint")
-    placed = one.select("uid", "source", "kind", "span", "before", "after", start.alias("start"), (start + size).alias("end"))
-    kind_no = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     valid = (F.col("source") == "base") & _valid(F.col("kind"), F.col("span"))
-    proposals = ws.save(placed.select("uid", "source", "kind", kind_no.alias("kind_no"), "start", "end", "span", valid.alias("valid"),
+    placed = one.select("uid", "source", "kind", "span", "before", "after", start.alias("start"), (start + size).alias("end"), valid.alias("valid"))
+    forms = F.array(F.struct("source", "span"), F.struct(F.lit("respelled").alias("source"), F.when(F.col("valid"), _respelled(
+        F.col("kind"), F.col("span"))).alias("span")))
+    placed = placed.withColumn("form", F.explode_outer(F.filter(forms, lambda f: f["span"].isNotNull()))).drop("source", "span").select("*", "form.*")
+    kind_no = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    proposals = ws.save(placed.select("uid", "source", "kind", kind_no.alias("kind_no"), "start", "end", "span", "valid",
                                       *[c.alias(k) for k, c in _features(*map(F.col, ("kind", "span", "before", "after"))).items()]))
     names = [c for c in proposals.columns if c.startswith("f_")]
-    base = proposals.where("valid")
+    base = proposals.where("valid AND source = 'base'")
 
     # distinct feature rows are bounded by the product of the features' values
     fold = (F.pmod(F.xxhash64("uid"), F.lit(5)) == 0).alias("held_out")
-    learned = proposals.where("source <> 'loose'").groupBy(fold, *names).agg(
+    order = Window.partitionBy("uid").orderBy("start")
+    shield = (F.col("source") == "loose") | F.col("valid")
+    reach = F.max(F.when(shield, F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    # growing frames only: a text may have very many fragments
+    ahead = F.min(F.when(shield, F.col("start"))).over(Window.partitionBy("uid").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
+    doubtful = (F.coalesce(reach, F.lit(-1)) > F.col("start")) | (F.coalesce(ahead, F.col("end")) < F.col("end"))
+    labelled = proposals.withColumn("doubtful", doubtful).where("source <> 'loose' AND NOT (source = 'fragment' AND doubtful)")
+    learned = labelled.groupBy(fold, *names).agg(
         F.sum(F.col("valid").cast("bigint")).alias("positive"), F.count(F.lit(1)).alias("total")).collect()
     table = lambda side: tuple(np.array([[r[c] for c in cols] for r in learned if r["held_out"] is side], float).reshape(-1, len(cols))
                                for cols in (names, ["positive", "total"]))
@@ -133,7 +152,6 @@ def personal_data(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_c
         loose = proposals.where("source = 'loose'").withColumn("score", boosting.score([F.col(n) for n in names], *model)).where(F.col("score") >= cut)
         near = base.select("uid", "kind_no", "kind", "start", "end", "span", F.lit(True).alias("is_base")).union(
             loose.select("uid", "kind_no", "kind", "start", "end", "span", F.lit(False).alias("is_base")))
-        order = Window.partitionBy("uid").orderBy("start")
         reach = F.max(F.when(F.col("is_base"), F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
         ahead = F.min(F.when(F.col("is_base"), F.col("start"))).over(order.rangeBetween(0, Window.unboundedFollowing))
         touching = (F.coalesce(reach, F.lit(-1)) > F.col("start")) | (F.coalesce(ahead, F.col("end")) < F.col("end"))

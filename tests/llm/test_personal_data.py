@@ -68,6 +68,17 @@ def test_trees_add_loose_spellings_and_spare_other_numbers(spark, ws):
     assert sum(hit) in (0, len(hit))  # equal features stand or fall together
 
 
+def test_respelled_phones_and_emails_are_added(spark, ws):
+    rng, rows = random.Random(4), []
+    for i in range(600):
+        text = [f" mail u{i}@mail.example.com or", f" write u{i} [at] a.b.c.d.example.com to", f" call +1 (212) 555-{1000 + i} in",
+                f" call 212-555-{1000 + i} in", f" in {1900 + i % 100} with {rng.randrange(10 ** 6)} parts", f" call +1 212-555-{1000 + i} in"][i % 6]
+        rows.append((i, prose(i, 30) + text + " " + prose(i + 5000, 10), "en"))
+    got = personal_data.personal_data(ws, make(spark, rows)).collect()
+    added = {r.doc_id: [s.span for s in r.spans if s not in r.base] for r in got}
+    assert added == {i: [f"u{i} [at] a.b.c.d.example.com"] if i % 6 == 1 else [f"212-555-{1000 + i}"] if i % 6 == 3 else [] for i in range(600)}
+
+
 def test_boosting_separates_and_calibrates():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 4, (500, 4)).astype(float)
