@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import (decontamination, exact_dedup, language_id, license_scan, near_dup, packing, personal_data,
+from sourceloom.llm import (decontamination, exact_dedup, filter_audit, language_id, license_scan, near_dup, packing, personal_data,
                             token_counts, toxicity, warc)
 from sourceloom.llm.bpe import Vocabulary
 from sourceloom.llm.common import prepare, table
@@ -132,3 +132,33 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = token_counts.whole_token_vocabulary(public_tokenizers.path(VOCABULARY))
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query("op12_filter_audit", r"""
+    WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                      list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+         m AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+         f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                      CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN len(list_distinct(words)) * 100 < len(words) * 65 THEN 'B' ELSE '' END
+                      || CASE WHEN length(regexp_replace(t, '[^A-Z]', '', 'g')) * 100 > length(t) * 5 THEN 'C' ELSE '' END
+                      || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                      || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+               FROM w LEFT JOIN m ON w.doc_id = m.doc_id),
+         c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+         x(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+         o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+               WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+         s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, substr(filter_order, k, 1) AS filter, substr(filter_order, 1, k - 1) AS earlier
+               FROM (SELECT filter_order, unnest(range(1, 6)) AS k FROM o)),
+         r AS (SELECT part, filter_order, step, filter,
+                      sum(CASE WHEN alive AND NOT bad THEN n ELSE 0 END) AS kept, sum(CASE WHEN alive AND bad THEN n ELSE 0 END) AS removed,
+                      sum(CASE WHEN NOT alive AND bad THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = filter THEN n ELSE 0 END) AS unique_fails,
+                      sum(CASE WHEN alive AND bad THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN alive AND bad THEN toxic ELSE 0 END) AS toxic_lost
+               FROM (SELECT *, translate(fails, earlier, '') = fails AS alive, contains(fails, filter) AS bad FROM c, s)
+               GROUP BY part, filter_order, step, filter)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+    FROM r""")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(Workspace(spark, "op12"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
