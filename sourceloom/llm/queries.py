@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.llm import (decontamination, exact_dedup, filter_audit, language_id, license_scan, near_dup, packing, personal_data,
-                            token_counts, toxicity, warc)
+                            prefix_trie, token_counts, toxicity, warc)
 from sourceloom.llm.bpe import Vocabulary
 from sourceloom.llm.common import prepare, table
 from sourceloom.session import Workspace
@@ -162,3 +162,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM r""")
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(Workspace(spark, "op12"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_prefix_trie", r"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+         p AS (SELECT conv_id, id, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos
+               FROM (SELECT conv_id, turn, substr(sha256(length(r) || ':' || r || x), 1, 32) AS id,
+                            len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM t)),
+         b AS (SELECT conv_id, count(*) AS turns, CAST(conv_id AS VARCHAR) AS name FROM p GROUP BY conv_id),
+         bits AS (SELECT conv_id, turns, conv_id - conv_id % 20 AS base,
+                         flatten(list_transform(range(1, length(name) + 1), lambda k: list_transform(range(0, 8), lambda j: (ascii(substr(name, k, 1)) >> CAST(j AS INTEGER)) & 1))) AS bits FROM b),
+         c AS (SELECT conv_id, turns, base, xor(list_reduce(list_transform([4294967295] || bits, lambda y: CAST(y AS BIGINT)),
+                      lambda a, y: xor(xor(a, y) >> 1, 3988292384 * (xor(a, y) & 1))), 4294967295) % 4 AS h FROM bits),
+         f AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(o.turns, 0)) AS head, greatest(c.turns - c.h, 0) AS own FROM c LEFT JOIN c o ON o.conv_id = c.base),
+         r AS (SELECT f.conv_id, pos AS d, head + own AS length, id, words FROM f JOIN p ON p.conv_id = f.base WHERE pos <= h
+               UNION ALL SELECT f.conv_id, pos - h + head, head + own, id, words FROM f JOIN p ON p.conv_id = f.conv_id WHERE pos > h),
+         q AS (SELECT conv_id, d, length, words, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r
+               UNION ALL SELECT conv_id, 0, head + own, 0, '' FROM f),
+         n AS (SELECT path, d, min(conv_id) AS conv, count(*) AS n, max(words) AS words,
+                      coalesce(string_agg(CASE WHEN d = length THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends FROM q GROUP BY path, d),
+         k AS (SELECT substr(path, 1, 32 * (d - 1)) AS path, d - 1 AS d, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+         v AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k ON n.path = k.path AND n.d = k.d),
+         s AS (SELECT above, substr(path, 1, 32 * above) AS path, sum(CAST(kids = 0 AS INTEGER)) AS leaves, sum((n - 1) * words) AS saved
+               FROM (SELECT *, unnest(range(0, d + 1)) AS above FROM v) GROUP BY ALL)
+    SELECT v.conv AS conv_id, v.d AS depth, u.conv AS parent_conv_id, v.n AS n_convs, v.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+           CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+    FROM v JOIN s ON s.above = v.d AND s.path = v.path LEFT JOIN n u ON v.d > 0 AND u.d = v.d - 1 AND u.path = substr(v.path, 1, 32 * (v.d - 1))""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "op13")
+    turns, convs = prefix_trie.with_shared_heads(ws, prefix_trie.turn_rows(ws, table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(ws, turns, convs)
