@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import (decontamination, exact_dedup, filter_audit, language_id, license_scan, near_dup, packing, personal_data,
+from sourceloom.llm import (decontamination, exact_dedup, filter_audit, jaccard_join, language_id, license_scan, near_dup, packing, personal_data,
                             prefix_trie, token_counts, toxicity, warc)
 from sourceloom.llm.bpe import Vocabulary
 from sourceloom.llm.common import prepare, table
@@ -134,6 +134,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
 
 
+@query("op11_jaccard_join", r"""
+    WITH RECURSIVE
+         w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+         s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda k: array_to_string(words[k:k + 2], ' '))) END AS grams FROM w),
+         k AS (SELECT doc_id, grams, CAST(len(grams) AS BIGINT) AS n, sha256(array_to_string(list_sort(grams), chr(10))) AS key FROM s),
+         c AS (SELECT key, n, min(doc_id) AS least, any_value(grams) AS grams FROM k WHERE n > 0 GROUP BY key, n),
+         t AS (SELECT least AS id, n, unnest(grams) AS g FROM c),
+         l AS (SELECT a.id AS x, b.id AS y FROM t a JOIN t b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n
+               HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 90),
+         e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+         r(id, seen) AS (SELECT least, least FROM c UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.seen),
+         m AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id)
+    SELECT doc_id, k.n AS n_shingles, coalesce(component_id, doc_id) AS component_id
+    FROM k LEFT JOIN c ON k.key = c.key AND k.n > 0 LEFT JOIN m ON m.id = c.least""")
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(Workspace(spark, "op11"), table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 @query("op12_filter_audit", r"""
     WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
                       list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
