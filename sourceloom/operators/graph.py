@@ -16,7 +16,8 @@ from sourceloom.operators import ordered
 from sourceloom.session import Workspace
 
 HOPS_PER_ROUND = 2
-COMPACT_EVERY = 4
+ENDLESS = 1 << 40  # steps of a way that goes round a cycle stop here
+FEW_WAYS, GROWTH = 4, 4  # open ways of a node that others go through, while there are at most so many times the edges
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -40,48 +41,52 @@ def graph_degrees(paths: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _ready(open_edges: DataFrame, recent: list[DataFrame]) -> DataFrame:
-    """Sources whose every dependency is among the recent layers, and that are not in them."""
-    done = reduce(DataFrame.unionAll, recent)
-    flagged = open_edges.join(
-        done.select("repo", F.col("path").alias("dst"), F.lit(True).alias("done")), ["repo", "dst"], "left"
-    )
-    ready = (
-        flagged.groupBy("repo", "src")
-        .agg(F.count_if(F.col("done").isNull()).alias("waiting"))
-        .filter("waiting = 0")
-        .select("repo", F.col("src").alias("path"))
-    )
-    if len(recent) > 1:
-        ready = ready.join(reduce(DataFrame.unionAll, recent[1:]), ["repo", "path"], "left_anti")
-    return ready.select("repo", "path")
+def _longest_ways(ws: Workspace, edges: DataFrame) -> DataFrame:
+    """Ways to where dependencies end: repo, node, end, steps; ``end`` is null on a way that is at its end, ``steps`` the longest such way.
+
+    A node is settled when all its ways are at their end, and then its longest one is its layer.  Nodes on a cycle or above one are never settled.
+    In every round, a way is lengthened by the ways of the node it has come to, so settled stretches and chains double in length.  To keep
+    the table from growing, a way stops for a round at a node with more than a few open ways; at least what only has settled nodes below gets
+    settled, so a round without gain is the last.
+    """
+    repo_node = edges.select("repo", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sources = edges.select("repo", F.col("src").alias("node")).distinct()
+    ends = repo_node.join(sources, ["repo", "node"], "left_anti").select("repo", "node", F.lit(None).cast("string").alias("end"), F.lit(0).cast("bigint").alias("steps"))
+    first = edges.select("repo", F.col("src").alias("node"), F.col("dst").alias("end"), F.lit(1).cast("bigint").alias("steps"))
+    ways, seen = ws.save_counted(first.unionAll(ends), going=F.count_if(F.col("end").isNotNull()))
+    most, open_before = (seen["going"] or 0) * GROWTH, None
+    while seen["going"]:
+        degree, counted = ws.save_counted(
+            ways.groupBy("repo", "node").agg(F.count_if(F.col("end").isNotNull()).alias("open")), unsettled=F.count_if(F.col("open") > 0))
+        if counted["unsettled"] == open_before:
+            break
+        open_before = counted["unsettled"]
+        passable = degree.where(F.col("open") <= (FEW_WAYS if seen["going"] <= most else 1)).select("repo", F.col("node").alias("via"))
+        via = ways.select("repo", F.col("node").alias("via"), F.col("end").alias("next"), F.col("steps").alias("more"), F.lit(True).alias("goes")).join(
+            passable, ["repo", "via"], "left_semi")
+        going = ways.where("end IS NOT NULL").join(via.withColumnRenamed("via", "end"), ["repo", "end"], "left").select(
+            "repo", "node", F.when(F.col("goes"), F.col("next")).otherwise(F.col("end")).alias("end"),
+            F.least(F.col("steps") + F.coalesce("more", F.lit(0)), F.lit(ENDLESS)).alias("steps"))
+        longer = going.unionAll(ways.where("end IS NULL").select("repo", "node", "end", "steps")).groupBy("repo", "node", "end").agg(F.max("steps").alias("steps"))
+        old = ways
+        ways, seen = ws.save_counted(longer, going=F.count_if(F.col("end").isNotNull()))
+        ws.release(old, degree)
+    return ways
 
 
 def topo_layers(ws: Workspace, paths: DataFrame, edges: DataFrame) -> DataFrame:
     """Layer of each file: 0 without dependencies, else one more than its deepest dependency.
 
-    Files on a cycle, or above one, never become free and get NULL.  Edges to finished layers
-    leave the open table every few rounds.
+    Files on a cycle, or above one, never become free and get NULL.  Rounds grow with the logarithm of the depth where dependencies are
+    chains, trees or ladders.
     """
-    open_edges = ws.save(simple_edges(edges))
-    nodes = paths.select("repo", "path")
-    blocked = open_edges.select("repo", F.col("src").alias("path")).distinct()
-    free, found = ws.save_counted(nodes.join(blocked, ["repo", "path"], "left_anti"))
-    layers, recent = [free], [free]
-    while found["rows"]:
-        free, found = ws.save_counted(_ready(open_edges, recent))
-        layers.append(free)
-        recent.append(free)
-        if len(recent) > COMPACT_EVERY:
-            finished = reduce(DataFrame.unionAll, recent[:-1]).select("repo", F.col("path").alias("dst"))
-            old = open_edges
-            open_edges = ws.save(old.join(finished, ["repo", "dst"], "left_anti").select("repo", "src", "dst"))
-            ws.release(old)
-            recent = [free]
-    known = reduce(
-        DataFrame.unionAll, [d.withColumn("layer", F.lit(i).cast("bigint")) for i, d in enumerate(layers)]
-    )
-    return nodes.join(known, ["repo", "path"], "left")
+    simple = ws.save(simple_edges(edges))
+    ways = _longest_ways(ws, simple)
+    # a self-loop never ends either
+    settled = ways.groupBy("repo", F.col("node").alias("path")).agg(
+        F.when(F.count_if(F.col("end").isNotNull()) == 0, F.max("steps")).alias("layer"), F.lit(True).alias("linked"))
+    nodes = paths.select("repo", "path").join(settled, ["repo", "path"], "left")
+    return nodes.select("repo", "path", F.when(F.col("linked").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("layer")).alias("layer"))
 
 
 def order_key(layer: Column, path: Column) -> Column:
@@ -95,114 +100,127 @@ def migration_order(ws: Workspace, layers: DataFrame) -> DataFrame:
     return ordered.positions(ws, layers, ["repo"], by, "position")
 
 
-def _trim_step(core: DataFrame) -> DataFrame:
-    """Drop edges that start where nothing arrives or end where nothing starts."""
-    ends = F.array(
-        F.struct(F.col("src").alias("node"), F.lit(True).alias("starts"), F.lit(False).alias("arrives")),
-        F.struct(F.col("dst").alias("node"), F.lit(False).alias("starts"), F.lit(True).alias("arrives")),
-    )
-    inner = (
-        core.select("repo", F.explode(ends).alias("e")).groupBy("repo", F.col("e.node").alias("node"))
-        .agg(F.bool_or("e.starts").alias("starts"), F.bool_or("e.arrives").alias("arrives"))
-        .filter("starts AND arrives").select("repo", "node")
-    )
+def _unsettled(ws: Workspace, edges: DataFrame) -> DataFrame:
+    """(repo, node): nodes from which a cycle can be reached."""
+    ways = _longest_ways(ws, edges)
+    return ways.where("end IS NOT NULL").select("repo", "node").distinct()
+
+
+def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return (
-        core.join(inner.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
-        .join(inner.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi")
+        edges.join(nodes.select("repo", F.col("node").alias("src")), ["repo", "src"], "left_semi")
+        .join(nodes.select("repo", F.col("node").alias("dst")), ["repo", "dst"], "left_semi")
         .select("repo", "src", "dst")
     )
 
 
 def cycle_core(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """The edges left when everything without a way in or a way out is taken off.
+    """The edges between nodes that lead to a cycle and are led to by one.
 
     Empty exactly when the graph has no cycle; what is left lies on cycles or between them.
     """
-    core, seen = ws.save_counted(edges)
-    while seen["rows"]:
-        old, before = core, seen["rows"]
-        core, seen = ws.save_counted(_trim_step(old))
-        ws.release(old)
-        if seen["rows"] == before:
-            break
-    return core
+    below, seen = ws.save_counted(_within(edges, _unsettled(ws, edges)))
+    if not seen["rows"]:
+        return below
+    back = below.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return ws.save(_within(below, _unsettled(ws, back)))
 
 
-def _spread_labels(ws: Workspace, core: DataFrame) -> DataFrame:
-    """Give each node the smallest path from which it can be reached, itself included."""
+def with_shortcuts(ws: Workspace, core: DataFrame) -> DataFrame:
+    """``core`` with further edges (repo, src, dst, steps) along its chains: over 2, 4, 8, ... nodes that have one way on, or one way in.
+
+    They lead where the chain leads, so nothing becomes reachable that was not, and a chain is crossed in as many hops as the logarithm of its length.
+    """
+    plain = core.where("src <> dst").select("repo", "src", "dst").distinct()
+    found = [core.select("repo", "src", "dst", F.lit(1).cast("bigint").alias("steps"))]
+    for end, other in (("src", "dst"), ("dst", "src")):
+        one = plain.groupBy("repo", F.col(end).alias("node")).agg(F.min(other).alias("to"), F.count(F.lit(1)).alias("n")).where("n = 1").select("repo", "node", "to")
+        jump, seen = ws.save_counted(one)
+        most, steps = seen["rows"] or 0, 1
+        while seen["rows"] and steps < most:  # no chain has more nodes than there are with one way
+            onward = jump.select("repo", F.col("node").alias("to"), F.col("to").alias("far"))
+            jump, seen = ws.save_counted(jump.join(onward, ["repo", "to"]).select("repo", "node", F.col("far").alias("to")))
+            steps *= 2
+            src, dst = ("node", "to") if end == "src" else ("to", "node")
+            found.append(jump.select("repo", F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(steps).cast("bigint").alias("steps")))
+    return ws.save(reduce(DataFrame.unionAll, found))
+
+
+def _spread_labels(ws: Workspace, core: DataFrame, turn: int) -> DataFrame:
+    """Give each node the label of the node that comes first, in an order drawn anew each turn, among those from which it can be reached."""
     nodes = core.select("repo", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    saved = ws.save(nodes.withColumn("label", F.col("node")))
+    saved = ws.save(nodes.withColumn("label", F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("root"))))
     while True:
         step = saved.withColumn("old", F.col("label"))
         for _ in range(HOPS_PER_ROUND):
             sent = core.join(step.select("repo", F.col("node").alias("src"), "label"), ["repo", "src"]).select(
-                "repo", F.col("dst").alias("node"), "label", F.lit(None).cast("string").alias("old")
+                "repo", F.col("dst").alias("node"), "label", F.lit(None).cast(step.schema["label"].dataType).alias("old")
             )
             step = (
                 step.select("repo", "node", "label", "old").unionAll(sent)
                 .groupBy("repo", "node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
             )
         older = saved
-        saved, seen = ws.save_counted(step, changed=F.count_if(F.col("label") != F.col("old")))
+        saved, seen = ws.save_counted(step.withColumn("moved", F.col("label") != F.col("old")), changed=F.count_if("moved"))
         ws.release(older)
         if not seen["changed"]:
-            return saved.drop("old")
+            return saved.select("repo", "node", F.col("label.root").alias("label"))
 
 
 def _members(ws: Workspace, inner: DataFrame, labels: DataFrame) -> DataFrame:
     """Nodes that reach the root of their label; ``inner`` holds edges within one label."""
     found, seen = ws.save_counted(labels.filter("node = label"))
-    parts, frontier = [found], found
-    while seen["rows"]:
-        known = reduce(DataFrame.unionAll, parts)
-        back = (
-            inner.join(frontier.select("repo", F.col("node").alias("dst")), ["repo", "dst"], "left_semi")
-            .select("repo", F.col("src").alias("node"), "label").distinct()
-            .join(known, ["repo", "node"], "left_anti")
-            .select("repo", "node", "label")
-        )
-        frontier, seen = ws.save_counted(back)
-        parts.append(frontier)
-    return reduce(DataFrame.unionAll, parts)
+    count = -1
+    while seen["rows"] != count:
+        count, step = seen["rows"], found
+        for _ in range(HOPS_PER_ROUND):
+            back = inner.join(step.select("repo", F.col("node").alias("dst")), ["repo", "dst"], "left_semi").select("repo", F.col("src").alias("node"), "label")
+            step = step.select("repo", "node", "label").unionAll(back).distinct()
+        older = found
+        found, seen = ws.save_counted(step)
+        ws.release(older)
+    return found
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """Strongly connected components that hold a cycle: repo, path, component.
 
-    A component is named by its smallest path.  Each pass finds, for every label, the nodes
-    that both come from and lead to its root; the rest of the core goes into the next pass.
+    A component is named by its smallest path.  Each pass draws an order of the nodes; every node takes the first that leads to it, and
+    those that lead back to it are a component.  So components that follow one another come off in about as many passes as the logarithm of their number;
+    what is left goes into the next pass, without what no longer lies between cycles.
     """
     core = cycle_core(ws, edges)
-    results = []
+    results, turn = [], 0
     while not core.isEmpty():
-        labels = _spread_labels(ws, core)
+        reach = with_shortcuts(ws, core)
+        labels = _spread_labels(ws, reach, turn)
         inner = (
-            core.join(labels.select("repo", F.col("node").alias("src"), "label"), ["repo", "src"])
+            reach.join(labels.select("repo", F.col("node").alias("src"), "label"), ["repo", "src"])
             .join(labels.select("repo", F.col("node").alias("dst"), F.col("label").alias("other")), ["repo", "dst"])
-            .filter("label = other").select("repo", "src", "dst", "label")
+            .filter("label = other").select("repo", "src", "dst", "label", "steps")
         )
         inner = ws.save(inner)
-        members = ws.save(_members(ws, inner, labels))
+        members = _members(ws, inner, labels)
         results.append(members)
         old = core
         gone = members.select("repo", "node")
         rest = (
-            inner.join(gone.withColumnRenamed("node", "src"), ["repo", "src"], "left_anti")
+            inner.where("steps = 1").join(gone.withColumnRenamed("node", "src"), ["repo", "src"], "left_anti")
             .join(gone.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_anti")
             .select("repo", "src", "dst")
         )
-        core = cycle_core(ws, rest)
-        ws.release(old, inner)
+        core, turn = cycle_core(ws, rest), turn + 1
+        ws.release(old, inner, reach)
     if not results:
         return edges.limit(0).select("repo", F.col("src").alias("path"), F.col("dst").alias("component"))
     found = reduce(DataFrame.unionAll, results)
-    sized = found.groupBy("repo", "label").agg(F.count("*").alias("size"))
+    sized = found.groupBy("repo", "label").agg(F.count("*").alias("size"), F.min("node").alias("component"))
     loops = edges.filter("src = dst").select("repo", F.col("src").alias("node"), F.lit(True).alias("loop"))
     return (
         found.join(sized, ["repo", "label"])
         .join(loops, ["repo", "node"], "left")
         .filter("size > 1 OR loop")
-        .select("repo", F.col("node").alias("path"), F.col("label").alias("component"))
+        .select("repo", F.col("node").alias("path"), "component")
     )
 
 
@@ -212,7 +230,7 @@ def cyclic_files(ws: Workspace, edges: DataFrame) -> DataFrame:
 
 def has_cycle(ws: Workspace, repos: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per repository."""
-    cyclic = cycle_core(ws, edges).select("repo").distinct().withColumn("has_cycle", F.lit(True))
+    cyclic = _unsettled(ws, edges).select("repo").distinct().withColumn("has_cycle", F.lit(True))
     return (
         repos.select("repo").distinct().join(cyclic, "repo", "left")
         .select("repo", F.coalesce("has_cycle", F.lit(False)).alias("has_cycle"))
@@ -245,3 +263,65 @@ def short_cycles(ws: Workspace, edges: DataFrame, longest: int = 3) -> DataFrame
             "repo", F.array_append("cycle", F.col("next")).alias("cycle"), F.col("next").alias("tip")
         )
     return reduce(DataFrame.unionAll, closed).select("repo", "cycle")
+
+
+def _jumps(ws: Workspace, parents: DataFrame, longest: int) -> list[DataFrame]:
+    """Tables (repo, node, to): 1, 2, 4, ... steps up a tree given as (repo, node, to)."""
+    tables, steps = [ws.save(parents)], 1
+    while 2 * steps <= longest:
+        last = tables[-1]
+        onward = last.select("repo", F.col("node").alias("to"), F.col("to").alias("far"))
+        tables.append(ws.save(last.join(onward, ["repo", "to"]).select("repo", "node", F.col("far").alias("to"))))
+        steps *= 2
+    return tables
+
+
+def _ascend(rows: DataFrame, at: str, steps: str, jumps: list[DataFrame]) -> DataFrame:
+    """``rows`` with column ``at`` moved up by ``steps``, one power of two after the other."""
+    for k, jump in enumerate(jumps):
+        moves = F.when(F.getbit(F.col(steps), F.lit(k)) == 1, F.col(at))
+        rows = rows.withColumn("_from", moves).join(
+            jump.select("repo", F.col("node").alias("_from"), F.col("to").alias("_to")), ["repo", "_from"], "left").withColumn(
+            at, F.coalesce("_to", at)).drop("_from", "_to")
+    return rows
+
+
+def back_edge_cycles(ws: Workspace, edges: DataFrame) -> DataFrame:
+    """One elementary cycle of any length for each back edge: repo, cycle (closed list of paths), length.
+
+    In every component, a tree of shortest ways starts at the smallest path; a file's parent in it is the smallest one among those a step nearer.  An
+    edge that leads to the file itself or to one above it in the tree closes a cycle: the way down the tree to where the edge starts, and back.  Every component has
+    one at least, as an edge leads to its first file; there are no more cycles than edges.  Rounds grow with the logarithm of chains.
+    """
+    comp = ws.save(components(ws, edges))
+    inner = ws.save(
+        edges.join(comp.select("repo", F.col("path").alias("src"), "component"), ["repo", "src"])
+        .join(comp.select("repo", F.col("path").alias("dst"), "component"), ["repo", "dst", "component"])
+        .select("repo", "src", "dst")
+    )
+    reach = with_shortcuts(ws, inner)
+    distance = ws.save(comp.select("repo", F.col("path").alias("node"), F.when(F.col("path") == F.col("component"), F.lit(0).cast("bigint")).alias("steps")))
+    while True:
+        step = distance.withColumn("old", F.col("steps"))
+        for _ in range(HOPS_PER_ROUND):
+            sent = reach.join(step.where("steps IS NOT NULL").select("repo", F.col("node").alias("src"), F.col("steps").alias("upto")), ["repo", "src"]).select(
+                "repo", F.col("dst").alias("node"), (F.col("upto") + F.col("steps")).alias("steps"), F.lit(None).cast("bigint").alias("old"))
+            step = step.unionAll(sent).groupBy("repo", "node").agg(F.min("steps").alias("steps"), F.max("old").alias("old"))
+        older = distance
+        distance, seen = ws.save_counted(
+            step, changed=F.count_if(~F.col("steps").eqNullSafe(F.col("old"))), deepest=F.max("steps"))
+        ws.release(older)
+        if not seen["changed"]:
+            break
+    far = lambda end: distance.select("repo", F.col("node").alias(end), F.col("steps").alias(f"{end}_steps"))
+    measured = ws.save(inner.join(far("src"), ["repo", "src"]).join(far("dst"), ["repo", "dst"]))
+    parents = measured.where("dst_steps = src_steps + 1").groupBy("repo", F.col("dst").alias("node")).agg(F.min("src").alias("to"))
+    jumps = _jumps(ws, parents, max(seen["deepest"] or 0, 1))
+    upward = measured.where("dst_steps <= src_steps").select(
+        "repo", "src", "dst", (F.col("src_steps") - F.col("dst_steps")).alias("up"), F.col("src").alias("above"))
+    closing = ws.save(_ascend(upward, "above", "up", jumps).where("above = dst").select("repo", "src", "dst", "up"))
+    along = closing.select("repo", "src", "dst", F.col("src").alias("path"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("up"))).alias("back"), "up")
+    placed = _ascend(along, "path", "back", jumps)
+    listed = placed.groupBy("repo", "src", "dst").agg(
+        F.sort_array(F.collect_list(F.struct((F.col("up") - F.col("back")).alias("at"), "path"))).alias("steps"))
+    return listed.select("repo", F.array_append(F.col("steps.path"), F.col("dst")).alias("cycle"), F.size("steps").cast("bigint").alias("length"))

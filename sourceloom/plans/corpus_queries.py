@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sourceloom import rules
 from sourceloom.functions import text as T
 from sourceloom.operators import (
-    analysis, checks, classify, context, diff, graph, imports, ordered, rewrite, symbols,
+    analysis, checks, classify, context, diff, graph, imports, line_diff, ordered, rewrite, symbols,
 )
 from sourceloom.plans.common import (
     COMPONENTS, DECODED, DISTINCT_KEYWORDS, EDGES, ENTRY, EXT, FILES, FILE_TYPE, IMPORTS, KEPT, LANGUAGE, LAYERS,
@@ -327,6 +327,21 @@ def _(x: Inputs):
     return cycles.select("repo", F.array_join("cycle", " > ").alias("cycle"))
 
 
+@query("dependency_cycles", f"""WITH RECURSIVE {COMPONENTS},
+  i AS MATERIALIZED (SELECT e.repo, s, t, c.component FROM e JOIN components c ON c.path = s JOIN components d ON d.path = t AND d.component = c.component),
+  steps(component, node, n) AS (SELECT DISTINCT component, component, 0 FROM components
+    UNION SELECT i.component, i.t, n + 1 FROM steps JOIN i ON i.component = steps.component AND i.s = node
+    WHERE n + 1 < (SELECT count(*) FROM components k WHERE k.component = steps.component)),
+  far AS MATERIALIZED (SELECT node, min(n) AS n FROM steps GROUP BY node),
+  parent AS MATERIALIZED (SELECT t AS node, min(s) AS up FROM i JOIN far a ON a.node = s JOIN far b ON b.node = t WHERE b.n = a.n + 1 GROUP BY t),
+  way(repo, s, t, at, path) AS (SELECT repo, s, t, s, [s] FROM i
+    UNION ALL SELECT way.repo, s, t, up, list_prepend(up, way.path) FROM way JOIN parent ON parent.node = at WHERE at <> t)
+  SELECT repo, array_to_string(list_append(path, t), ' > ') AS cycle, CAST(len(path) AS BIGINT) AS length FROM way WHERE at = t""")
+def _(x: Inputs):
+    cycles = graph.back_edge_cycles(x.ws, x.simple_edges)
+    return cycles.select("repo", F.array_join("cycle", " > ").alias("cycle"), "length")
+
+
 # --- aggregates -----------------------------------------------------------------------------------------
 @query("language_counts", f"WITH {FILES} SELECT repo, language, count(*) AS files FROM files WHERE language <> 'unknown' GROUP BY ALL")
 def _(x: Inputs):
@@ -618,6 +633,15 @@ def _(x: Inputs):
     return diff.semantic_changes(_changed(x))
 
 
+# What went or came without moving is the same whichever longest common run of lines was taken: the surplus of one side.
+@query("line_changes", f"""WITH {DIFF}, both AS (SELECT path, line, coalesce(o.n, 0) AS old, coalesce(w.n, 0) AS new FROM o FULL JOIN w USING (path, line))
+  SELECT c.repo, path, CASE WHEN old > new THEN 'old' ELSE 'new' END AS side, line AS text, abs(old - new) AS n
+  FROM both JOIN changed c USING (path) WHERE old <> new""")
+def _(x: Inputs):
+    rows = line_diff.ordered_line_diff(_changed(x)).where("moved_to IS NULL")
+    return rows.groupBy("repo", "path", "side", "text").agg(F.count("*").alias("n"))
+
+
 @query("diff_totals", f"""WITH {DIFF} SELECT repo, count(*) AS files, CAST(sum(lines_added) AS BIGINT) AS lines_added,
   CAST(sum(lines_removed) AS BIGINT) AS lines_removed, round(sum(change_ratio) / greatest(count(*), 1) * 100, 4) AS avg_change_pct FROM diffs GROUP BY repo""")
 def _(x: Inputs):
