@@ -9,13 +9,13 @@ from sourceloom import rules
 from sourceloom.functions import text as T
 
 
-def _matches(pattern_no: int, pattern: str) -> Column:
+def _matches(pattern_no: int, pattern: str, content: Column) -> Column:
     """All matches of one pattern as structs.
 
     The capture is taken again from each short match, so the text is scanned once.
     """
     return F.transform(
-        T.find_all(F.col("content"), pattern),
+        T.find_all(content, pattern),
         lambda statement, i: F.struct(
             F.lit(pattern_no).alias("pattern_no"),
             (i + 1).alias("match_no"),
@@ -25,24 +25,34 @@ def _matches(pattern_no: int, pattern: str) -> Column:
     )
 
 
+def _patterns(extra: dict[str, list[str]] | None) -> dict[str, list[str]]:
+    patterns = {lang: list(found) for lang, found in rules.IMPORT_PATTERNS.items()}
+    for lang, found in (extra or {}).items():
+        patterns[lang] = patterns.get(lang, []) + found
+    return patterns
+
+
+def import_matches(language: Column, content: Column, extra: dict[str, list[str]] | None = None) -> Column:
+    """All import statements of a text as an array; null for languages without patterns."""
+    cases = None
+    for lang, found in _patterns(extra).items():
+        all_matches = F.concat(*[_matches(i, p, content) for i, p in enumerate(found)])
+        cases = F.when(language == lang, all_matches) if cases is None else cases.when(language == lang, all_matches)
+    return cases
+
+
 def extract_imports(files: DataFrame, extra: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per match; patterns of a language in order, matches in text order.
 
     ``extra`` adds patterns per language, known or new.
     """
-    patterns = {lang: list(found) for lang, found in rules.IMPORT_PATTERNS.items()}
-    for lang, found in (extra or {}).items():
-        patterns[lang] = patterns.get(lang, []) + found
-    cases = None
-    for lang, found in patterns.items():
-        all_matches = F.concat(*[_matches(i, p) for i, p in enumerate(found)])
-        condition = F.col("language") == lang
-        cases = F.when(condition, all_matches) if cases is None else cases.when(condition, all_matches)
-    return (
-        files.filter(F.col("language").isin(list(patterns)))
-        .select("repo", "path", "language", F.explode(cases).alias("m"))
-        .select("repo", "path", "language", "m.*")
-    )
+    return listed_imports(files.filter(F.col("language").isin(list(_patterns(extra)))).select(
+        "repo", "path", "language", import_matches(F.col("language"), F.col("content"), extra).alias("imports")))
+
+
+def listed_imports(files: DataFrame) -> DataFrame:
+    """The same from rows (repo, path, language, imports) that hold the matches of their text."""
+    return files.select("repo", "path", "language", F.explode("imports").alias("m")).select("repo", "path", "language", "m.*")
 
 
 def import_stem(import_path: Column, language: Column) -> Column:
@@ -88,6 +98,7 @@ def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def dependency_edges(files: DataFrame, extra: dict[str, list[str]] | None = None) -> DataFrame:
-    """Directed multigraph of files; duplicates and self-loops are kept."""
-    resolved = resolve_imports(extract_imports(files, extra), files.select("repo", "path"))
+    """Directed multigraph of files; duplicates and self-loops are kept.  ``files`` have content, or ``imports`` found before."""
+    found = listed_imports(files) if "imports" in files.columns else extract_imports(files, extra)
+    resolved = resolve_imports(found, files.select("repo", "path"))
     return resolved.withColumn("import_type", F.lit("static"))

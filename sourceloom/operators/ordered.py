@@ -76,11 +76,12 @@ def next_value(
         cut.filter(F.col("_value").isNotNull()).groupBy(*piece).agg(F.min_by("_value", _SEQ).alias("_head"))
     )
     marks = cut.select(*piece).distinct().join(heads, piece, "left")
-    later = Window.partitionBy(*keys).orderBy(_PIECE).rowsBetween(1, Window.unboundedFollowing)
-    marks = marks.select(*piece, F.first("_head", ignorenulls=True).over(later).alias("_later"))
-    after = Window.partitionBy(*piece).orderBy(_SEQ).rowsBetween(1, Window.unboundedFollowing)
+    # backwards, so that the frame grows by a row at a time: one that shrinks is gone through anew for every row
+    later = Window.partitionBy(*keys).orderBy(F.col(_PIECE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.select(*piece, F.last("_head", ignorenulls=True).over(later).alias("_later"))
+    after = Window.partitionBy(*piece).orderBy(F.col(_SEQ).desc()).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.select(
-        *df.columns, _PIECE, F.first("_value", ignorenulls=True).over(after).alias("_near")
+        *df.columns, _PIECE, F.last("_value", ignorenulls=True).over(after).alias("_near")
     )
     return local.join(marks, piece).select(*df.columns, F.coalesce("_near", "_later").alias(name))
 

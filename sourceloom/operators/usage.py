@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,76 +85,40 @@ def requests_per_model(answered: DataFrame) -> DataFrame:
 
 
 # --- cache hits with a time to live ------------------------------------------------------------
-def _mark_hits(ttl: int):
-    """One pass over rows sorted by (key, at, seq); the state is the live entry of one key."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = created = None
-        for batch in batches:
-            hits = []
-            for k, at in zip(batch["key"].tolist(), batch["at"].tolist()):
-                hit = k == key and at - created <= ttl
-                if not hit:
-                    key, created = k, at
-                hits.append(hit)
-            yield batch.assign(hit=hits)
-
-    return run
-
+def ttl_hits(ws: Workspace, requests: DataFrame, ttl_seconds: int = rules.DEFAULT_TTL_SECONDS) -> DataFrame:
+    """Mark each request of (key, at in microseconds, seq) as cache hit or miss.
 
-def _hot_hits(ws: Workspace, rows: DataFrame, ttl: int) -> DataFrame:
-    """The same for keys too long for one task.
+    A miss creates an entry; requests until ``ttl_seconds`` after it, that moment included, are
+    hits and do not prolong it.
 
     From each moment the next entry would be created at the first request after its expiry.
     The entries of a key are what its first request leads to; following these pointers with
-    doubled steps takes as many rounds as the logarithm of the entries of one key.
+    doubled steps takes as many rounds as the logarithm of the entries of one key, and no key, however long,
+    is read in one task.
     """
+    ttl = (ttl_seconds or rules.DEFAULT_TTL_SECONDS) * 1_000_000
+    rows = ws.save(requests.select("key", "at", "seq"))
     moments = ws.save(rows.groupBy("key", "at").agg(F.min("seq").alias("seq")))
-    requests = moments.select("key", F.col("at").alias("t"), F.lit(False).alias("is_end"), "at")
+    asked = moments.select("key", F.col("at").alias("t"), F.lit(False).alias("is_end"), "at")
     ends = moments.select("key", (F.col("at") + ttl).alias("t"), F.lit(True).alias("is_end"), "at")
     pointed = ordered.next_value(
-        ws, requests.unionAll(ends), ["key"], [F.col("t"), F.col("is_end")],
+        ws, asked.unionAll(ends), ["key"], [F.col("t"), F.col("is_end")],
         F.when(~F.col("is_end"), F.col("at")), "next_at",
     )
-    jump = ws.save(pointed.filter("is_end AND next_at IS NOT NULL").select("key", "at", "next_at"))
-    reached, seen = ws.save_counted(moments.groupBy("key").agg(F.min("at").alias("at")))
+    jump, seen = ws.save_counted(pointed.filter("is_end AND next_at IS NOT NULL").select("key", "at", "next_at"))
+    reached = ws.save(moments.groupBy("key").agg(F.min("at").alias("at")))
     created = [reached]
     while seen["rows"]:
         known = reduce(DataFrame.unionAll, created)
-        reached, seen = ws.save_counted(known.join(jump, ["key", "at"]).select("key", F.col("next_at").alias("at")))
-        created.append(reached)
+        created.append(ws.save(known.join(jump, ["key", "at"]).select("key", F.col("next_at").alias("at"))))
         farther = jump.select("key", F.col("at").alias("next_at"), F.col("next_at").alias("far_at"))
-        jump = ws.save(jump.join(farther, ["key", "next_at"]).select("key", "at", F.col("far_at").alias("next_at")))
+        jump, seen = ws.save_counted(jump.join(farther, ["key", "next_at"]).select("key", "at", F.col("far_at").alias("next_at")))
     entries = reduce(DataFrame.unionAll, created).join(moments, ["key", "at"]).withColumn("miss", F.lit(True))
     return rows.join(entries, ["key", "at", "seq"], "left").select(
         "key", "at", "seq", F.col("miss").isNull().alias("hit")
     )
 
 
-def ttl_hits(ws: Workspace, requests: DataFrame, ttl_seconds: int = rules.DEFAULT_TTL_SECONDS) -> DataFrame:
-    """Mark each request of (key, at in microseconds, seq) as cache hit or miss.
-
-    A miss creates an entry; requests until ``ttl_seconds`` after it, that moment included, are
-    hits and do not prolong it.  Requests are range-partitioned by key and time.  A key within
-    one range is scanned in order; the few keys that span ranges, at most one per range border,
-    go through pointer doubling.
-    """
-    ttl = (ttl_seconds or rules.DEFAULT_TTL_SECONDS) * 1_000_000
-    cut = ordered._pieces(ws, requests.select("key", "at", "seq"), ["key"], [F.col("at"), F.col("seq")])
-    spread = cut.groupBy("key").agg(F.min(ordered._PIECE).alias("a"), F.max(ordered._PIECE).alias("b"))
-    hot, seen = ws.save_counted(spread.filter("a < b").select("key"))
-    rows = cut.select("key", "at", "seq")
-    if not seen["rows"]:
-        return _scan(rows, ttl)
-    hot_rows = ws.save(rows.join(hot, "key", "left_semi"))
-    return _scan(rows.join(hot, "key", "left_anti"), ttl).unionByName(_hot_hits(ws, hot_rows, ttl))
-
-
-def _scan(rows: DataFrame, ttl: int) -> DataFrame:
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, at bigint, seq bigint, hit boolean"
-    in_order = rows.repartition("key").sortWithinPartitions("key", "at", "seq")
-    return in_order.mapInPandas(_mark_hits(ttl), schema)
-
-
 def cache_stats(marked: DataFrame) -> DataFrame:
     """Hits, misses, entries held and hit rate in percent."""
     hits, total = F.count_if("hit"), F.count("*")

@@ -69,11 +69,21 @@ class Inputs:
     def entry_points(self) -> DataFrame:
         return classify.entry_points(self.files)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """What checks, edges and entry points need of the texts, from one pass over them."""
+        path, content = F.col("original_path"), F.col("original_content")
+        return self.ws.save(checks.file_facts(
+            self.migrated, TARGET, path.alias("path"), classify.language_of(path).alias("language"),
+            imports.import_matches(classify.language_of(path), content).alias("imports"),
+            classify.is_entry_point(path, content).alias("entry")))
+
     @cached_property
     def checks(self) -> DataFrame:
-        return self.ws.save(
-            checks.run_checks(self.ws, self.migrated, self.edges, self.entry_points, self.components, TARGET)
-        )
+        edges = self.ws.save(imports.dependency_edges(self.facts))
+        components = self.ws.save(graph.components(self.ws, graph.simple_edges(edges)))
+        entries = self.facts.where("entry").select("repo", "path")
+        return self.ws.save(checks.run_checks(self.ws, self.facts, edges, entries, components, TARGET))
 
     # --- logs -----------------------------------------------------------------------------
     @cached_property

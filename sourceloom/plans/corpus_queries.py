@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sourceloom import rules
 from sourceloom.functions import text as T
 from sourceloom.operators import (
-    analysis, checks, classify, context, diff, graph, imports, line_diff, ordered, rewrite, symbols,
+    analysis, checks, classify, context, diff, graph, imports, line_diff, ordered, parsers, rewrite, symbols,
 )
 from sourceloom.plans.common import (
     COMPONENTS, DECODED, DISTINCT_KEYWORDS, EDGES, ENTRY, EXT, FILES, FILE_TYPE, IMPORTS, KEPT, LANGUAGE, LAYERS,
@@ -287,6 +287,39 @@ def _(x: Inputs):
     )
 
 
+def _go_calls(text: str):
+    """What a Go file calls by a qualified name, as a user's parser might tell; it refuses texts with a tab."""
+    for line in text.split("\n"):
+        if "\t" in line:
+            raise ValueError("tab")
+        for word in line.split(" "):
+            head, dot, tail = word.partition(".")
+            if dot and head.isascii() and head.isalpha() and tail.isascii() and tail.isalpha():
+                yield head, word
+
+
+def _links(text: str):
+    """Lines of a text file that begin with a capital letter and end in a full stop."""
+    for line in text.split("\n"):
+        if line.endswith(".") and "A" <= line[:1] <= "Z":
+            yield line[:1], line
+
+
+_GO_LINES = """SELECT f.repo, f.path, f.language, w.word, l.no, position(chr(9) IN l.line) > 0 AS tab
+    FROM files f, (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS no FROM files) l,
+      LATERAL (SELECT unnest(string_split(l.line, ' ')) AS word) w WHERE l.path = f.path AND f.language = 'go'"""
+
+
+@query("extract_with_parsers", f"""WITH {FILES}, go AS MATERIALIZED ({_GO_LINES}), stop AS (SELECT path, min(no) AS no FROM go WHERE tab GROUP BY path),
+  lines AS (SELECT repo, path, language, unnest(string_split(content, chr(10))) AS line FROM files WHERE language = 'javascript')
+  SELECT repo, go.path, language, regexp_extract(word, '^[A-Za-z]+') AS import_path, word AS statement, CAST(NULL AS VARCHAR) AS parse_error
+    FROM go LEFT JOIN stop ON stop.path = go.path WHERE (stop.no IS NULL OR go.no < stop.no) AND regexp_matches(word, '^[A-Za-z]+\\.[A-Za-z]+$')
+  UNION ALL SELECT DISTINCT repo, go.path, language, NULL, NULL, 'ValueError: tab' FROM go JOIN stop ON stop.path = go.path
+  UNION ALL SELECT repo, path, language, substr(line, 1, 1), line, NULL FROM lines WHERE regexp_matches(line, '^[A-Z]') AND ends_with(line, '.')""")
+def _(x: Inputs):
+    return parsers.parsed_imports(x.files, {"go": _go_calls, "javascript": _links})
+
+
 @query("graph_degrees", f"""WITH {EDGES} SELECT f.repo, f.path, (SELECT count(*) FROM edges e WHERE e.source_file = f.path) AS out_degree,
   (SELECT count(*) FROM edges e WHERE e.target_file = f.path) AS in_degree FROM files f""")
 def _(x: Inputs):
@@ -436,6 +469,10 @@ def _with_local_refs(x: Inputs):
     return rewrite.render_migrated(x.files, TARGET, text)
 
 
+def _facts(x: Inputs, migrated):
+    return x.ws.save(checks.file_facts(migrated, TARGET))
+
+
 @query("migrated_refs", f"WITH {migrated_sql()}, refs AS ({REFS_SELECT}) SELECT repo, new_path, CAST(pattern_no AS BIGINT) AS pattern_no, match_no, ref FROM refs")
 def _(x: Inputs):
     return checks.migrated_refs(x.migrated).select(
@@ -446,7 +483,7 @@ def _(x: Inputs):
 
 @query("unresolved_refs", f"WITH {refs_sql(local_refs_sql())} SELECT repo, new_path, ref FROM unresolved")
 def _(x: Inputs):
-    return checks.unresolved_refs(x.ws, _with_local_refs(x)).select("repo", "new_path", "ref")
+    return checks.unresolved_refs(x.ws, _facts(x, _with_local_refs(x))).select("repo", "new_path", "ref")
 
 
 @query("orphan_files", f"""WITH {migrated_sql(EDGES)} SELECT repo, original_path, new_path FROM migrated WHERE original_path NOT IN (SELECT target_file FROM edges)
@@ -487,7 +524,7 @@ CYCLE_CHECK = f"""SELECT 'corpus' AS repo, '{_CYCLES[0]}' AS check_name, n = 0 A
 
 @query("check_imports", f"WITH {refs_sql(local_refs_sql())} {IMPORT_CHECK}")
 def _(x: Inputs):
-    return checks.check_imports(x.ws, _with_local_refs(x))
+    return checks.check_imports(x.ws, _facts(x, _with_local_refs(x)))
 
 
 @query("check_orphans", f"WITH {migrated_sql(EDGES)} {ORPHAN_CHECK}")
@@ -518,12 +555,12 @@ def _trimmed(x: Inputs):
 
 @query("check_completeness", f"WITH {TRIMMED_MIGRATED} {EMPTY_CHECK}")
 def _(x: Inputs):
-    return checks.check_completeness(_trimmed(x))
+    return checks.check_completeness(_facts(x, _trimmed(x)))
 
 
 @query("check_untranslated", f"WITH {TRIMMED_MIGRATED} {SAME_CHECK}")
 def _(x: Inputs):
-    return checks.check_untranslated(_trimmed(x))
+    return checks.check_untranslated(_facts(x, _trimmed(x)))
 
 
 _FAULTS = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sourceloom import rules
-from sourceloom.operators import symbols
+from sourceloom.operators import members, symbols
 from sourceloom.plans.common import EDGES, EXT, FILES, Inputs, query, rx, sql_case, sql_strip, sql_text
 from sourceloom.plans.corpus_queries import EXPORTS
 
@@ -154,6 +154,41 @@ def _(x: Inputs):
     )
 
 
+# Heads stand on lines of their own in the corpus; a member belongs to the last class above it in its file.
+_PY_MEMBER = rf"^[ \t]+(async[ \t]+)?def[ \t]+([{W}]+)\(([^()]*)\):"
+_JS_MEMBER = rf"^  (async )?([{W}]+)\(([^()]*)\) \{{"
+_JAVA_MEMBER = rf"^  public ([{W}]+) ([{W}]+)\(([^()]*)\) \{{"
+_ALL_LINES = TEXT_LINES.replace(" WHERE language = 'python'", " WHERE language IN ('python', 'javascript', 'typescript', 'java')")
+
+
+def _member_rows(languages: str, head: str, member: str, returned: str, awaited: str, params: str) -> str:
+    return f"""SELECT m.repo, m.path, m.language, c.name AS class_name, c.line AS class_line, {_g('m.text', member, 2)} AS name, {params} AS params,
+    {returned} AS return_type, {awaited} AS is_async, '' AS decorators, m.line
+  FROM lines m JOIN (SELECT *, lead(line, 1, 1000000) OVER (PARTITION BY path ORDER BY line) AS ends FROM
+    (SELECT path, line, {_g('text', head, 1)} AS name FROM lines WHERE language IN {languages} AND regexp_matches(text, {rx(head)})) h) c
+    ON c.path = m.path AND m.line > c.line AND m.line < c.ends
+  WHERE m.language IN {languages} AND regexp_matches(m.text, {rx(member)})"""
+
+
+def _named(pattern: str, shown: str) -> str:
+    return f"array_to_string(list_transform(list_filter(string_split({_g('m.text', pattern, 3)}, ','), lambda v: {sql_strip('v')} <> ''), lambda v: {shown}), ',')"
+
+
+CLASS_MEMBERS = " UNION ALL ".join([
+    _member_rows("('python')", rf"^class[ \t]+([{W}]+)", _PY_MEMBER, "NULL", f"{_g('m.text', _PY_MEMBER, 1)} <> ''", _named(_PY_MEMBER, sql_strip("v") + " || ' '")),
+    _member_rows("('javascript', 'typescript')", rf"^class ([{W}]+)", _JS_MEMBER, "NULL", f"{_g('m.text', _JS_MEMBER, 1)} <> ''", _named(_JS_MEMBER, sql_strip("v") + " || ' '")),
+    _member_rows("('java')", rf"^public class ([{W}]+)", _JAVA_MEMBER, _g("m.text", _JAVA_MEMBER, 1), "false", _named(
+        _JAVA_MEMBER, f"split_part({sql_strip('v')}, ' ', 2) || ' ' || split_part({sql_strip('v')}, ' ', 1)")),
+])
+
+
+@query("class_members", f"WITH {FILES}, lines AS MATERIALIZED ({_ALL_LINES}) {CLASS_MEMBERS}")
+def _(x: Inputs):
+    shown = F.transform("params", lambda p: F.concat(p["name"], F.lit(" "), F.coalesce(p["type"], F.lit(""))))
+    return members.class_members(x.ws, x.files).withColumns({
+        "params": F.array_join(shown, ","), "decorators": F.array_join("decorators", ",")})
+
+
 def _mapping(language: str, target: str) -> str:
     return sql_case("source_type", rules.TYPE_MAPPINGS[language][target])
 

@@ -59,6 +59,23 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none while it does not exist."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
+
+
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder another name in the same file system, in one step."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(path), hadoop.Path(to)
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    if not files.rename(source, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 class Workspace:
     """Written tables that cut the lineage of an iterative job.
 

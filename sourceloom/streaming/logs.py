@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from sourceloom import rules
 from sourceloom.operators import usage
 from sourceloom.session import Workspace
-from sourceloom.streaming.tables import change_log, newest, read_batches, run_available, write_batch
+from sourceloom.streaming.tables import change_log, compact, newest, read_batches, run_available, write_batch
 
 FINISHED = ["completed", "failed"]
 
 
+STATUS = "job {}, status string, updated_at timestamp_ntz, seq bigint"
+METRIC = "key string, total double, last_value double, n bigint, avg_value double"
+
+
 def stream_latest_status(statuses: DataFrame, out: str) -> None:
     """Keep the newest status of each job; each batch logs the jobs that changed."""
     current = statuses.groupBy("job").agg(F.max(F.struct("ts", "seq", "status")).alias("s"))
@@ -20,7 +24,12 @@ def stream_latest_status(statuses: DataFrame, out: str) -> None:
 
 
 def latest_status(spark: SparkSession, out: str, job_type: str = "bigint") -> DataFrame:
-    return newest(spark, out, ["job"], f"job {job_type}, status string, updated_at timestamp_ntz, seq bigint")
+    return newest(spark, out, ["job"], STATUS.format(job_type))
+
+
+def compact_status(spark: SparkSession, out: str, job_type: str = "bigint") -> None:
+    """Between two runs of the stream: one row a job instead of its changes so far."""
+    compact(spark, out, ["job"], STATUS.format(job_type))
 
 
 def stream_metrics(metrics: DataFrame, out: str) -> None:
@@ -34,7 +43,12 @@ def stream_metrics(metrics: DataFrame, out: str) -> None:
 
 
 def current_metrics(spark: SparkSession, out: str) -> DataFrame:
-    return newest(spark, out, ["key"], "key string, total double, last_value double, n bigint, avg_value double")
+    return newest(spark, out, ["key"], METRIC)
+
+
+def compact_metrics(spark: SparkSession, out: str) -> None:
+    """Between two runs of the stream: one row a key instead of its changes so far."""
+    compact(spark, out, ["key"], METRIC)
 
 
 # --- cache hits ---------------------------------------------------------------------------------

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from sourceloom.session import delete_path, folder_names, move_path
 from sourceloom.sources import tables
 
 
@@ -28,22 +31,62 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def run_available(
     stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
-) -> None:
+) -> StreamingQuery:
     """Process everything that is there, in batches, and stop; a later run goes on from here."""
     started = (
         stream.writeStream.foreachBatch(sink).outputMode(mode)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     started.awaitTermination()
+    return started
+
+
+def write_progress(spark: SparkSession, query: StreamingQuery, path: str) -> None:
+    """What the engine says of the batches of a run: watermark, rows that came too late for it, rows of state.
+
+    One row a batch, as far as the query remembers its batches (the last hundred).
+    """
+    for p in query.recentProgress:
+        operators = p["stateOperators"]
+        row = ((p.get("eventTime") or {}).get("watermark"), sum(o["numRowsDroppedByWatermark"] for o in operators), sum(o["numRowsTotal"] for o in operators))
+        write_batch(spark.createDataFrame([row], "watermark string, late bigint, state_rows bigint").coalesce(1), f"{path}/progress", p["batchId"])
 
 
 def change_log(stream: DataFrame, path: str, mode: str = "update") -> None:
     """Append the changed rows of each batch; ``newest`` gives the current state."""
-    run_available(stream, lambda batch, i: write_batch(batch, f"{path}/log", i), f"{path}/checkpoint", mode)
+    query = run_available(stream, lambda batch, i: write_batch(batch, f"{path}/log", i), f"{path}/checkpoint", mode)
+    write_progress(stream.sparkSession, query, path)
+
+
+def _compacted(spark: SparkSession, path: str) -> int:
+    """The last batch that a compacted table holds, -1 without one."""
+    return max([-1, *(int(name.removeprefix("upto=")) for name in folder_names(spark, f"{path}/compacted") if name.startswith("upto="))])
 
 
 def newest(spark: SparkSession, path: str, keys: list[str], schema: str) -> DataFrame:
-    """The last change of each key."""
-    log = read_batches(spark, f"{path}/log", schema)
+    """The last change of each key: of the compacted table and the batches after it."""
+    upto = _compacted(spark, path)
+    log = read_batches(spark, f"{path}/log", schema).where(F.col("batch_id") > upto)
+    if upto >= 0:
+        log = log.unionByName(tables.read_or_empty(spark, f"{path}/compacted/upto={upto}", f"{schema}, batch_id bigint"))
     rest = [c for c in log.columns if c not in (*keys, "batch_id")]
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("last")).select(*keys, "last.*")
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], schema: str) -> None:
+    """Replace the batches of a change log so far by one row a key; the stream must not be running.
+
+    The table is written aside and gets its name in one step, so a reader finds the old state or the new one, and a run that is lost half
+    way leaves everything as it was.
+    """
+    done = [int(name.removeprefix("batch_id=")) for name in folder_names(spark, f"{path}/log") if name.startswith("batch_id=")]
+    before = _compacted(spark, path)
+    if not done or max(done) <= before:
+        return
+    aside = f"{path}/aside-{uuid.uuid4().hex}"
+    newest(spark, path, keys, schema).withColumn("batch_id", F.lit(max(done)).cast("bigint")).write.parquet(aside)
+    move_path(spark, aside, f"{path}/compacted/upto={max(done)}")
+    for batch in done:
+        delete_path(spark, f"{path}/log/batch_id={batch}")
+    if before >= 0:
+        delete_path(spark, f"{path}/compacted/upto={before}")

@@ -80,3 +80,19 @@ def test_arrow_function_as_translation(two_repos):
     out = rewrite.translate_with(two_repos, "rust", shout("content"))
     assert out.filter("migrated_content = upper(original_content)").count() == 7
     assert "ArrowEvalPython" in plan(out)
+
+
+def test_all_checks_read_the_texts_once(spark, tmp_path, monkeypatch):
+    """Counted over every table that is written on the way and the result."""
+    from sourceloom.plans.common import Inputs
+    from sourceloom.session import Workspace
+
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plans, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df: plans.append(plan(df)) or save(self, df))
+    found = Inputs(spark, str(tmp_path)).checks
+    plans.append(plan(found))
+    # a scan is named in the tree and again in its details, by one of the two
+    scans = sum(p.count("documents.parquet]") for p in plans)
+    assert found.count() > 60 and 1 <= scans <= 2

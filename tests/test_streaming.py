@@ -90,3 +90,30 @@ def test_translate_resumes_and_retries(spark):
     }
     steps = translate.run_events(spark, out, total).filter("event_type = 'checkpoint'").orderBy("batch_id").collect()
     assert [round(s.progress_pct) for s in steps] == [33, 100]
+
+
+def test_progress_over_several_batches_and_a_second_run(spark, ws):
+    schema = "repo string, path string, content string, language string, file_type string, size_bytes bigint"
+    folder, out = scratch_path(spark, "files"), scratch_path(spark, "translated")
+    row = lambda i, text: ("r", f"f{i}.py", text, "python", "source", 1)
+    text = F.when(~F.contains("content", F.lit("bad")), rewrite.stand_in_text("go"))
+
+    def run(*batches):
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        translate.stream_translate(read_stream(spark, folder, schema, files_per_batch=1), "go", out, text)
+
+    run([row(3, "a"), row(1, "b"), row(1, "b"), row(1, "other")], [row(2, "bad"), row(0, "c")], [row(4, "d")])
+    tried = [r.original_path for r in translate.migrated(spark, out).collect()]
+    assert sorted(tried) == ["f0.py", "f1.py", "f3.py", "f4.py"]
+    total = spark.createDataFrame([("r", 6), ("empty", 2)], "repo string, total bigint")
+    seconds = spark.createDataFrame([(0, 10.0), (1, 30.0), (2, 40.0)], "batch_id bigint, seconds double")
+    rows = {(r.event_type, r.file_path): (r.batch_id, r.done, r.remaining, r.resumed, r.progress_pct and round(r.progress_pct), r.eta_seconds)
+            for r in translate.progress_events(ws, out, total, seconds).where("repo = 'r'").collect()}
+    assert rows == {
+        ("start", None): (None, 0, 6, 0, 0.0, None), ("file_complete", "f1.py"): (0, 1, 5, 0, 17, 50.0), ("file_complete", "f3.py"): (0, 2, 4, 0, 33, 20.0),
+        ("file_complete", "f0.py"): (1, 3, 3, 0, 50, 30.0), ("file_error", "f2.py"): (1, 3, 3, 0, None, None), ("file_complete", "f4.py"): (2, 4, 2, 0, 67, 20.0)}
+    run([row(2, "fine now"), row(3, "again")])
+    rows = translate.progress_events(ws, out, total, resumed_before=3).collect()
+    assert {(r.repo, r.event_type, r.file_path, r.done, r.remaining, r.resumed) for r in rows} == {
+        ("r", "start", None, 4, 2, 4), ("r", "file_complete", "f2.py", 5, 1, 4), ("empty", "start", None, 0, 2, 0)}
