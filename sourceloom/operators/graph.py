@@ -16,6 +16,7 @@ from sourceloom.operators import ordered
 from sourceloom.session import Workspace
 
 HOPS_PER_ROUND = 2
+PLAIN_ROUNDS = 3  # rounds along plain edges before the shortcuts of chains are worked out
 ENDLESS = 1 << 40  # steps of a way that goes round a cycle stop here
 FEW_WAYS, GROWTH = 4, 4  # open ways of a node that others go through, while there are at most so many times the edges
 
@@ -146,14 +147,33 @@ def with_shortcuts(ws: Workspace, core: DataFrame) -> DataFrame:
     return ws.save(reduce(DataFrame.unionAll, found))
 
 
+class _Reach:
+    """Edges (repo, src, dst, steps) to hop along; after a few rounds that were not enough, with the shortcuts of chains."""
+
+    def __init__(self, ws: Workspace, core: DataFrame):
+        self.ws, self.core, self.rounds = ws, core, 0
+        self.edges, self.extended = core.select("repo", "src", "dst", F.lit(1).cast("bigint").alias("steps")), False
+
+    def next_round(self) -> DataFrame:
+        self.rounds += 1
+        if self.rounds > PLAIN_ROUNDS and not self.extended:
+            self.edges, self.extended = with_shortcuts(self.ws, self.core), True
+        return self.edges
+
+    def release(self) -> None:
+        if self.extended:
+            self.ws.release(self.edges)
+
+
 def _spread_labels(ws: Workspace, core: DataFrame, turn: int) -> DataFrame:
     """Give each node the label of the node that comes first, in an order drawn anew each turn, among those from which it can be reached."""
     nodes = core.select("repo", F.explode(F.array("src", "dst")).alias("node")).distinct()
     saved = ws.save(nodes.withColumn("label", F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("root"))))
+    reach = _Reach(ws, core)
     while True:
-        step = saved.withColumn("old", F.col("label"))
+        step, edges = saved.withColumn("old", F.col("label")), reach.next_round()
         for _ in range(HOPS_PER_ROUND):
-            sent = core.join(step.select("repo", F.col("node").alias("src"), "label"), ["repo", "src"]).select(
+            sent = edges.join(step.select("repo", F.col("node").alias("src"), "label"), ["repo", "src"]).select(
                 "repo", F.col("dst").alias("node"), "label", F.lit(None).cast(step.schema["label"].dataType).alias("old")
             )
             step = (
@@ -164,21 +184,24 @@ def _spread_labels(ws: Workspace, core: DataFrame, turn: int) -> DataFrame:
         saved, seen = ws.save_counted(step.withColumn("moved", F.col("label") != F.col("old")), changed=F.count_if("moved"))
         ws.release(older)
         if not seen["changed"]:
+            reach.release()
             return saved.select("repo", "node", F.col("label.root").alias("label"))
 
 
 def _members(ws: Workspace, inner: DataFrame, labels: DataFrame) -> DataFrame:
     """Nodes that reach the root of their label; ``inner`` holds edges within one label."""
     found, seen = ws.save_counted(labels.filter("node = label"))
-    count = -1
+    count, reach = -1, _Reach(ws, inner)
     while seen["rows"] != count:
-        count, step = seen["rows"], found
+        count, step, edges = seen["rows"], found, reach.next_round()
         for _ in range(HOPS_PER_ROUND):
-            back = inner.join(step.select("repo", F.col("node").alias("dst")), ["repo", "dst"], "left_semi").select("repo", F.col("src").alias("node"), "label")
+            # all nodes of an edge have one label
+            back = edges.join(step.select("repo", F.col("node").alias("dst"), "label"), ["repo", "dst"]).select("repo", F.col("src").alias("node"), "label")
             step = step.select("repo", "node", "label").unionAll(back).distinct()
         older = found
         found, seen = ws.save_counted(step)
         ws.release(older)
+    reach.release()
     return found
 
 
@@ -192,25 +215,22 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     core = cycle_core(ws, edges)
     results, turn = [], 0
     while not core.isEmpty():
-        reach = with_shortcuts(ws, core)
-        labels = _spread_labels(ws, reach, turn)
-        inner = (
-            reach.join(labels.select("repo", F.col("node").alias("src"), "label"), ["repo", "src"])
+        labels = _spread_labels(ws, core, turn)
+        inner = ws.save(
+            core.join(labels.select("repo", F.col("node").alias("src"), "label"), ["repo", "src"])
             .join(labels.select("repo", F.col("node").alias("dst"), F.col("label").alias("other")), ["repo", "dst"])
-            .filter("label = other").select("repo", "src", "dst", "label", "steps")
+            .filter("label = other").select("repo", "src", "dst")
         )
-        inner = ws.save(inner)
         members = _members(ws, inner, labels)
         results.append(members)
-        old = core
         gone = members.select("repo", "node")
-        rest = (
-            inner.where("steps = 1").join(gone.withColumnRenamed("node", "src"), ["repo", "src"], "left_anti")
+        rest, seen = ws.save_counted(
+            inner.join(gone.withColumnRenamed("node", "src"), ["repo", "src"], "left_anti")
             .join(gone.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_anti")
             .select("repo", "src", "dst")
         )
-        core, turn = cycle_core(ws, rest), turn + 1
-        ws.release(old, inner, reach)
+        ws.release(core, inner)
+        core, turn = cycle_core(ws, rest) if seen["rows"] else rest, turn + 1
     if not results:
         return edges.limit(0).select("repo", F.col("src").alias("path"), F.col("dst").alias("component"))
     found = reduce(DataFrame.unionAll, results)
@@ -299,12 +319,12 @@ def back_edge_cycles(ws: Workspace, edges: DataFrame) -> DataFrame:
         .join(comp.select("repo", F.col("path").alias("dst"), "component"), ["repo", "dst", "component"])
         .select("repo", "src", "dst")
     )
-    reach = with_shortcuts(ws, inner)
+    reach = _Reach(ws, inner)
     distance = ws.save(comp.select("repo", F.col("path").alias("node"), F.when(F.col("path") == F.col("component"), F.lit(0).cast("bigint")).alias("steps")))
     while True:
-        step = distance.withColumn("old", F.col("steps"))
+        step, hops = distance.withColumn("old", F.col("steps")), reach.next_round()
         for _ in range(HOPS_PER_ROUND):
-            sent = reach.join(step.where("steps IS NOT NULL").select("repo", F.col("node").alias("src"), F.col("steps").alias("upto")), ["repo", "src"]).select(
+            sent = hops.join(step.where("steps IS NOT NULL").select("repo", F.col("node").alias("src"), F.col("steps").alias("upto")), ["repo", "src"]).select(
                 "repo", F.col("dst").alias("node"), (F.col("upto") + F.col("steps")).alias("steps"), F.lit(None).cast("bigint").alias("old"))
             step = step.unionAll(sent).groupBy("repo", "node").agg(F.min("steps").alias("steps"), F.max("old").alias("old"))
         older = distance

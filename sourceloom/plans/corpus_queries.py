@@ -367,9 +367,9 @@ def _(x: Inputs):
     WHERE n + 1 < (SELECT count(*) FROM components k WHERE k.component = steps.component)),
   far AS MATERIALIZED (SELECT node, min(n) AS n FROM steps GROUP BY node),
   parent AS MATERIALIZED (SELECT t AS node, min(s) AS up FROM i JOIN far a ON a.node = s JOIN far b ON b.node = t WHERE b.n = a.n + 1 GROUP BY t),
-  way(repo, s, t, at, path) AS (SELECT repo, s, t, s, [s] FROM i
-    UNION ALL SELECT way.repo, s, t, up, list_prepend(up, way.path) FROM way JOIN parent ON parent.node = at WHERE at <> t)
-  SELECT repo, array_to_string(list_append(path, t), ' > ') AS cycle, CAST(len(path) AS BIGINT) AS length FROM way WHERE at = t""")
+  way(repo, s, t, spot, path) AS (SELECT repo, s, t, s, [s] FROM i
+    UNION ALL SELECT way.repo, s, t, up, list_prepend(up, way.path) FROM way JOIN parent ON parent.node = spot WHERE spot <> t)
+  SELECT repo, array_to_string(list_append(path, t), ' > ') AS cycle, CAST(len(path) AS BIGINT) AS length FROM way WHERE spot = t""")
 def _(x: Inputs):
     cycles = graph.back_edge_cycles(x.ws, x.simple_edges)
     return cycles.select("repo", F.array_join("cycle", " > ").alias("cycle"), "length")
@@ -671,9 +671,9 @@ def _(x: Inputs):
 
 
 # What went or came without moving is the same whichever longest common run of lines was taken: the surplus of one side.
-@query("line_changes", f"""WITH {DIFF}, both AS (SELECT path, line, coalesce(o.n, 0) AS old, coalesce(w.n, 0) AS new FROM o FULL JOIN w USING (path, line))
-  SELECT c.repo, path, CASE WHEN old > new THEN 'old' ELSE 'new' END AS side, line AS text, abs(old - new) AS n
-  FROM both JOIN changed c USING (path) WHERE old <> new""")
+@query("line_changes", f"""WITH {DIFF}, sides AS (SELECT path, line, coalesce(o.n, 0) AS went, coalesce(w.n, 0) AS came FROM o FULL JOIN w USING (path, line))
+  SELECT c.repo, path, CASE WHEN went > came THEN 'old' ELSE 'new' END AS side, line AS text, abs(went - came) AS n
+  FROM sides JOIN changed c USING (path) WHERE went <> came""")
 def _(x: Inputs):
     rows = line_diff.ordered_line_diff(_changed(x)).where("moved_to IS NULL")
     return rows.groupBy("repo", "path", "side", "text").agg(F.count("*").alias("n"))
