@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -111,6 +112,14 @@ class Workspace:
                 delete_path(self.spark, path)
                 del self._tables[i]
 
+    def tidy(self) -> None:
+        """Let go of the plans of finished rounds, so that Spark's cleaner deletes their shuffle files and broadcasts now.
+
+        It does so when the driver collects its garbage, which may otherwise be many rounds later.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         """Delete all tables of the job, once its result has been written elsewhere."""
         delete_path(self.spark, self.root)
