@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sourceloom import rules
 from sourceloom.functions import text as T
-from sourceloom.operators import analysis, graph
+from sourceloom.operators import analysis, graph, ordered
 
 
 def _joined_in_order(rows: Column, separator: str) -> Column:
@@ -15,13 +15,21 @@ def _joined_in_order(rows: Column, separator: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["text"]), separator)
 
 
-def corpus_summary(files: DataFrame, summary: DataFrame, frameworks: DataFrame) -> DataFrame:
-    """One text per repository: its facts and the heads of its first files.
+def _head(text: Column, chars: int | None) -> Column:
+    return text if chars is None else T.preview(text, chars)
 
-    At most 100 heads of 500 characters are gathered per repository.
+
+def corpus_summary(
+    files: DataFrame, summary: DataFrame, frameworks: DataFrame, first_files: int | None = None, chars: int | None = None
+) -> DataFrame:
+    """One text per repository: its facts and its files by path.
+
+    Whole files, unless the caller names how many of them and how many of their characters are wanted; then
+    no more than that is gathered.  The text of a repository is one value, so whole ones suit small repositories only.
     """
     a, b, c, d, e = rules.SUMMARY_BLOCK
-    heads = analysis.first_n_files(files, rules.SUMMARY_FILES, rules.SUMMARY_CHARS)
+    cut = files.withColumn("content", _head(F.col("content"), chars))
+    heads = cut if first_files is None else ordered.first_rows(cut, first_files, ["repo"], [F.col("path")]).drop("_rank")
     block = F.concat(
         F.lit(a), "path", F.lit(b), "language", F.lit(c), "file_type", F.lit(d), "content", F.lit(e)
     )
@@ -48,10 +56,10 @@ def corpus_summary(files: DataFrame, summary: DataFrame, frameworks: DataFrame)
     )
 
 
-def dep_context(edges: DataFrame, layers: DataFrame, migrated: DataFrame) -> DataFrame:
-    """Heads of the rewritten dependencies that come earlier, per file and in import order.
+def dep_context(edges: DataFrame, layers: DataFrame, migrated: DataFrame, chars: int | None = None) -> DataFrame:
+    """The rewritten dependencies that come earlier, per file and in import order; whole, or their first ``chars`` characters.
 
-    Heads are cut before they move; a file has at most as many dependencies as it has imports,
+    Texts are cut before they move; a file has at most as many dependencies as it has imports,
     which its size bounds.
     """
     a, b, c = rules.DEPENDENCY_BLOCK
@@ -61,7 +69,7 @@ def dep_context(edges: DataFrame, layers: DataFrame, migrated: DataFrame) -> Dat
     targets = layers.select("repo", F.col("path").alias("target_file"), key.alias("target_ord")).join(
         migrated.select(
             "repo", F.col("original_path").alias("target_file"),
-            T.preview(F.col("migrated_content"), rules.DEPENDENCY_CHARS).alias("head"),
+            _head(F.col("migrated_content"), chars).alias("head"),
         ),
         ["repo", "target_file"],
     )
@@ -88,16 +96,20 @@ def type_lines(language: Column, target: str) -> Column:
 
 
 def assemble_prompts(
-    files: DataFrame, summaries: DataFrame, contexts: DataFrame, imports: DataFrame, exports: DataFrame, target: str
+    files: DataFrame, summaries: DataFrame, contexts: DataFrame, imports: DataFrame, exports: DataFrame, target: str,
+    summary_chars: int | None = None,
 ) -> DataFrame:
-    """One prompt per file from the summary, type map, symbols, dependencies and whole text."""
+    """One prompt per file from the summary, type map, symbols, dependencies and whole text.
+
+    The summary is whole, or its first ``summary_chars`` characters.
+    """
     imported = imports.groupBy("repo", "path").agg(
         F.array_join(F.array_sort(F.collect_set("import_path")), ", ").alias("imports")
     )
     exported = exports.groupBy("repo", "path").agg(
         F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("exports")
     )
-    short = summaries.select("repo", T.preview(F.col("summary"), rules.CONTEXT_CHARS).alias("summary"))
+    short = summaries.select("repo", _head(F.col("summary"), summary_chars).alias("summary"))
     joined = (
         files.join(imported, ["repo", "path"], "left")
         .join(exported, ["repo", "path"], "left")

@@ -708,7 +708,7 @@ SUMMARY_TEXT = f"""SELECT s.repo, 'framework: ' || coalesce(w.framework, 'Unknow
 
 def _summary(x: Inputs):
     facts = analysis.analysis_summary(x.files, x.edges, x.components)
-    return context.corpus_summary(x.files, facts, analysis.detect_framework(x.files))
+    return context.corpus_summary(x.files, facts, analysis.detect_framework(x.files), rules.SUMMARY_FILES, rules.SUMMARY_CHARS)
 
 
 @query("corpus_summary", f"WITH RECURSIVE {COMPONENTS} SELECT repo, summary FROM ({SUMMARY_TEXT}) s")
@@ -725,7 +725,7 @@ DEP_CONTEXT = f"""SELECT e.repo, e.source_file AS path, count(*) AS dependencies
 
 @query("dep_context", f"WITH RECURSIVE {migrated_sql(LAYERS)} {DEP_CONTEXT}")
 def _(x: Inputs):
-    return context.dep_context(x.edges, x.layers, x.migrated)
+    return context.dep_context(x.edges, x.layers, x.migrated, rules.DEPENDENCY_CHARS)
 
 
 # --- symbols, shared by the context queries --------------------------------------------------------------------------
@@ -780,8 +780,8 @@ PROMPTS = f"""SELECT f.repo, f.path, 'Rewrite one file in {TARGET}.' || chr(10)
   SELECT repo, path, md5(prompt) AS digest, CAST(length(prompt) AS BIGINT) AS n_chars FROM ({PROMPTS}) p""")
 def _(x: Inputs):
     prompts = context.assemble_prompts(
-        x.files, x.ws.save(_summary(x)), context.dep_context(x.edges, x.layers, x.migrated),
-        imports.extract_imports(x.files), symbols.exports(x.files), TARGET,
+        x.files, x.ws.save(_summary(x)), context.dep_context(x.edges, x.layers, x.migrated, rules.DEPENDENCY_CHARS),
+        imports.extract_imports(x.files), symbols.exports(x.files), TARGET, rules.CONTEXT_CHARS,
     )
     return prompts.select("repo", "path", F.md5("prompt").alias("digest"), F.length("prompt").cast("bigint").alias("n_chars"))
 

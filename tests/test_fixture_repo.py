@@ -72,6 +72,19 @@ def test_context(ws, two_repos, edges, migrated):
     assert not any(path.startswith("menu/") for path in rows)
 
 
+def test_contexts_are_cut_only_where_asked(ws, two_repos, edges):
+    long = two_repos.withColumn("content", F.concat("content", F.repeat(F.lit("x"), 5000)))
+    texts = rewrite.render_migrated(long, "typescript")
+    layers = ws.save(graph.topo_layers(ws, long, edges))
+    sizes = lambda *chars: {r.path: len(r.context) for r in context.dep_context(edges, layers, texts, *chars).collect()}
+    whole, cut = sizes(), sizes(100)
+    assert whole["gate/main.py"] > 5000 and cut["gate/main.py"] < 300
+    facts = long.groupBy("repo").agg(F.lit("").alias("languages"), F.count("*").alias("total_files"), F.lit(0).alias("dependency_edges"), F.lit(0).alias("cyclic_files"))
+    frameworks = long.select("repo", F.lit("none").alias("framework")).distinct()
+    summaries = lambda *cuts: {r.repo: len(r.summary) for r in context.corpus_summary(long, facts, frameworks, *cuts).collect()}
+    assert summaries()["warehouse"] > 25_000 and summaries(2, 50)["warehouse"] < 500
+
+
 def test_added_header_is_the_only_difference(migrated):
     row = migrated.filter("original_path = 'stock/limits.py'").head()
     assert row.new_path == "stock/limits.ts" and row.migrated_content.endswith("TOP = 40  # pallets in one aisle\n")
