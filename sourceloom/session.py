@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -115,10 +116,15 @@ class Workspace:
     def tidy(self) -> None:
         """Let go of the plans of finished rounds, so that Spark's cleaner deletes their shuffle files and broadcasts now.
 
-        It does so when the driver collects its garbage, which may otherwise be many rounds later.
+        It does so when the driver collects its garbage, which may otherwise be many rounds later.  What Python has freed goes back to the
+        system where the C library can do that.
         """
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass
 
     def close(self) -> None:
         """Delete all tables of the job, once its result has been written elsewhere."""
