@@ -30,6 +30,7 @@ PRE_TOKEN = re.compile(
 PATTERN_OF = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 MEMO_ENTRIES = 400_000
 MEMO_CHARS = 64
+TRIED_AT_ONCE = 2000  # vocabulary strings
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -122,10 +123,12 @@ class Vocabulary:
                 continue
             if text not in self.special and not UNPROVEN.search(text) and PRE_TOKEN.fullmatch(text):
                 strings[text] = number
-        encoded = tokenizer.encode_batch(list(strings), add_special_tokens=False)
-        merge = self.merger(tokenizer)
-        self.ranked = self.ranked and all(merge(t) == e.ids for t, e in zip(strings, encoded))
-        self.whole = {t: n for (t, n), e in zip(strings.items(), encoded) if e.ids == [n]}
+        merge, listed = self.merger(tokenizer), list(strings)
+        for at in range(0, len(listed), TRIED_AT_ONCE):
+            block = listed[at:at + TRIED_AT_ONCE]
+            ids = [e.ids for e in tokenizer.encode_batch(block, add_special_tokens=False)]
+            self.ranked = self.ranked and all(merge(t) == i for t, i in zip(block, ids))
+            self.whole |= {t: strings[t] for t, i in zip(block, ids) if i == [strings[t]]}
         self._live = None
         return self
 

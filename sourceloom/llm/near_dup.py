@@ -176,9 +176,12 @@ def near_duplicates(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text
     first = members.where("h = low").select("band", F.col("key").alias("hub"), F.col("n").alias("hub_n"))
     links = ws.save(confirmed(edges(members.join(first, "band")), sets, percent))
     roots = ws.save(components(ws, links)) if not links.isEmpty() else None
-    turn, share, done = 0, SAMPLED, False
+    turn, share, done, open_ = 0, SAMPLED, False, None
     while not done:
         turn += 1
+        if open_ is not None:
+            ws.release(open_)
+        ws.tidy()
         plain = members.select("band", "key", "n", F.xxhash64("key", "band", F.lit(turn)).alias("draw"))
         owner = plain.withColumn("root", F.col("key")) if roots is None else plain.join(
             roots, F.col("key") == F.col("node"), "left").select("band", "key", "n", "draw", F.coalesce("root", "key").alias("root"))
@@ -191,12 +194,15 @@ def near_duplicates(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text
         if seen["rows"]:
             roots = ws.save(components(ws, new) if roots is None else _merged(ws, new, roots))
         done, share = not seen["rows"] and share == 1, 1
+    ws.tidy()
     # the last round has changed no root and compared every hub with all others, so a bucket is open if these differ among themselves
     others = open_.where("draw <> drawn").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     left = ws.save(open_.join(others.select("band"), "band").select("key", "n", "root").distinct())
     new, seen = ws.save_counted(confirmed(_rare_pairs(ws, left, sets, percent), sets, percent))
     if seen["rows"]:
         roots = ws.save(components(ws, new) if roots is None else _merged(ws, new, roots))
+    ws.release(members, open_, left, sets)
+    ws.tidy()
     return _answer(known, classes, roots, id_col)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.llm.common import share
-from sourceloom.llm.words import NOT_ALNUM, mix, text_bytes, word_hashes
+from sourceloom.llm.words import BLOCK, NOT_ALNUM, mix, text_bytes, word_hashes
 
 DIMENSIONS = 1 << 22
 HEAD = 4
@@ -30,8 +30,8 @@ FOLDS = 4  # one in so many training texts calibrates the threshold of rejection
 
 @dataclass
 class Model:
-    used: np.ndarray  # mask of the features with a weight
-    weights: np.ndarray  # by feature
+    used: np.ndarray  # features with a weight, ascending
+    weights: np.ndarray  # of these
     thresholds: np.ndarray  # ascending, one less than grades
     reject: float = 0.5  # texts with P(grade > 0) at or above go
 
@@ -41,20 +41,29 @@ class Model:
 
 
 def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs, distinct and sorted; only ``wanted`` features, if given as a mask.
+    """(text, feature) pairs, distinct and sorted; only ``wanted`` features, if given (ascending).
 
-    The upper half of the feature numbers is for heads of words.
+    The upper half of the feature numbers is for heads of words.  Texts are taken in blocks of about ``BLOCK`` bytes, or one that is longer.
     """
-    words, first, heads = word_hashes(*text_bytes(column), NOT_ALNUM, HEAD)
-    text = np.repeat(np.arange(len(column)), np.diff(first))
+    data, offsets = text_bytes(column)
     half = np.uint64(DIMENSIONS // 2)
-    longer = heads != 0
-    feature = np.concatenate([words % half, heads[longer] % half + half]).astype(np.int64)
-    text = np.concatenate([text, text[longer]])
-    if wanted is not None:
-        chosen = wanted[feature]
-        feature, text = feature[chosen], text[chosen]
-    pairs = np.unique(text * DIMENSIONS + feature)
+    found, at = [], 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, side="right")) - 1)
+        words, first, heads = word_hashes(data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at], NOT_ALNUM, HEAD)
+        text = np.repeat(np.arange(at, end), np.diff(first))
+        longer = heads != 0
+        pairs = []
+        for part, of, base in ((words % half, text, 0), (heads[longer] % half, text[longer], int(half))):
+            feature = part.astype(np.int64) + base
+            if wanted is not None:
+                place = np.minimum(np.searchsorted(wanted, feature), max(len(wanted) - 1, 0))
+                chosen = wanted[place] == feature if len(wanted) else np.zeros(len(feature), bool)
+                feature, of = feature[chosen], of[chosen]
+            pairs.append(of * DIMENSIONS + feature)
+        found.append(np.unique(np.concatenate(pairs)))
+        at = end
+    pairs = np.concatenate(found) if found else np.zeros(0, np.int64)
     return pairs // DIMENSIONS, pairs % DIMENSIONS
 
 
@@ -117,7 +126,11 @@ def fit(toxic: np.ndarray, rows: np.ndarray, cols: np.ndarray, counts: dict[int,
     """Proximal gradient on the weighted likelihood; None without both classes."""
     if len(set(toxic.tolist())) < 2:
         return None
-    numbers, cols = np.unique(cols, return_inverse=True)
+    # the features that occur, numbered in order; without a sort of all pairs
+    numbers = np.flatnonzero(np.bincount(cols))
+    place = np.zeros(numbers[-1] + 1 if len(numbers) else 0, np.int32)
+    place[numbers] = np.arange(len(numbers))
+    cols = place[cols]
     y = grades(toxic, rows, cols, numbers < DIMENSIONS // 2)
     weight = np.where(toxic == 1, counts[1] / (toxic == 1).sum(), counts[0] / (toxic == 0).sum())
     weight = weight * len(toxic) / weight.sum()
@@ -143,9 +156,7 @@ def fit(toxic: np.ndarray, rows: np.ndarray, cols: np.ndarray, counts: dict[int,
         w -= step * slope
         w = np.sign(w) * np.maximum(np.abs(w) - step * ONE_NORM, 0)
         thresholds = np.maximum.accumulate(thresholds - RATE / np.sqrt(seen_t) * slope_t)
-    mask, weights = np.zeros(DIMENSIONS, bool), np.zeros(DIMENSIONS, np.float32)
-    mask[numbers], weights[numbers] = w != 0, w
-    return Model(mask, weights, thresholds)
+    return Model(numbers[w != 0], w[w != 0].astype(np.float32), thresholds)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Model | None:
@@ -156,13 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kept = unlike(lists)
     toxic, lists = [toxic[i] for i in kept], [lists[i] for i in kept]
     fold = np.array([int(mix(np.array([len(x) + int(x.sum())], np.uint64))[0] % FOLDS) == 0 for x in lists])
-    flat = lambda chosen: (np.array([toxic[i] for i in chosen]), np.repeat(np.arange(len(chosen)), [len(lists[i]) for i in chosen]),
-                           np.concatenate([lists[i] for i in chosen]).astype(np.int64))
+    flat = lambda chosen: (np.array([toxic[i] for i in chosen]), np.repeat(np.arange(len(chosen), dtype=np.int32), [len(lists[i]) for i in chosen]),
+                           np.concatenate([lists[i] for i in chosen]))
     trial = fit(*flat(np.flatnonzero(~fold)), counts) if (~fold).any() else None
     model = fit(*flat(range(len(lists))), counts)
     if trial is not None and model is not None:
         y, rows, cols = flat(np.flatnonzero(fold))
-        got = trial.probabilities(np.bincount(rows, trial.weights[cols], len(y)))[:, 0]
+        rows, cols = rows[np.isin(cols, trial.used)], cols[np.isin(cols, trial.used)]
+        got = trial.probabilities(np.bincount(rows, trial.weights[np.searchsorted(trial.used, cols)], len(y)))[:, 0]
         model.reject = best_threshold(got, y, np.where(y == 1, counts[1] / max(sum(toxic), 1), counts[0] / max(len(toxic) - sum(toxic), 1)))
     return model
 
@@ -189,7 +201,7 @@ def scores(model: Model | None, column: pa.Array) -> np.ndarray:
     if model is None:
         return np.zeros((len(column), 1))
     text, feature = features(column, model.used)
-    return model.probabilities(np.bincount(text, model.weights[feature], len(column)))
+    return model.probabilities(np.bincount(text, model.weights[np.searchsorted(model.used, feature)], len(column)))
 
 
 def cut(model: Model | None, reject: float | None) -> float:

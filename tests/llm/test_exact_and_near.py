@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sourceloom.llm import exact_dedup, near_dup
+from sourceloom.llm import common, exact_dedup, near_dup
 from sourceloom.llm.common import bit_table, drop_rows, in_bits, row_key
 from sourceloom.llm.components import components
 from sourceloom.llm.words import word_hashes
@@ -49,14 +49,63 @@ def test_bitmap_has_every_key_and_a_fixed_size(spark):
     assert in_bits(others, F.col("k"), bit_table(keys, "k")).where("_maybe").count() < 200
 
 
-def test_drop_rows_takes_id_and_text_together(spark):
+CLASHING = ("doc_id bigint, text string, `_maybe` string, `_row` int, `_word` bigint, `_bits` bigint, `_bucket` bigint, `_again` int, `_gone` string, "
+            "whole string, id string, row int, page int, words string, hit boolean, again boolean, gone_id int, gone_row int")
+
+
+def clashing(spark, rows):
+    """A table whose other columns bear every name that is used inside."""
+    more = ("m", 1, 2, 3, 4, 5, "g", "w", "i", 6, 7, "x", True, False, 8, 9)
+    return spark.createDataFrame([(i, t, *more) for i, t in rows], CLASHING).repartition(3)
+
+
+def gone_rows(docs, where):
+    return docs.where(where).select(F.col("doc_id").alias("id"), row_key("doc_id", "text").alias("row"))
+
+
+def test_drop_rows_takes_id_and_text_together(spark, ws):
     docs = make(spark, [(1, "a", "en"), (1, "b", "en"), (None, "c", "en"), (None, "d", "en"), (2, None, "en")])
-    gone = docs.where("text IN ('a', 'c') OR text IS NULL").select(F.col("doc_id").alias("id"), row_key("doc_id", "text").alias("row"))
-    left = drop_rows(docs, gone, "doc_id", "text")
+    left = drop_rows(ws, docs, gone_rows(docs, "text IN ('a', 'c') OR text IS NULL"), "doc_id", "text")
     assert left.columns == docs.columns
     assert sorted(r.text for r in left.collect()) == ["b", "d"]
 
 
+@pytest.mark.parametrize("filter_bits, most_bits", [(22, 28), (6, 6), (4, 3)])
+def test_drop_rows_whatever_the_columns_are_called(spark, ws, monkeypatch, filter_bits, most_bits):
+    """Also with a bitmap so full that kept rows hit it, and beyond its largest size."""
+    monkeypatch.setattr(common, "FILTER_BITS", filter_bits)
+    monkeypatch.setattr(common, "MOST_BITS", most_bits)
+    monkeypatch.setattr(common, "BITS_PER_KEY", 1)
+    docs = clashing(spark, [(k, f"text {k}") for k in range(200)] + [(7, "other text"), (None, None)])
+    left = drop_rows(ws, docs, gone_rows(docs, "doc_id < 60 AND text <> 'other text'"), "doc_id", "text")
+    assert left.schema == docs.schema
+    assert sorted(left.collect(), key=repr) == sorted((r for r in docs.collect() if r.doc_id is None or r.doc_id >= 60 or r.text == "other text"), key=repr)
+    assert drop_rows(ws, docs, gone_rows(docs, "false"), "doc_id", "text").count() == 202
+
+
+def test_pages_grow_with_the_keys(spark, ws):
+    keys = spark.range(300_000).select(F.xxhash64("id").alias("k"))
+    found = common.pages(ws, keys, "k")
+    assert found.bits == 23 and found.rows.count() == 1 << 11
+    flagged = common.in_pages(spark.range(400_000).select("id", F.xxhash64("id").alias("k")), "k", found, "maybe")
+    assert flagged.where("id < 300000 AND NOT maybe").count() == 0
+    assert flagged.where("id >= 300000 AND maybe").count() < 6000
+
+
+def test_no_text_is_shuffled_with_many_rows_to_drop(spark, ws, tmp_path, monkeypatch):
+    """With ten million rows to drop assumed, the filter is still a broadcast; no exchange by key is left where none is hit by accident."""
+    spark.range(1000).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    dropped = ws.save(gone_rows(docs, "doc_id % 3 = 0"))
+    real = type(dropped).count
+    monkeypatch.setattr(type(dropped), "count", lambda self: 10_000_000 if "row" in self.columns and "id" in self.columns else real(self))
+    out = drop_rows(ws, docs, dropped, "doc_id", "text")
+    monkeypatch.undo()
+    assert out.count() == 666
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def brute(rows, width):
     sets = {}
     for i, t in rows:

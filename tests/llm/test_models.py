@@ -100,6 +100,63 @@ def test_toxic_texts_are_rejected_and_clean_ones_kept(spark):
     assert left.schema == docs.schema and {r.doc_id for r in left.collect()} == {i for i in got if not got[i].rejected}
 
 
+def slow_features(text):
+    """Distinct words and heads of longer words, as text."""
+    import re
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or ""))
+    words = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w).encode() for w in words]
+    return {("word", w) for w in words} | {("head", w[:toxicity.HEAD]) for w in words if len(w) > toxicity.HEAD}
+
+
+def slow_likelihood(y, scores, thresholds, weight):
+    """Weighted negative logarithm of P(grade = y), grade by grade."""
+    total = 0.0
+    for k, s, w in zip(y, scores, weight):
+        above = [1.0] + [1 / (1 + math.exp(t - s)) for t in thresholds] + [0.0]  # P(grade >= 0), P(grade >= 1), ...
+        total -= w * math.log(above[k] - above[k + 1])
+    return total
+
+
+def test_features_equal_words_and_heads(monkeypatch):
+    texts = [t for _, t, _ in edge_rows()]
+    for block in (1 << 20, 300):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        text, feature = toxicity.features(pa.array(texts))
+        assert [int((text == i).sum()) for i in range(len(texts))] == [len(slow_features(t)) for t in texts]
+        chosen = np.unique(feature)[::3]
+        t, f = toxicity.features(pa.array(texts), chosen)
+        keep = np.isin(feature, chosen)
+        assert (t == text[keep]).all() and (f == feature[keep]).all()
+    assert [len(x) for x in toxicity.features(pa.array(texts), np.zeros(0, np.int64))] == [0, 0]
+
+
+def test_fit_finds_the_least_of_a_slow_likelihood():
+    """Against likelihood and gradient by the definition: no step along any weight or threshold does better, for a one-norm that small."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 400)
+    cols = [np.unique(np.concatenate([rng.integers(0, 6, 3), [6 + int(rng.random() < (0.8 if y_ else 0.3))]])) for y_ in y]
+    rows, flat = np.repeat(np.arange(400), [len(c) for c in cols]), np.concatenate(cols)
+    model = toxicity.fit(y, rows, flat, {0: int((y == 0).sum()), 1: int((y == 1).sum())})
+    weights = dict(zip(model.used.tolist(), model.weights.tolist()))
+    grade = toxicity.grades(y, rows, flat, np.arange(flat.max() + 1) < toxicity.DIMENSIONS // 2)
+
+    def loss(w, thresholds):
+        scores = [sum(w.get(int(c), 0.0) for c in cs) for cs in cols]
+        return slow_likelihood(grade, scores, thresholds, np.ones(400)) + toxicity.ONE_NORM * sum(map(abs, w.values()))
+
+    least = loss(weights, model.thresholds)
+    for step in (-0.2, 0.2):
+        for c in weights:
+            assert loss({**weights, c: weights[c] + step}, model.thresholds) > least
+        assert loss(weights, model.thresholds + step) > least
+    # expected severity is the sum over grades of grade times probability
+    p = model.probabilities(np.array([-1.0, 0.3, 4.0]))
+    for row, s in zip(p, (-1.0, 0.3, 4.0)):
+        above = [1.0] + [1 / (1 + math.exp(t - s)) for t in model.thresholds] + [0.0]
+        assert math.isclose(row.sum(), sum(k * (above[k] - above[k + 1]) for k in range(len(above) - 1)), rel_tol=1e-9)
+
+
 def test_thresholds_are_ordered_and_severity_grows():
     rng = np.random.default_rng(2)
     y = rng.integers(0, 3, 600)
