@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import bit_table, in_bits, share
+from sourceloom.llm.common import in_pages, pages, share
 from sourceloom.llm.components import components
 from sourceloom.llm.near_dup import set_key, shingle_sets
 from sourceloom.session import Workspace
@@ -32,8 +32,8 @@ LEVELS = (1, 2, 4, 8)
 BUCKET_BITS = 18  # 262,144 counts are collected and broadcast, whatever the input
 BINS = 32
 LIST_BLOCK = 512  # members of a list that one block of the exact part holds
-COMPARE, COMPARE_SHINGLES = 4, 16  # a comparison costs as much as reading so many list entries, and one more for so many shingles
-FEW_LINKS = 20  # rounds of single members end when fewer than one in so many sets that could still gain a link gained one
+COMPARE, COMPARE_SHINGLES = 4, 16  # comparing sets costs as much as reading so many list entries, and one more for so many shingles
+FEW_LINKS = 10  # rounds of single members end when fewer than one pair in so many was a link
 
 
 def _up(n, by: int):
@@ -135,24 +135,28 @@ class _Join:
         self.classes = ws.save(self.known.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least")))
         self.sets = None
         self.first = ws.save(prefixes(docs, text_col, shingle, percent, frequencies(counted)).dropDuplicates(["key"]))
+        ws.tidy()
 
     def listed(self) -> DataFrame:
-        """token, key, n, place, draw and the token's list lengths by level, for the tokens of more than one class."""
-        base = longest_prefix(F.col("n"), self.percent, 0)
-        entry = self.first.select("key", "n", F.xxhash64("key").alias("draw"), F.posexplode("prefix").alias("at", "token")).select(
-            "token", "key", "n", (F.col("at") + 1).cast("bigint").alias("place"), "draw")
-        beyond = F.col("place") - base
-        counts = self.ws.save(entry.groupBy("token").agg(
-            F.min("draw").alias("low"), F.max("draw").alias("high"),
-            *[F.count_if(beyond <= level).alias(f"list_{level}") for level in LEVELS]).where("low <> high").drop("high"))
-        near = in_bits(entry, F.col("token"), bit_table(counts, "token")).where("_maybe").drop("_maybe")
-        return self.ws.save(near.join(counts, "token"))
+        """token, key, n, place, size: the lists of the tokens of more than one class, for partners of any size and l = 1."""
+        n = F.col("n")
+        head = F.slice("prefix", F.lit(1), longest_prefix(n, self.percent, 1).cast("int"))
+        entry = self.first.select("key", "n", F.posexplode(head).alias("at", "token")).select(
+            "token", "key", "n", (F.col("at") + 1).cast("bigint").alias("place"))
+        draw = F.xxhash64("key")
+        counts = self.ws.save(entry.groupBy("token").agg(F.min(draw).alias("low"), F.max(draw).alias("high"), F.count(F.lit(1)).alias("size")).where(
+            "low <> high").select("token", "size"))
+        near = in_pages(entry, "token", pages(self.ws, counts, "token"), "near").where("near").drop("near")
+        lists = self.ws.save(near.join(counts, "token").select("token", "key", "n", "place", "size"))
+        self.ws.release(counts)
+        self.ws.tidy()
+        return lists
 
     def levels(self, lists: DataFrame) -> DataFrame:
-        """key, level: the prefix extension that costs a set least as the smaller of a pair."""
+        """key, level: the prefix extension that costs a set least as the smaller of a pair, by the lengths of its lists."""
         n = F.col("n")
         own = n - need(n, n, self.percent)
-        costs = [F.sum(F.when(F.col("place") <= own + level, F.col(f"list_{level}")).otherwise(F.lit(0))).alias(f"read_{level}") for level in LEVELS]
+        costs = [F.sum(F.when(F.col("place") <= own + level, F.col("size")).otherwise(F.lit(0))).alias(f"read_{level}") for level in LEVELS]
         read = lists.groupBy("key", "n").agg(*costs)
         check = COMPARE + n / COMPARE_SHINGLES
         priced = [F.struct((F.col(f"read_{level}") * (1 + check / level)).alias("cost"), F.lit(level).cast("bigint").alias("level"))
@@ -164,7 +168,7 @@ class _Join:
         return (F.least(n, m) * 100) >= (F.greatest(n, m) * self.percent)
 
     def matched(self, pairs: DataFrame, levels: DataFrame) -> DataFrame:
-        """Pairs (a, b), a the smaller set, that share enough of their prefixes and whose bins allow the similarity."""
+        """Pairs (a, b), a the smaller set, that share as many shingles of their prefixes as a's level asks and whose bins allow the similarity."""
         side = lambda end: self.first.select(*[F.col(c).alias(f"{c}_{end}") for c in ("key", "n", "prefix", "bins")])
         both = pairs.join(levels.withColumnRenamed("key", "a"), "a").join(side("a"), F.col("a") == F.col("key_a")).join(
             side("b"), F.col("b") == F.col("key_b"))
@@ -180,7 +184,8 @@ class _Join:
         if self.sets is not None:
             wanted = wanted.join(self.sets, "key", "left_anti")
         wanted = self.ws.save(wanted.join(self.classes, "key"))
-        near = in_bits(self.docs, F.xxhash64(F.col(self.id_col)), bit_table(wanted.select(F.xxhash64("least").alias("h")), "h")).where("_maybe")
+        texts = self.docs.select(F.col(self.text_col).alias("text"), F.xxhash64(F.col(self.id_col)).alias("h"))
+        near = in_pages(texts, "h", pages(self.ws, wanted.select(F.xxhash64("least").alias("h")), "h"), "near").where("near")
 
         def whole(batches, shingle=self.shingle):
             for batch in batches:
@@ -191,7 +196,7 @@ class _Join:
                     [pa.array([set_key(s) for s in held], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     names=["key", "shingles"])
 
-        got = near.select(F.col(self.text_col).alias("text")).mapInArrow(whole, "key binary, shingles array<bigint>")
+        got = near.select("text").mapInArrow(whole, "key binary, shingles array<bigint>")
         new = self.ws.save(got.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
         self.sets = new if self.sets is None else self.sets.union(new)
         side = lambda end: self.sets.select(F.col("key").alias(end), F.col("shingles").alias(f"set_{end}"))
@@ -215,6 +220,13 @@ def _rooted(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     return lists.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
 
 
+def _mixed(owner: DataFrame, *more: Column) -> DataFrame:
+    """The entries of lists that hold more than one component, with further aggregates of the list."""
+    mark = F.xxhash64("root")
+    lists = owner.groupBy("token").agg(F.min(mark).alias("least"), F.max(mark).alias("most"), *more).where("least <> most").drop("least", "most")
+    return owner.join(lists, "token")
+
+
 def _joined(ws: Workspace, new: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Roots after more links."""
     if roots is None:
@@ -239,29 +251,25 @@ def jaccard_components(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", t
     join = _Join(ws, docs, id_col, text_col, shingle, percent)
     lists = join.listed()
     levels = ws.save(join.levels(lists))
-    roots, hub = None, F.col("draw") == F.col("low")
-    plain = lists.select("token", "key", "n", "place", "draw", "low").where(F.col("place") <= longest_prefix(F.col("n"), percent, 1))
-    turn = 0
-    while True:
-        owner = _rooted(plain, roots)
-        if turn:
-            drawn = owner.withColumn("draw", F.xxhash64("key", "token", F.lit(turn))).drop("low")
-            mark = F.xxhash64("root")
-            mixed = drawn.groupBy("token").agg(F.min("draw").alias("low"), F.min(mark).alias("least"), F.max(mark).alias("most")).where("least <> most")
-            owner = drawn.join(mixed.select("token", "low"), "token")
-        owner = ws.save(owner)
-        hubs = owner.where(hub).select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+    roots, turn, going = None, 0, True
+    while going:
+        # at first the member that comes first in every list alike, then another one in each list
+        drawn = F.xxhash64("key") if not turn else F.xxhash64("key", "token", F.lit(turn))
+        owner = _mixed(_rooted(lists.select("token", "key", "n", drawn.alias("draw")), roots), F.min("draw").alias("low"))
+        hubs = owner.where("draw = low").select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
         stars = owner.join(hubs, "token").where((F.col("root") != F.col("other_root")) & join.fits(F.col("n"), F.col("m")))
         pairs, seen = ws.save_counted(_oriented(stars))
         found, linked = join.links(join.matched(pairs, levels))
         if linked:
             roots = _joined(ws, found, roots)
-        turn += 1
-        if linked * FEW_LINKS <= (seen["rows"] or 0):
-            break
-    found, linked = join.links(_remaining(ws, join, lists, levels, roots))
+        ws.release(pairs, found)
+        ws.tidy()
+        turn, going = turn + 1, linked * FEW_LINKS > (seen["rows"] or 0)
+    found, linked = join.links(join.matched(_remaining(join, lists, roots), levels))
     if linked:
         roots = _joined(ws, found, roots)
+    ws.release(lists, join.first)
+    ws.tidy()
     owner = _rooted(join.classes, roots)
     lowest = owner.groupBy("root").agg(F.min("least").alias("component_id"))
     least = owner.join(lowest, "root").select("key", "component_id")
@@ -271,27 +279,18 @@ def jaccard_components(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", t
     return linked.union(alone).withColumnRenamed("id", id_col)
 
 
-def _remaining(ws: Workspace, join: _Join, lists: DataFrame, levels: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """All pairs (a, b) of different components, a the smaller, that share as many prefix shingles as a's level asks and whose bins allow the similarity."""
+def _remaining(join: _Join, lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """All pairs (a, b) of different components, a the smaller, that share a shingle of their prefixes for l = 1."""
     percent = join.percent
-    owner = _rooted(lists.select("token", "key", "n", "place"), roots)
-    # the commonest component of a list need not meet itself; lists of one component need nothing
-    held = owner.groupBy("token", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(
-        F.sum("size").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "size")
-    owner = ws.save(owner.join(held, "token"))
+    owner = _mixed(_rooted(lists, roots)) if roots is not None else lists.withColumn("root", F.col("key"))
     blocks = _up(F.col("size"), LIST_BLOCK)
-    block = F.pmod(F.xxhash64("key"), blocks)
-    n, m, level = F.col("n"), F.col("m"), F.col("level")
-    readers = owner.join(levels, "key").where(F.col("place") <= n - need(n, n, percent) + level).select(
-        "token", "key", "n", "place", "root", "level", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
-    entries = owner.select("token", block.alias("block"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("place").alias("there"),
-                           F.col("root").alias("other_root"))
+    n, m, place, there = F.col("n"), F.col("m"), F.col("place"), F.col("there")
+    readers = owner.where(place <= n - need(n, n, percent) + 1).select(
+        "token", "key", "n", "place", "root", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
+    entries = owner.select("token", F.pmod(F.xxhash64("key"), blocks).alias("block"), F.col("key").alias("other"), F.col("n").alias("m"),
+                           F.col("place").alias("there"), F.col("root").alias("other_root"))
     least = need(n, m, percent)
-    place, there = F.col("place"), F.col("there")
     fit = ((F.col("root") != F.col("other_root")) & (n * 100 >= m * percent) & ((n < m) | ((n == m) & (F.col("key") < F.col("other"))))
-           & (place <= n - least + level) & (there <= m - least + level)
+           & (place <= n - least + 1) & (there <= m - least + 1)
            & (F.least(place, there) + F.least(n - place, m - there) >= least))
-    met = readers.join(entries, ["token", "block"]).where(fit)
-    # a list's block may be all of a pair's, so matches of one pair add up over lists only
-    enough = met.groupBy(F.col("key").alias("a"), F.col("other").alias("b"), "level").agg(F.count(F.lit(1)).alias("matches")).where("matches >= level")
-    return join.matched(enough.select("a", "b"), levels)
+    return readers.join(entries, ["token", "block"]).where(fit).select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()

@@ -151,6 +151,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, k.n AS n_shingles, coalesce(component_id, doc_id) AS component_id
     FROM k LEFT JOIN c ON k.key = c.key AND k.n > 0 LEFT JOIN m ON m.id = c.least""")
 def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark, 2 << 20)
     return jaccard_join.jaccard_components(Workspace(spark, "op11"), table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
