@@ -94,5 +94,5 @@ def test_all_checks_read_the_texts_once(spark, tmp_path, monkeypatch):
     found = Inputs(spark, str(tmp_path)).checks
     plans.append(plan(found))
     # a scan is named in the tree and again in its details, by one of the two
-    scans = sum(p.count("documents.parquet]") for p in plans)
+    scans = sum(p.count("FileScan parquet [doc_id#") for p in plans)
     assert found.count() > 60 and 1 <= scans <= 2
