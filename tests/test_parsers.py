@@ -1,11 +1,14 @@
 """Parsers of a user's own, over several languages."""
 
+import sys
 import tracemalloc
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sourceloom.operators import imports, parsers
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import this module
 SCHEMA = "repo string, path string, content string, language string, file_type string, size_bytes bigint"
 
 
