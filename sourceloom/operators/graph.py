@@ -102,9 +102,28 @@ def migration_order(ws: Workspace, layers: DataFrame) -> DataFrame:
 
 
 def _unsettled(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """(repo, node): nodes from which a cycle can be reached."""
-    ways = _longest_ways(ws, edges)
-    return ways.where("end IS NOT NULL").select("repo", "node").distinct()
+    """(repo, node): nodes from which a cycle can be reached.
+
+    The rounds of ``_longest_ways`` without lengths: a way whose end is settled goes, and with its last way a node is settled, so the table
+    shrinks to what leads to cycles.
+    """
+    ways, seen = ws.save_counted(edges.select("repo", F.col("src").alias("node"), F.col("dst").alias("end")))
+    most, open_before = (seen["rows"] or 0) * GROWTH, None
+    while seen["rows"]:
+        degree, counted = ws.save_counted(ways.groupBy("repo", "node").agg(F.count(F.lit(1)).alias("open")))
+        if counted["rows"] == open_before:
+            ws.release(degree)
+            break
+        open_before = counted["rows"]
+        passable = F.col("open") <= (FEW_WAYS if seen["rows"] <= most else 1)
+        # a node that is not gone through leads to itself
+        hops = ways.join(degree, ["repo", "node"]).select(
+            "repo", F.col("node").alias("via"), F.when(passable, F.col("end")).otherwise(F.col("node")).alias("next")).distinct()
+        onward = ways.join(hops.withColumnRenamed("via", "end"), ["repo", "end"]).select("repo", "node", F.col("next").alias("end")).distinct()
+        old = ways
+        ways, seen = ws.save_counted(onward)
+        ws.release(old, degree)
+    return ways.select("repo", "node").distinct()
 
 
 def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -215,9 +215,8 @@ def _tag(names: Column, kind: str) -> Column:
     return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
 
 
-def exports(files: DataFrame) -> DataFrame:
-    """Exported symbols of Python, JavaScript, TypeScript and Java: name, type."""
-    content = F.col("content")
+def export_entries(lang: Column, content: Column) -> Column:
+    """All exported symbols of a text as an array of (name, type); null for other languages."""
     public = lambda names: F.filter(names, lambda n: ~F.startswith(n, F.lit("_")))
     python = F.concat(
         _tag(F.flatten(F.transform(T.find_all(content, PY_ALL, 1), lambda x: T.find_all(x, QUOTED, 1))), "explicit_export"),
@@ -241,8 +240,12 @@ def exports(files: DataFrame) -> DataFrame:
         _tag(T.find_all(content, JAVA_EXPORT_CLASS, 1), "class"),
         _tag(T.find_all(content, JAVA_EXPORT_METHOD, 1), "method"),
     )
-    lang = F.col("language")
-    entries = F.when(lang == "python", python).when(lang.isin(_JS), javascript).when(lang == "java", java)
+    return F.when(lang == "python", python).when(lang.isin(_JS), javascript).when(lang == "java", java)
+
+
+def exports(files: DataFrame) -> DataFrame:
+    """Exported symbols of Python, JavaScript, TypeScript and Java: name, type; ``files`` have content, or ``exports`` found before."""
+    entries = F.col("exports") if "exports" in files.columns else export_entries(F.col("language"), F.col("content"))
     return _rows(_in_language(files, ["python", "java", *_JS]), entries)
 
 

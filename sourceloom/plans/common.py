@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sourceloom import rules
 from sourceloom.functions import text as T
-from sourceloom.operators import checks, classify, graph, imports, rewrite, usage
+from sourceloom.operators import analysis, checks, classify, graph, imports, rewrite, symbols, usage
 from sourceloom.plans import corpus
 from sourceloom.session import DEFAULTS, Workspace
 from sourceloom.sources import files as S
@@ -43,11 +43,23 @@ class Inputs:
 
     @cached_property
     def paths(self) -> DataFrame:
-        return self.ws.save(self.files.select("repo", "path"))
+        return self.linked.select("repo", "path") if "linked" in vars(self) else self.ws.save(self.files.select("repo", "path"))
+
+    @cached_property
+    def linked(self) -> DataFrame:
+        """The imports of all files, from one pass over the texts; what a query needs further of them comes with it in ``scanned``."""
+        return self.scanned if "scanned" in vars(self) else self.ws.save(imports.file_imports(self.files))
+
+    @cached_property
+    def scanned(self) -> DataFrame:
+        """What edges, summaries and symbols need of the texts, from one pass over them."""
+        facts = analysis.file_facts(F.col("content"), F.col("path"))
+        found = symbols.export_entries(F.col("language"), F.col("content"))
+        return self.ws.save(imports.file_imports(self.files, F.col("file_type"), *facts, found.alias("exports")))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.ws.save(imports.dependency_edges(self.files))
+        return self.ws.save(imports.dependency_edges(self.linked))
 
     @cached_property
     def simple_edges(self) -> DataFrame:
@@ -55,7 +67,8 @@ class Inputs:
 
     @cached_property
     def layers(self) -> DataFrame:
-        return self.ws.save(graph.topo_layers(self.ws, self.paths, self.edges))
+        edges = self.edges  # its pass over the texts leaves the paths too
+        return self.ws.save(graph.topo_layers(self.ws, self.paths, edges))
 
     @cached_property
     def components(self) -> DataFrame:

@@ -323,12 +323,14 @@ def _(x: Inputs):
 @query("graph_degrees", f"""WITH {EDGES} SELECT f.repo, f.path, (SELECT count(*) FROM edges e WHERE e.source_file = f.path) AS out_degree,
   (SELECT count(*) FROM edges e WHERE e.target_file = f.path) AS in_degree FROM files f""")
 def _(x: Inputs):
-    return graph.graph_degrees(x.paths, x.edges)
+    edges = x.edges
+    return graph.graph_degrees(x.paths, edges)
 
 
 @query("topo_layers", f"WITH RECURSIVE {LAYERS} SELECT repo, path, layer FROM layers")
 def _(x: Inputs):
-    return graph.topo_layers(x.ws, x.paths, x.edges)
+    edges = x.edges
+    return graph.topo_layers(x.ws, x.paths, edges)
 
 
 @query("migration_order", f"WITH RECURSIVE {LAYERS} SELECT repo, path, layer, row_number() OVER (PARTITION BY repo ORDER BY layer NULLS LAST, path) AS position FROM layers")
@@ -343,7 +345,8 @@ def _(x: Inputs):
 
 @query("has_cycle", f"WITH RECURSIVE {REACH} SELECT 'corpus' AS repo, (SELECT count(*) FROM cyclic) > 0 AS has_cycle")
 def _(x: Inputs):
-    return graph.has_cycle(x.ws, x.paths, x.simple_edges)
+    edges = x.simple_edges
+    return graph.has_cycle(x.ws, x.paths, edges)
 
 
 @query("scc", f"WITH RECURSIVE {COMPONENTS} SELECT repo, path, component FROM components")

@@ -96,3 +96,20 @@ def test_all_checks_read_the_texts_once(spark, tmp_path, monkeypatch):
     # a scan is named in the tree and again in its details, by one of the two
     scans = sum(p.count("FileScan parquet [doc_id#") for p in plans)
     assert found.count() > 60 and 1 <= scans <= 2
+
+
+@pytest.mark.parametrize("name, passes", [("cyclic_files", 1)])
+def test_queries_read_the_texts_in_few_passes(spark, tmp_path, monkeypatch, name, passes):
+    """Scans of the texts in every table that is written on the way and in the result."""
+    import re
+
+    from sourceloom.plans import catalog
+    from sourceloom.session import Workspace
+
+    docs = spark.range(48).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    plans, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df: plans.append(plan(df)) or save(self, df))
+    plans.append(plan(catalog.run(name, spark, str(tmp_path))))
+    # a plan that is not run yet shows each scan once as a node of its tree
+    assert sum(len(re.findall(r"FileScan parquet \[doc_id#\d+L?,text#", p)) for p in plans) <= passes
