@@ -20,15 +20,22 @@ def _head(text: Column, chars: int | None) -> Column:
 
 
 def corpus_summary(
-    files: DataFrame, summary: DataFrame, frameworks: DataFrame, first_files: int | None = None, chars: int | None = None
+    files: DataFrame, summary: DataFrame, frameworks: DataFrame, first_files: int | None = None, chars: int | None = None,
+    facts_of: DataFrame | None = None,
 ) -> DataFrame:
     """One text per repository: its facts and its files by path.
 
     Whole files, unless the caller names how many of them and how many of their characters are wanted; then
     no more than that is gathered.  The text of a repository is one value, so whole ones suit small repositories only.
+    ``facts_of`` are the facts of the same files, if a pass over the texts has left them: entry points and first paths then come from there.
     """
+    known = files if facts_of is None else facts_of
     a, b, c, d, e = rules.SUMMARY_BLOCK
     cut = files.withColumn("content", _head(F.col("content"), chars))
+    if facts_of is not None and first_files is not None:
+        # rows of the first paths only, repeated ones included; the cut texts of all others need not be sorted
+        wanted = ordered.first_rows(known.select("repo", "path"), first_files, ["repo"], [F.col("path")])
+        cut = cut.join(wanted.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     heads = cut if first_files is None else ordered.first_rows(cut, first_files, ["repo"], [F.col("path")]).drop("_rank")
     block = F.concat(
         F.lit(a), "path", F.lit(b), "language", F.lit(c), "file_type", F.lit(d), "content", F.lit(e)
@@ -37,7 +44,7 @@ def corpus_summary(
         _joined_in_order(F.struct(F.col("path"), block.alias("text")), "\n\n").alias("blocks")
     )
     facts = (
-        summary.join(frameworks, "repo", "left").join(analysis.top_entry_points(files), "repo", "left")
+        summary.join(frameworks, "repo", "left").join(analysis.top_entry_points(known), "repo", "left")
         .select(
             "repo",
             F.concat_ws(

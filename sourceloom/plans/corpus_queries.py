@@ -710,8 +710,9 @@ SUMMARY_TEXT = f"""SELECT s.repo, 'framework: ' || coalesce(w.framework, 'Unknow
 
 
 def _summary(x: Inputs):
-    facts = analysis.analysis_summary(x.files, x.edges, x.components)
-    return context.corpus_summary(x.files, facts, analysis.detect_framework(x.files), rules.SUMMARY_FILES, rules.SUMMARY_CHARS)
+    known = x.scanned
+    facts = analysis.analysis_summary(known, x.edges, x.components)
+    return context.corpus_summary(x.files, facts, analysis.detect_framework(known), rules.SUMMARY_FILES, rules.SUMMARY_CHARS, known)
 
 
 @query("corpus_summary", f"WITH RECURSIVE {COMPONENTS} SELECT repo, summary FROM ({SUMMARY_TEXT}) s")
