@@ -785,7 +785,7 @@ PROMPTS = f"""SELECT f.repo, f.path, 'Rewrite one file in {TARGET}.' || chr(10)
 def _(x: Inputs):
     prompts = context.assemble_prompts(
         x.files, x.ws.save(_summary(x)), context.dep_context(x.edges, x.layers, x.migrated, rules.DEPENDENCY_CHARS),
-        imports.extract_imports(x.files), symbols.exports(x.files), TARGET, rules.CONTEXT_CHARS,
+        imports.listed_imports(x.scanned), symbols.exports(x.scanned), TARGET, rules.CONTEXT_CHARS,
     )
     return prompts.select("repo", "path", F.md5("prompt").alias("digest"), F.length("prompt").cast("bigint").alias("n_chars"))
 
