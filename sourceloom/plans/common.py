@@ -87,7 +87,7 @@ class Inputs:
         """What checks, edges and entry points need of the texts, from one pass over them."""
         path, content = F.col("original_path"), F.col("original_content")
         return self.ws.save(checks.file_facts(
-            self.migrated, TARGET, path.alias("path"), classify.language_of(path).alias("language"),
+            self.migrated, TARGET, F.col("confidence_score"), F.col("warnings"), path.alias("path"), classify.language_of(path).alias("language"),
             imports.import_matches(classify.language_of(path), content).alias("imports"),
             classify.is_entry_point(path, content).alias("entry")))
 

@@ -601,14 +601,14 @@ REPORT = """SELECT repo, (SELECT count(*) FROM migrated) AS files_migrated, (SEL
 
 @query("report_summary", f"WITH RECURSIVE {CHECKS} {REPORT}")
 def _(x: Inputs):
-    report = rewrite.report_summary(x.migrated, x.checks)
+    report = rewrite.report_summary(x.facts, x.checks)
     return report.withColumns({c: r6(F.col(c)) for c in ("avg_confidence", "success_rate")})
 
 
 @query("migration_report", f"""WITH RECURSIVE {CHECKS} SELECT 'check' AS part, check_name AS item, severity || ': ' || details AS value FROM checks
   UNION ALL SELECT 'mapping', original_path, new_path FROM migrated""")
 def _(x: Inputs):
-    parts = rewrite.migration_report(x.migrated, x.checks)
+    parts = rewrite.migration_report(x.facts, x.checks)
     rows = [
         parts["checks"].select(F.lit("check").alias("part"), F.col("check_name").alias("item"), F.concat_ws(": ", "severity", "details").alias("value")),
         parts["warnings"].select(F.lit("warning").alias("part"), F.col("new_path").alias("item"), F.col("warning").alias("value")),
@@ -793,7 +793,7 @@ def _(x: Inputs):
 @query("doc_prompt", f"""WITH RECURSIVE {CHECKS} SELECT repo, 'Write a README for a rewritten code base.' || chr(10) || 'source: ' || repo || chr(10) || 'target: {TARGET}' || chr(10) ||
   'files: ' || files_migrated || chr(10) || 'validation: ' || passed_checks || '/' || total_checks || ' checks passed' AS prompt FROM ({REPORT}) r""")
 def _(x: Inputs):
-    return context.doc_prompt(rewrite.report_summary(x.migrated, x.checks), TARGET)
+    return context.doc_prompt(rewrite.report_summary(x.facts, x.checks), TARGET)
 
 
 # --- the open extension points ------------------------------------------------------------------------------------------

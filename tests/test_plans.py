@@ -98,7 +98,7 @@ def test_all_checks_read_the_texts_once(spark, tmp_path, monkeypatch):
     assert found.count() > 60 and 1 <= scans <= 2
 
 
-@pytest.mark.parametrize("name, passes", [("cyclic_files", 1), ("corpus_summary", 2), ("assemble_prompts", 4)])
+@pytest.mark.parametrize("name, passes", [("cyclic_files", 1), ("corpus_summary", 2), ("assemble_prompts", 4), ("migration_report", 1)])
 def test_queries_read_the_texts_in_few_passes(spark, tmp_path, monkeypatch, name, passes):
     """Scans of the texts in every table that is written on the way and in the result."""
     import re
