@@ -6,10 +6,11 @@ texts, until a filled bin is met, which keeps the collision probability of a bin
 similarity.  Groups of ``ROWS`` bins are bands; texts with a common band share a bucket.
 
 Equal shingle sets are one class from the start, so copies never meet in a bucket.  Inside a bucket, candidate
-edges form a star: one hub, chosen by a hash, and its members, as many edges as members.  Candidates are
-confirmed on full shingle sets.  What is not linked to its hub may still be linked to another member, so
-buckets whose members are in different components get another hub, drawn anew for each bucket and round: first for half
-of the members, as most of a large group falls together then, later for all, until a round finds no link.
+edges form a star: one hub, chosen by a hash, and its members, as many edges as members.  Candidates whose counts of
+shingles in ``COUNTS`` bins leave room for the similarity are confirmed on full shingle sets, and only their sets are
+shuffled.  What is not linked to its hub may still be linked to another member, so buckets of more than two whose members
+are in different components get another hub, drawn anew for each bucket and round: first for half of the members, as most of
+a large group falls together then, later for all, until a round links few of its pairs.  All pairs that are left follow exactly.
 
 Two sets at similarity 0.8 miss each other in all 30 bands of 5 with probability (1 - 0.8 ** 5) ** 30, 7 in a million.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceloom.llm.common import bit_table, in_bits, row_key
+from sourceloom.llm.common import bit_table, in_bits, in_pages, pages, row_key
 from sourceloom.llm.components import components
 from sourceloom.llm.words import mix, text_bytes, word_hashes
 from sourceloom.session import Workspace
@@ -32,6 +33,8 @@ SHINGLE = 5
 PERCENT = 80
 BINS, ROWS = 150, 5
 ATTEMPTS = 512
+COUNTS = 128  # bins whose counts bound what two sets have in common
+FEW_LINKS = 10  # rounds of hubs end when fewer than one pair in so many was a link
 SAMPLED = 2  # one in so many places in unresolved buckets is tried in the second round; later ones try all that are left
 
 
@@ -121,27 +124,46 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bins: in
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """key, shingles: the whole shingle sets, to confirm candidates."""
+    """key, n, shingles, counts: the whole shingle sets, to confirm candidates, and how many shingles fall into each bin."""
 
     def sets_of(batches):
         for batch in batches:
             sets = [s for s in shingle_sets(batch.column(0), shingle) if len(s)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            counts = [np.bincount((s & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS) for s in sets]
+            held = np.concatenate(counts).astype(np.int32) if sets else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["key", "shingles"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(sets_of, "key binary, shingles array<bigint>")
-
-
-def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose full sets meet the similarity."""
-    left = edges.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = left.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("set_a")), "a")
+                [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(0, COUNTS * (len(sets) + 1), COUNTS, dtype=np.int32)), pa.array(held))],
+                names=["key", "n", "shingles", "counts"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(sets_of, "key binary, n bigint, shingles array<bigint>, counts array<int>")
+
+
+def among(ws: Workspace, table: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose ``key`` is the one column of ``keys``, and few others; found where the table is read."""
+    hashed = keys.select(F.xxhash64(keys.columns[0]).alias("hash"))
+    return in_pages(table.withColumn("hash", F.xxhash64("key")), "hash", pages(ws, hashed, "hash"), "near").where("near").drop("near", "hash")
+
+
+def confirmed(ws: Workspace, edges: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, int, int]:
+    """Edges (a, b) whose full sets meet the similarity, how many these are, and how many were asked."""
+    edges, asked = ws.save_counted(edges)
+    counted = lambda end: sets.select(F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("counts").alias(f"counts_{end}"))
+    room = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    likely = edges.join(counted("b"), "b").join(counted("a"), "a").where(
+        room.cast("bigint") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    likely = ws.save(likely.select("a", "b"))
+    whole = lambda end: among(ws, sets.select("key", "shingles"), likely.select(end)).select(
+        F.col("key").alias(end), F.col("shingles").alias(f"set_{end}"))
+    both = likely.join(whole("b"), "b").join(whole("a"), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    return both.where(common * 100 >= union * percent).select("a", "b")
+    links, found = ws.save_counted(both.where(common * 100 >= union * percent).select("a", "b"))
+    ws.release(edges, likely)
+    return links, found["rows"] or 0, asked["rows"] or 0
 
 
 def near_duplicates(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -158,9 +180,10 @@ def near_duplicates(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text
     classes = ws.save(known.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n")))
     one_each = known.join(classes.select("key", F.col("least").alias("id")), ["key", "id"], "left_semi")
     banded = one_each.select("key", "id", F.col("n_shingles").alias("n"), F.xxhash64("key").alias("h"), F.explode("bands").alias("band"))
-    shared = ws.save(banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("band", "low"))
+    shared = ws.save(banded.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("size")).where(
+        "low <> high").select("band", "low", "size"))
     in_shared = in_bits(banded, F.col("band"), bit_table(shared, "band")).where("_maybe")
-    members = ws.save(in_shared.join(shared, "band").select("band", "key", "id", "n", "h", "low"))
+    members = ws.save(in_shared.join(shared, "band").select("band", "key", "id", "n", "h", "low", "size"))
     if members.isEmpty():
         return _answer(known, classes, None, id_col)
     candidates = members.select(F.xxhash64("id").alias("h"))
@@ -174,32 +197,38 @@ def near_duplicates(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text
 
     # first the member with the least hash, which is the same in many buckets
     first = members.where("h = low").select("band", F.col("key").alias("hub"), F.col("n").alias("hub_n"))
-    links = ws.save(confirmed(edges(members.join(first, "band")), sets, percent))
-    roots = ws.save(components(ws, links)) if not links.isEmpty() else None
+    links, linked, _ = confirmed(ws, edges(members.join(first, "band")), sets, percent)
+    roots = ws.save(components(ws, links)) if linked else None
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("root", F.col("key"))
+        return rows.join(roots, F.col("key") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "key").alias("root"))
+
     turn, share, done, open_ = 0, SAMPLED, False, None
     while not done:
         turn += 1
         if open_ is not None:
             ws.release(open_)
         ws.tidy()
-        plain = members.select("band", "key", "n", F.xxhash64("key", "band", F.lit(turn)).alias("draw"))
-        owner = plain.withColumn("root", F.col("key")) if roots is None else plain.join(
-            roots, F.col("key") == F.col("node"), "left").select("band", "key", "n", "draw", F.coalesce("root", "key").alias("root"))
+        # the two members of a bucket of two have met already
+        owner = rooted(members.where("size > 2").select("band", "key", "n", F.xxhash64("key", "band", F.lit(turn)).alias("draw")))
         mark = F.xxhash64("root")
         mixed = owner.groupBy("band").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.min("draw").alias("drawn")).where("low <> high")
         open_ = ws.save(owner.join(mixed.select("band", "drawn"), "band"))
         hubs = open_.where("draw = drawn").select("band", F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
         sampled = open_.where(F.pmod(F.xxhash64("draw"), F.lit(share)) == 0)
-        new, seen = ws.save_counted(confirmed(edges(sampled.join(hubs, "band").where("root <> hub_root")), sets, percent))
-        if seen["rows"]:
+        new, linked, asked = confirmed(ws, edges(sampled.join(hubs, "band").where("root <> hub_root")), sets, percent)
+        if linked:
             roots = ws.save(components(ws, new) if roots is None else _merged(ws, new, roots))
-        done, share = not seen["rows"] and share == 1, 1
+        done, share = share == 1 and linked * FEW_LINKS <= asked, 1
     ws.tidy()
-    # the last round has changed no root and compared every hub with all others, so a bucket is open if these differ among themselves
-    others = open_.where("draw <> drawn").groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    left = ws.save(open_.join(others.select("band"), "band").select("key", "n", "root").distinct())
-    new, seen = ws.save_counted(confirmed(_rare_pairs(ws, left, sets, percent), sets, percent))
-    if seen["rows"]:
+    # the last round has compared every hub with all others of its bucket, so a bucket is open if these differ among themselves
+    rest = rooted(open_.where("draw <> drawn").select("band", "key", "n"))
+    others = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = ws.save(rest.join(others.select("band"), "band").select("key", "n", "root").distinct())
+    new, linked, _ = confirmed(ws, _rare_pairs(ws, left, sets, percent), sets, percent)
+    if linked:
         roots = ws.save(components(ws, new) if roots is None else _merged(ws, new, roots))
     ws.release(members, open_, left, sets)
     ws.tidy()
@@ -214,7 +243,7 @@ def _rare_pairs(ws: Workspace, left: DataFrame, sets: DataFrame, percent: int) -
     set needs no more than ``few`` of them, the larger one no more than ``most``.
     """
     n, up = F.col("n"), lambda c: F.ceil(c).cast("bigint")
-    token = left.select("key").join(sets, "key").select("key", F.explode("shingles").alias("token"))
+    token = left.select("key").join(among(ws, sets.select("key", "shingles"), left.select("key")), "key").select("key", F.explode("shingles").alias("token"))
     # a shingle that one set alone has needs a place, but no partner
     counts = ws.save(token.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1"))
     listed = token.join(counts, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("common"))
