@@ -7,10 +7,10 @@ read and the candidates these let through, weighed by what comparing it costs.
 size, so its choice decides about each such pair.
 
 The order comes from counts of all shingles by ``BUCKETS`` buckets of their hashes: frequent shingles stand out of their bucket, and any order gives
-whole results.  Equal sets are one class from the start.  In a list with many members, most pairs would belong to one component; so
-lists first meet one member each, drawn by a hash, until that links little more, and all pairs of different components that remain follow
-exactly.  A pair is compared only if the multi-match holds and its counts of shingles in ``BINS`` bins do not rule out that many
-common ones.
+whole results.  Equal sets are one class from the start, and lists of two classes whose places rule the similarity out are dropped.  In a list
+with many members, most pairs would belong to one component; so lists first meet one member each, drawn by a hash.
+Those of more than two go on until that links little more, and all pairs of different components that remain follow exactly.  A pair is compared only
+if the multi-match holds and its counts of shingles in ``BINS`` bins do not rule out that many common ones.
 
 Shingle sets leave the scan only for classes in such pairs; lists of frequent shingles are cut into blocks for the exact part.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.llm.common import in_pages, pages, share
 from sourceloom.llm.components import components
-from sourceloom.llm.near_dup import set_key, shingle_sets
+from sourceloom.llm.near_dup import among, set_key, shingle_sets
 from sourceloom.session import Workspace
 
 SHINGLE, PERCENT = 5, 80
@@ -143,9 +143,11 @@ class _Join:
         head = F.slice("prefix", F.lit(1), longest_prefix(n, self.percent, 1).cast("int"))
         entry = self.first.select("key", "n", F.posexplode(head).alias("at", "token")).select(
             "token", "key", "n", (F.col("at") + 1).cast("bigint").alias("place"))
-        draw = F.xxhash64("key")
-        counts = self.ws.save(entry.groupBy("token").agg(F.min(draw).alias("low"), F.max(draw).alias("high"), F.count(F.lit(1)).alias("size")).where(
-            "low <> high").select("token", "size"))
+        end = F.struct(F.xxhash64("key").alias("draw"), "n", "place")
+        counts = entry.groupBy("token").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.count(F.lit(1)).alias("size")).where(
+            F.col("low.draw") != F.col("high.draw"))
+        met = self.may_meet(F.col("low.n"), F.col("low.place"), F.col("high.n"), F.col("high.place"))
+        counts = self.ws.save(counts.where((F.col("size") > 2) | met).select("token", "size"))
         near = in_pages(entry, "token", pages(self.ws, counts, "token"), "near").where("near").drop("near")
         lists = self.ws.save(near.join(counts, "token").select("token", "key", "n", "place", "size"))
         self.ws.release(counts)
@@ -164,12 +166,16 @@ class _Join:
         usable = F.filter(F.array(*priced), lambda p: (p["level"] <= need(n, n, self.percent)) | (p["level"] == 1))
         return read.select("key", F.array_min(usable)["level"].alias("level"))
 
-    def fits(self, n: Column, m: Column) -> Column:
-        return (F.least(n, m) * 100) >= (F.greatest(n, m) * self.percent)
+    def may_meet(self, n: Column, place: Column, m: Column, there: Column) -> Column:
+        """Whether sets of n and m that share a shingle at these places may meet the similarity, and list it for l = 1."""
+        least = need(n, m, self.percent)
+        return ((F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & (place <= n - least + 1) & (there <= m - least + 1)
+                & (F.least(place, there) + F.least(n - place, m - there) >= least))
 
     def matched(self, pairs: DataFrame, levels: DataFrame) -> DataFrame:
         """Pairs (a, b), a the smaller set, that share as many shingles of their prefixes as a's level asks and whose bins allow the similarity."""
-        side = lambda end: self.first.select(*[F.col(c).alias(f"{c}_{end}") for c in ("key", "n", "prefix", "bins")])
+        side = lambda end: among(self.ws, self.first, pairs.select(end)).select(
+            *[F.col(c).alias(f"{c}_{end}") for c in ("key", "n", "prefix", "bins")])
         both = pairs.join(levels.withColumnRenamed("key", "a"), "a").join(side("a"), F.col("a") == F.col("key_a")).join(
             side("b"), F.col("b") == F.col("key_b"))
         least = need(F.col("n_a"), F.col("n_b"), self.percent)
@@ -199,7 +205,8 @@ class _Join:
         got = near.select("text").mapInArrow(whole, "key binary, shingles array<bigint>")
         new = self.ws.save(got.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
         self.sets = new if self.sets is None else self.sets.union(new)
-        side = lambda end: self.sets.select(F.col("key").alias(end), F.col("shingles").alias(f"set_{end}"))
+        side = lambda end: among(self.ws, self.sets, pairs.select(end)).select(
+            F.col("key").alias(end), F.col("shingles").alias(f"set_{end}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
         alike = common * 100 >= (F.size("set_a") + F.size("set_b") - common) * self.percent
@@ -255,9 +262,11 @@ def jaccard_components(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", t
     while going:
         # at first the member that comes first in every list alike, then another one in each list
         drawn = F.xxhash64("key") if not turn else F.xxhash64("key", "token", F.lit(turn))
-        owner = _mixed(_rooted(lists.select("token", "key", "n", drawn.alias("draw")), roots), F.min("draw").alias("low"))
-        hubs = owner.where("draw = low").select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-        stars = owner.join(hubs, "token").where((F.col("root") != F.col("other_root")) & join.fits(F.col("n"), F.col("m")))
+        open_ = lists.where("size > 2") if turn else lists  # the members of a list of two have met in the first round
+        owner = _mixed(_rooted(open_.select("token", "key", "n", "place", drawn.alias("draw")), roots), F.min("draw").alias("low"))
+        hubs = owner.where("draw = low").select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("place").alias("there"),
+                                                F.col("root").alias("other_root"))
+        stars = owner.join(hubs, "token").where((F.col("root") != F.col("other_root")) & join.may_meet(*map(F.col, ("n", "place", "m", "there"))))
         pairs, seen = ws.save_counted(_oriented(stars))
         found, linked = join.links(join.matched(pairs, levels))
         if linked:
@@ -265,10 +274,11 @@ def jaccard_components(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", t
         ws.release(pairs, found)
         ws.tidy()
         turn, going = turn + 1, linked * FEW_LINKS > (seen["rows"] or 0)
-    found, linked = join.links(join.matched(_remaining(join, lists, roots), levels))
+    pairs = ws.save(_remaining(join, lists, roots))
+    found, linked = join.links(join.matched(pairs, levels))
     if linked:
         roots = _joined(ws, found, roots)
-    ws.release(lists, join.first)
+    ws.release(pairs, lists, join.first)
     ws.tidy()
     owner = _rooted(join.classes, roots)
     lowest = owner.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -289,8 +299,6 @@ def _remaining(join: _Join, lists: DataFrame, roots: DataFrame | None) -> DataFr
         "token", "key", "n", "place", "root", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"))
     entries = owner.select("token", F.pmod(F.xxhash64("key"), blocks).alias("block"), F.col("key").alias("other"), F.col("n").alias("m"),
                            F.col("place").alias("there"), F.col("root").alias("other_root"))
-    least = need(n, m, percent)
     fit = ((F.col("root") != F.col("other_root")) & (n * 100 >= m * percent) & ((n < m) | ((n == m) & (F.col("key") < F.col("other"))))
-           & (place <= n - least + 1) & (there <= m - least + 1)
-           & (F.least(place, there) + F.least(n - place, m - there) >= least))
+           & join.may_meet(n, place, m, there))
     return readers.join(entries, ["token", "block"]).where(fit).select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
