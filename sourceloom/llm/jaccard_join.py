@@ -8,8 +8,9 @@ size, so its choice decides about each such pair.
 
 The order comes from counts of all shingles by ``BUCKETS`` buckets of their hashes: frequent shingles stand out of their bucket, and any order gives
 whole results.  Equal sets are one class from the start, and lists of two classes whose places rule the similarity out are dropped.  In a list
-with many members, most pairs would belong to one component; so lists first meet one member each, drawn by a hash.
-Those of more than two go on until that links little more, and all pairs of different components that remain follow exactly.  A pair is compared only
+with many members, most pairs would belong to one component; so lists first meet one member each: the one under which the shingle stands
+first.  It has the fewest rarer shingles, and so is the text that a family of near copies was made from, if that is there.  Lists of more than
+two go on with members drawn by a hash until that links little more, and all pairs of different components that remain follow exactly.  A pair is compared only
 if the multi-match holds and its counts of shingles in ``BINS`` bins do not rule out that many common ones.
 
 Shingle sets leave the scan only for classes in such pairs; lists of frequent shingles are cut into blocks for the exact part.
@@ -143,11 +144,13 @@ class _Join:
         head = F.slice("prefix", F.lit(1), longest_prefix(n, self.percent, 1).cast("int"))
         entry = self.first.select("key", "n", F.posexplode(head).alias("at", "token")).select(
             "token", "key", "n", (F.col("at") + 1).cast("bigint").alias("place"))
-        end = F.struct(F.xxhash64("key").alias("draw"), "n", "place")
-        counts = entry.groupBy("token").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.count(F.lit(1)).alias("size")).where(
-            F.col("low.draw") != F.col("high.draw"))
-        met = self.may_meet(F.col("low.n"), F.col("low.place"), F.col("high.n"), F.col("high.place"))
+        # size and place of a list's ends, in one number each; a class stands once in a list, so the ends of a list of two are its members
+        end = F.shiftleft("n", 32).bitwiseOR(F.col("place"))
+        size_of, place_of = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1).cast("bigint")))
+        counts = entry.groupBy("token").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        met = self.may_meet(size_of("low"), place_of("low"), size_of("high"), place_of("high"))
         counts = self.ws.save(counts.where((F.col("size") > 2) | met).select("token", "size"))
+        self.ws.tidy()
         near = in_pages(entry, "token", pages(self.ws, counts, "token"), "near").where("near").drop("near")
         lists = self.ws.save(near.join(counts, "token").select("token", "key", "n", "place", "size"))
         self.ws.release(counts)
@@ -186,6 +189,7 @@ class _Join:
     def links(self, pairs: DataFrame) -> tuple[DataFrame, int]:
         """The pairs whose whole sets meet the similarity, and how many."""
         pairs = self.ws.save(pairs)
+        self.ws.tidy()
         wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
         if self.sets is not None:
             wanted = wanted.join(self.sets, "key", "left_anti")
@@ -260,8 +264,8 @@ def jaccard_components(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", t
     levels = ws.save(join.levels(lists))
     roots, turn, going = None, 0, True
     while going:
-        # at first the member that comes first in every list alike, then another one in each list
-        drawn = F.xxhash64("key") if not turn else F.xxhash64("key", "token", F.lit(turn))
+        # at first the member with the fewest rarer shingles, which is what a family of near copies has in common; then any one in each list
+        drawn = F.struct("place", F.xxhash64("key").alias("hash")) if not turn else F.xxhash64("key", "token", F.lit(turn))
         open_ = lists.where("size > 2") if turn else lists  # the members of a list of two have met in the first round
         owner = _mixed(_rooted(open_.select("token", "key", "n", "place", drawn.alias("draw")), roots), F.min("draw").alias("low"))
         hubs = owner.where("draw = low").select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("place").alias("there"),

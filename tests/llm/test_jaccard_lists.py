@@ -12,3 +12,25 @@ def test_lists_of_two_that_rule_the_similarity_out_are_dropped(spark, ws):
     alike = prose(3, 300)
     join = J._Join(ws, make(spark, [(1, alike, "en"), (2, alike + " more", "en")]), "doc_id", "text", 3, 90)
     assert join.listed().count() > 0
+
+
+def test_a_family_made_from_one_text_leaves_no_pairs_to_the_exact_part(spark, ws, monkeypatch):
+    """Each member is like the text it was made from, and like no other member: the first members to meet their lists must be that text."""
+    left, remaining = [], J._remaining
+
+    def counted(*args):
+        pairs = remaining(*args)
+        left.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(J, "_remaining", counted)
+    base = prose(21, 150).split()
+    rows = [(100, " ".join(base), "en")]
+    for k in range(40):
+        words = list(base)
+        words[3 + 3 * k] = f"one{k}"
+        words[(60 + 3 * k) % 147 + 2] = f"two{k}"
+        rows.append((k, " ".join(words), "en"))
+    found = J.jaccard_components(ws, make(spark, rows), shingle=3, percent=90).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 41
+    assert left == [0]
