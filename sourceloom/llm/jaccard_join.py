@@ -7,7 +7,8 @@ read and the candidates these let through, weighed by what comparing it costs.
 size, so its choice decides about each such pair.
 
 The order comes from counts of all shingles by ``BUCKETS`` buckets of their hashes: frequent shingles stand out of their bucket, and any order gives
-whole results.  Equal sets are one class from the start, and lists of two classes whose places rule the similarity out are dropped.  In a list
+whole results.  Equal sets are one class from the start, lists of two classes whose places rule the similarity out are dropped, and
+so are the members of short lists that no other member may be alike to.  In a list
 with many members, most pairs would belong to one component; so lists first meet one member each: the one under which the shingle stands
 first.  It has the fewest rarer shingles, and so is the text that a family of near copies was made from, if that is there.  Lists of more than
 two go on with members drawn by a hash until that links little more, and all pairs of different components that remain follow exactly.  A pair is compared only
@@ -32,6 +33,7 @@ SHINGLE, PERCENT = 5, 80
 LEVELS = (1, 2, 4, 8)
 BUCKET_BITS = 18  # 262,144 counts are collected and broadcast, whatever the input
 BINS = 32
+SHORT_LIST = 16  # members of a list that are asked for partners before the rounds, all against all
 LIST_BLOCK = 512  # members of a list that one block of the exact part holds
 COMPARE, COMPARE_SHINGLES = 4, 16  # comparing sets costs as much as reading so many list entries, and one more for so many shingles
 FEW_LINKS = 10  # rounds of single members end when fewer than one pair in so many was a link
@@ -155,7 +157,18 @@ class _Join:
         lists = self.ws.save(near.join(counts, "token").select("token", "key", "n", "place", "size"))
         self.ws.release(counts)
         self.ws.tidy()
-        return lists
+        kept = self.ws.save(self.partnered(lists))
+        self.ws.release(lists)
+        self.ws.tidy()
+        return kept
+
+    def partnered(self, lists: DataFrame) -> DataFrame:
+        """The lists without the members of short ones that may meet no other member, and the lengths that are left; long lists stay whole."""
+        held = lists.where(F.col("size") <= SHORT_LIST).groupBy("token").agg(F.collect_list(F.struct("key", "n", "place")).alias("members"))
+        meets = lambda x, y: (x["key"] != y["key"]) & self.may_meet(x["n"], x["place"], y["n"], y["place"])
+        kept = held.select("token", F.filter("members", lambda x: F.exists("members", lambda y: meets(x, y))).alias("members"))
+        short = kept.select("token", F.size("members").cast("bigint").alias("size"), F.explode("members").alias("m")).select("token", "m.*", "size")
+        return lists.where(F.col("size") > SHORT_LIST).unionByName(short)
 
     def levels(self, lists: DataFrame) -> DataFrame:
         """key, level: the prefix extension that costs a set least as the smaller of a pair, by the lengths of its lists."""

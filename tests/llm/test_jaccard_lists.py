@@ -14,6 +14,14 @@ def test_lists_of_two_that_rule_the_similarity_out_are_dropped(spark, ws):
     assert join.listed().count() > 0
 
 
+def test_members_of_short_lists_without_a_partner_are_dropped(spark, ws):
+    """Three classes share a passage; two are alike, the third is too long for both."""
+    alike = "one line in all " + prose(3, 60)
+    rows = [(1, alike, "en"), (2, alike + " more", "en"), (3, "one line in all " + prose(4, 300), "en")]
+    lists = J._Join(ws, make(spark, rows), "doc_id", "text", 3, 90).listed()
+    assert {r.n for r in lists.collect()} == {62, 63} and {r["size"] for r in lists.collect()} == {2}
+
+
 def test_a_family_made_from_one_text_leaves_no_pairs_to_the_exact_part(spark, ws, monkeypatch):
     """Each member is like the text it was made from, and like no other member: the first members to meet their lists must be that text."""
     left, remaining = [], J._remaining
