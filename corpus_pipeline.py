@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.llm import decontamination, exact_dedup, near_dup, packing, toxicity
-from sourceloom.llm.bpe import Vocabulary
 from sourceloom.llm.common import drop_rows, packed_rows, prepare, row_key, table
 from sourceloom.session import Workspace, delete_path, scratch_path
 
@@ -78,7 +77,7 @@ def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of 2048 tokens; null and empty texts are one piece of the end token, every row is packed."""
     ws = _workspace(spark, "packing")
-    return packing.pack(ws, docs, Vocabulary(public_tokenizers.path(VOCABULARY)).prove_whole_tokens())
+    return packing.pack(ws, docs, packing.worker_vocabulary(spark, public_tokenizers.path(VOCABULARY)))
 
 
 STAGES = [

@@ -44,6 +44,16 @@ def pack_ids(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def read_vocabulary(path: str) -> str:
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+def proven_vocabulary(text: str) -> "Vocabulary":
+    """Of the text of a ``tokenizers`` file, its whole tokens proven."""
+    return Vocabulary(text=text).prove_whole_tokens()
+
+
 class Memo(dict):
     """Value of a pre-token, computed when first asked for; ``trim`` bounds what is kept."""
 
@@ -66,9 +76,9 @@ class Memo(dict):
 class Vocabulary:
     """A ``tokenizers`` file, sent to workers as its JSON text and loaded once in each."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            self.text = file.read()
+    def __init__(self, path: str | None = None, text: str | None = None):
+        """From the file, or from its text where the file is not at hand."""
+        self.text = read_vocabulary(path) if text is None else text
         spec = json.loads(self.text)
         split = spec.get("pre_tokenizer") or {}
         self.shortcut = spec.get("normalizer") is None and all(split.get(k) == v for k, v in PATTERN_OF.items())

@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.session import DEFAULTS, Workspace
+from sourceloom.session import DEFAULTS, Workspace, give_back
 
 MOST_BITS = 28
 BITS_PER_KEY = 16
@@ -32,7 +32,12 @@ def share(spark: SparkSession, thing) -> Callable:
 
     It travels by value, so that workers need no copy of this package.
     """
-    sent = spark.sparkContext.broadcast({"packed": cloudpickle.dumps(thing)})
+    return share_packed(spark, cloudpickle.dumps(thing))
+
+
+def share_packed(spark: SparkSession, packed: bytes) -> Callable:
+    """The same for an object that comes packed, and is not unpacked on the driver."""
+    sent = spark.sparkContext.broadcast({"packed": packed})
 
     def get():
         held = sent.value
@@ -43,6 +48,17 @@ def share(spark: SparkSession, thing) -> Callable:
     return get
 
 
+def share_made(spark: SparkSession, make: Callable, *args) -> Callable:
+    """The same for an object of bounded size that a task makes of ``args``; the driver passes its packed form on and never holds it."""
+
+    def packed(values):
+        out = cloudpickle.dumps(make(*values))
+        give_back()
+        return out
+
+    return share_packed(spark, spark.sparkContext.parallelize([args], 1).map(packed).collect()[0])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,15 +16,16 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourceloom.llm.bpe import Vocabulary
-from sourceloom.llm.common import share
+from sourceloom.llm.bpe import Vocabulary, proven_vocabulary, read_vocabulary
+from sourceloom.llm.common import share, share_made
 from sourceloom.session import Workspace
 
 CAPACITY = 2048
@@ -147,10 +148,18 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(column, np.int64) for column in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 4
 
 
-def token_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
+def worker_vocabulary(spark: SparkSession, path: str) -> Callable:
+    """The vocabulary of a file, parsed and proven by a task; the driver only reads the file and passes on what the task has packed."""
+    return share_made(spark, proven_vocabulary, read_vocabulary(path))
+
+
+def token_pieces(docs: DataFrame, vocabulary: Vocabulary | Callable, id_col: str = "doc_id", text_col: str = "text",
                  capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """Pieces of tokenised texts, each text followed by ``end_id``; only longer ones are cut, the first piece may be shorter."""
-    shared = share(docs.sparkSession, vocabulary)
+    """Pieces of tokenised texts, each text followed by ``end_id``; only longer ones are cut, the first piece may be shorter.
+
+    ``vocabulary`` is one, or the shared form of one, which the driver need not hold (see ``worker_vocabulary``).
+    """
+    shared = vocabulary if callable(vocabulary) else share(docs.sparkSession, vocabulary)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["id", "piece", "start", "length", "ids_crc32", "part", "rank"] + ["ids"] * keep_ids
 
@@ -180,7 +189,7 @@ def token_pieces(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
     return rows.mapInArrow(cut, schema + ", ids binary" * keep_ids)
 
 
-def pack(ws: Workspace, docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
+def pack(ws: Workspace, docs: DataFrame, vocabulary: Vocabulary | Callable, id_col: str = "doc_id", text_col: str = "text",
          capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 

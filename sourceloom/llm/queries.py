@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from sourceloom.llm import (decontamination, exact_dedup, filter_audit, jaccard_join, language_id, license_scan, near_dup, packing, personal_data,
                             prefix_trie, token_counts, toxicity, warc)
-from sourceloom.llm.bpe import Vocabulary
 from sourceloom.llm.common import prepare, table
 from sourceloom.session import Workspace
 
@@ -68,7 +67,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(Workspace(spark, "op5"), table(spark, sf_dir, "documents"), Vocabulary(public_tokenizers.path(VOCABULARY)).prove_whole_tokens())
+    return packing.pack(Workspace(spark, "op5"), table(spark, sf_dir, "documents"), packing.worker_vocabulary(spark, public_tokenizers.path(VOCABULARY)))
 
 
 @query("op6_license_scan", """

@@ -78,6 +78,15 @@ def move_path(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} could not be moved to {to}")
 
 
+def give_back() -> None:
+    """What Python has freed goes back to the system, where the C library can do that."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 class Workspace:
     """Written tables that cut the lineage of an iterative job.
 
@@ -116,15 +125,10 @@ class Workspace:
     def tidy(self) -> None:
         """Let go of the plans of finished rounds, so that Spark's cleaner deletes their shuffle files and broadcasts now.
 
-        It does so when the driver collects its garbage, which may otherwise be many rounds later.  What Python has freed goes back to the
-        system where the C library can do that.
+        It does so when the driver collects its garbage, which may otherwise be many rounds later.
         """
-        gc.collect()
+        give_back()
         self.spark.sparkContext._jvm.System.gc()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass
 
     def close(self) -> None:
         """Delete all tables of the job, once its result has been written elsewhere."""

@@ -104,3 +104,14 @@ def test_plan_is_close_to_the_bound():
     used = sum(times for _, times in packing.configuration_plan(histogram))
     large = sum(k for n, k in histogram.items() if n > 1024)
     assert used <= 1.01 * max(sum(n * k for n, k in histogram.items()) / 2048, large)
+
+
+def test_the_pipeline_packs_without_a_tokenizer_on_the_driver(spark, edges, monkeypatch):
+    """The vocabulary is parsed and proven by a task; the driver only passes on what that has packed."""
+    import corpus_pipeline
+
+    monkeypatch.setattr("tokenizers.Tokenizer", None)
+    rows = corpus_pipeline.packed(spark, edges, "").collect()
+    while corpus_pipeline._open:
+        corpus_pipeline._open.pop().close()
+    assert sum(r.length for r in rows) == sum(len(ids(t)) + 1 for _, t, _ in edge_rows())
