@@ -9,16 +9,21 @@ size, so its choice decides about each such pair.
 The order comes from counts of all shingles by ``BUCKETS`` buckets of their hashes: frequent shingles stand out of their bucket, and any order gives
 whole results.  Equal sets are one class from the start, lists of two classes whose places rule the similarity out are dropped, and
 so are the members of short lists that no other member may be alike to.  In a list
-with many members, most pairs would belong to one component; so lists first meet one member each: the one under which the shingle stands
-first.  It has the fewest rarer shingles, and so is the text that a family of near copies was made from, if that is there.  Lists of more than
-two go on with members drawn by a hash until that links little more, and all pairs of different components that remain follow exactly.  A pair is compared only
-if the multi-match holds and its counts of shingles in ``BINS`` bins do not rule out that many common ones.
-
-Shingle sets leave the scan only for classes in such pairs; lists of frequent shingles are cut into blocks for the exact part.
+with many members, most pairs would belong to one component; so long lists first meet one member each: the one under which the shingle stands
+first.  It has the fewest rarer shingles, and so is the text that a family of near copies was made from, if that is there.  They
+go on with members drawn by a hash until that links little more.  All pairs of different components that remain follow exactly, and with them those of
+short lists, which stand in one row each: first one partner of each set, then all that are still apart.  A pair is compared only
+if its sketches and the multi-match allow the similarity.  A sketch has a bit for each remainder of the hashes, which says whether an odd number of
+shingles has it: two sets differ in at least as many shingles as their sketches do in bits.  It is much shorter than the prefix, so it is asked first.
+
+Prefixes and shingle sets leave the scan only for classes in such pairs, or to find one of several equal sets; lists of frequent shingles are cut into
+blocks for the exact part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,8 +37,8 @@ from sourceloom.session import Workspace
 SHINGLE, PERCENT = 5, 80
 LEVELS = (1, 2, 4, 8)
 BUCKET_BITS = 18  # 262,144 counts are collected and broadcast, whatever the input
-BINS = 32
-SHORT_LIST = 16  # members of a list that are asked for partners before the rounds, all against all
+SKETCH = 4  # bits of a sketch for each shingle that equal sets may differ in, or up to twice as many
+SHORT_LIST = 16  # members of a list that stands in one row, all against all
 LIST_BLOCK = 512  # members of a list that one block of the exact part holds
 COMPARE, COMPARE_SHINGLES = 4, 16  # comparing sets costs as much as reading so many list entries, and one more for so many shingles
 FEW_LINKS = 10  # rounds of single members end when fewer than one pair in so many was a link
@@ -54,6 +59,31 @@ def longest_prefix(n, percent: int, level: int):
     return n - need(n, _up(n * percent, 100), percent) + level
 
 
+def may_differ(n, m, percent: int):
+    """Most shingles that only one of two sets of n and m at the similarity has."""
+    return n + m - 2 * need(n, m, percent)
+
+
+def sketch(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Bits, 64 in a word, a power of two in number: whether an odd number of shingles has the remainder."""
+    n = len(shingles)
+    bits = 1 << max(6, (SKETCH * int(may_differ(n, n, percent)) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differing(a: str, b: str) -> Column:
+    """Bits in which two sketches differ; the longer one is folded to the length of the other, as if it had been made so."""
+    length = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def folded(words):
+        more = F.when(F.size(words) > length, F.sequence(F.lit(1), (F.size(words) / length).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(more, F.slice(words, F.lit(1), length), lambda held, k: F.zip_with(held, F.slice(words, k * length + 1, length), xor))
+
+    return F.aggregate(F.zip_with(folded(a), folded(b), xor), F.lit(0), lambda held, x: held + F.bit_count(x))
+
+
 def counted_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """Per row id, n_shingles, key; and for each task rows with counts by bucket, whose key and n_shingles are null."""
 
@@ -96,14 +126,13 @@ def frequencies(counted: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(docs: DataFrame, text_col: str, shingle: int, percent: int, frequency: np.ndarray) -> DataFrame:
-    """Per text with shingles: key, n, prefix (its first shingles in the common order), bins."""
-    get = share(docs.sparkSession, frequency)
+def prefixes(texts: DataFrame, shingle: int, percent: int, get: Callable) -> DataFrame:
+    """Per text with shingles: key, n, prefix (its first shingles in the common order), sketch; ``get`` gives the counts by bucket."""
 
     def prefix(batches):
         for batch in batches:
             sets = [s for s in shingle_sets(batch.column(0), shingle) if len(s)]
-            firsts, bins = [], []
+            firsts = []
             for s in sets:
                 n = len(s)
                 length = min(n, int(longest_prefix(n, percent, LEVELS[-1])))
@@ -114,17 +143,29 @@ def prefixes(docs: DataFrame, text_col: str, shingle: int, percent: int, frequen
                 else:
                     order = np.lexsort((s, often))
                 firsts.append(s[order])
-                bins.append(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS))
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-            flat = np.concatenate(firsts).view(np.int64) if firsts else np.zeros(0, np.int64)
-            held = np.concatenate(bins).astype(np.int32) if bins else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, BINS * (len(sets) + 1), BINS, dtype=np.int32)), pa.array(held))],
-                names=["key", "n", "prefix", "bins"])
+                 _lists([f.view(np.int64) for f in firsts]), _lists([sketch(s, percent) for s in sets])],
+                names=["key", "n", "prefix", "sketch"])
+
+    return texts.mapInArrow(prefix, "key binary, n bigint, prefix array<bigint>, sketch array<bigint>")
+
+
+def whole_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """Per text with shingles: key, shingles."""
+
+    def whole(batches):
+        for batch in batches:
+            sets = [s for s in shingle_sets(batch.column(0), shingle) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_key(s) for s in sets], pa.binary()), _lists([s.view(np.int64) for s in sets])], names=["key", "shingles"])
+
+    return texts.mapInArrow(whole, "key binary, shingles array<bigint>")
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(prefix, "key binary, n bigint, prefix array<bigint>, bins array<int>")
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
 class _Join:
@@ -135,11 +176,22 @@ class _Join:
         self.id_col, self.text_col, self.shingle = id_col, text_col, shingle
         counted = ws.save(counted_sets(docs, id_col, text_col, shingle))
         self.known = counted.where("n_shingles IS NOT NULL").select("id", "n_shingles", "key")
-        self.classes = ws.save(self.known.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least")))
-        self.sets = None
-        self.first = ws.save(prefixes(docs, text_col, shingle, percent, frequencies(counted)).dropDuplicates(["key"]))
+        self.classes = ws.save(self.known.where("key IS NOT NULL").groupBy("key").agg(
+            F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")))
+        ids = among(ws, self.known, self.classes.where("rows > 1").select("key")).select(F.xxhash64("id").alias("h"))
+        self.copied = pages(ws, ws.save(ids), "h")
+        self.texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
+        self.short, self.long, self.sets = None, None, None
+        get = share(docs.sparkSession, frequencies(counted))
+        self.first = ws.save(self.one_each(self.texts, lambda texts: prefixes(texts, shingle, percent, get)))
         ws.tidy()
 
+    def one_each(self, rows: DataFrame, made: Callable) -> DataFrame:
+        """What ``made`` makes of the texts of ``rows`` (text, h: hash of the id), one row a class; only ids that stand in a class of several rows are shuffled."""
+        marked = in_pages(rows, "h", self.copied, "copied")
+        alone, copied = (made(marked.where(which).select("text")) for which in ("NOT copied", "copied"))
+        return alone.unionByName(copied.dropDuplicates(["key"]))
+
     def listed(self) -> DataFrame:
         """token, key, n, place, size: the lists of the tokens of more than one class, for partners of any size and l = 1."""
         n = F.col("n")
@@ -157,18 +209,26 @@ class _Join:
         lists = self.ws.save(near.join(counts, "token").select("token", "key", "n", "place", "size"))
         self.ws.release(counts)
         self.ws.tidy()
-        kept = self.ws.save(self.partnered(lists))
+        self.short, self.long = self.ws.save(self.partnered(lists)), self.ws.save(lists.where(F.col("size") > SHORT_LIST))
         self.ws.release(lists)
         self.ws.tidy()
-        return kept
+        short = self.short.select("token", F.size("members").cast("bigint").alias("size"), F.explode("members").alias("m"))
+        return self.long.unionByName(short.select("token", "m.*", "size"))
 
     def partnered(self, lists: DataFrame) -> DataFrame:
-        """The lists without the members of short ones that may meet no other member, and the lengths that are left; long lists stay whole."""
+        """token, members: the short lists, without members that may meet no other one."""
         held = lists.where(F.col("size") <= SHORT_LIST).groupBy("token").agg(F.collect_list(F.struct("key", "n", "place")).alias("members"))
         meets = lambda x, y: (x["key"] != y["key"]) & self.may_meet(x["n"], x["place"], y["n"], y["place"])
         kept = held.select("token", F.filter("members", lambda x: F.exists("members", lambda y: meets(x, y))).alias("members"))
-        short = kept.select("token", F.size("members").cast("bigint").alias("size"), F.explode("members").alias("m")).select("token", "m.*", "size")
-        return lists.where(F.col("size") > SHORT_LIST).unionByName(short)
+        return kept.where(F.size("members") > 0)
+
+    def met_in_short(self) -> DataFrame:
+        """All pairs (a, b), a the smaller set, that may meet in a short list."""
+        smaller = lambda x, y: (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["key"] < y["key"]))
+        meets = lambda x, y: smaller(x, y) & self.may_meet(x["n"], x["place"], y["n"], y["place"])
+        partners = F.transform("members", lambda x: F.struct(
+            x["key"].alias("a"), F.transform(F.filter("members", lambda y: meets(x, y)), lambda y: y["key"]).alias("others")))
+        return self.short.select(F.explode(partners).alias("p")).select("p.a", F.explode("p.others").alias("b")).distinct()
 
     def levels(self, lists: DataFrame) -> DataFrame:
         """key, level: the prefix extension that costs a set least as the smaller of a pair, by the lengths of its lists."""
@@ -188,16 +248,24 @@ class _Join:
         return ((F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & (place <= n - least + 1) & (there <= m - least + 1)
                 & (F.least(place, there) + F.least(n - place, m - there) >= least))
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sketches differ in no more bits than sets at the similarity may differ in shingles."""
+        side = lambda end: among(self.ws, self.first.select("key", "n", "sketch"), pairs.select(end)).select(
+            F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        kept = self.ws.save(both.where(differing("sketch_a", "sketch_b") <= may_differ(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b"))
+        self.ws.tidy()
+        return kept
+
     def matched(self, pairs: DataFrame, levels: DataFrame) -> DataFrame:
-        """Pairs (a, b), a the smaller set, that share as many shingles of their prefixes as a's level asks and whose bins allow the similarity."""
-        side = lambda end: among(self.ws, self.first, pairs.select(end)).select(
-            *[F.col(c).alias(f"{c}_{end}") for c in ("key", "n", "prefix", "bins")])
-        both = pairs.join(levels.withColumnRenamed("key", "a"), "a").join(side("a"), F.col("a") == F.col("key_a")).join(
-            side("b"), F.col("b") == F.col("key_b"))
+        """Possible pairs (a, b), a the smaller set, that share as many shingles of their prefixes as a's level asks."""
+        pairs = self.possible(pairs)
+        side = lambda end: among(self.ws, self.first.select("key", "n", "prefix"), pairs.select(end)).select(
+            F.col("key").alias(end), F.col("n").alias(f"n_{end}"), F.col("prefix").alias(f"prefix_{end}"))
+        both = pairs.join(levels.withColumnRenamed("key", "a"), "a").join(side("a"), "a").join(side("b"), "b")
         least = need(F.col("n_a"), F.col("n_b"), self.percent)
         head = lambda end: F.slice(f"prefix_{end}", F.lit(1), (F.col(f"n_{end}") - least + F.col("level")).cast("int"))
-        room = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-        return both.where(room >= least).where(F.size(F.array_intersect(head("a"), head("b"))) >= F.col("level")).select("a", "b")
+        return both.where(F.size(F.array_intersect(head("a"), head("b"))) >= F.col("level")).select("a", "b")
 
     def links(self, pairs: DataFrame) -> tuple[DataFrame, int]:
         """The pairs whose whole sets meet the similarity, and how many."""
@@ -207,27 +275,17 @@ class _Join:
         if self.sets is not None:
             wanted = wanted.join(self.sets, "key", "left_anti")
         wanted = self.ws.save(wanted.join(self.classes, "key"))
-        texts = self.docs.select(F.col(self.text_col).alias("text"), F.xxhash64(F.col(self.id_col)).alias("h"))
-        near = in_pages(texts, "h", pages(self.ws, wanted.select(F.xxhash64("least").alias("h")), "h"), "near").where("near")
-
-        def whole(batches, shingle=self.shingle):
-            for batch in batches:
-                held = [s for s in shingle_sets(batch.column(0), shingle) if len(s)]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in held])]).astype(np.int32)
-                flat = np.concatenate(held).view(np.int64) if held else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_key(s) for s in held], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["key", "shingles"])
-
-        got = near.select("text").mapInArrow(whole, "key binary, shingles array<bigint>")
-        new = self.ws.save(got.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+        near = in_pages(self.texts, "h", pages(self.ws, wanted.select(F.xxhash64("least").alias("h")), "h"), "near").where("near").drop("near")
+        new = self.one_each(near, lambda texts: whole_sets(texts, self.shingle))
+        new = self.ws.save(among(self.ws, new, wanted.select("key")))  # with few others, which an earlier round may have too
+        self.ws.tidy()
         self.sets = new if self.sets is None else self.sets.union(new)
         side = lambda end: among(self.ws, self.sets, pairs.select(end)).select(
             F.col("key").alias(end), F.col("shingles").alias(f"set_{end}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
         alike = common * 100 >= (F.size("set_a") + F.size("set_b") - common) * self.percent
-        found, seen = self.ws.save_counted(both.where(alike).select("a", "b"))
+        found, seen = self.ws.save_counted(both.where(alike).select("a", "b").distinct())
         return found, seen["rows"] or 0
 
 
@@ -275,12 +333,12 @@ def jaccard_components(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", t
     join = _Join(ws, docs, id_col, text_col, shingle, percent)
     lists = join.listed()
     levels = ws.save(join.levels(lists))
+    ws.tidy()
     roots, turn, going = None, 0, True
     while going:
         # at first the member with the fewest rarer shingles, which is what a family of near copies has in common; then any one in each list
         drawn = F.struct("place", F.xxhash64("key").alias("hash")) if not turn else F.xxhash64("key", "token", F.lit(turn))
-        open_ = lists.where("size > 2") if turn else lists  # the members of a list of two have met in the first round
-        owner = _mixed(_rooted(open_.select("token", "key", "n", "place", drawn.alias("draw")), roots), F.min("draw").alias("low"))
+        owner = ws.save(_mixed(_rooted(join.long.select("token", "key", "n", "place", drawn.alias("draw")), roots), F.min("draw").alias("low")))
         hubs = owner.where("draw = low").select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("place").alias("there"),
                                                 F.col("root").alias("other_root"))
         stars = owner.join(hubs, "token").where((F.col("root") != F.col("other_root")) & join.may_meet(*map(F.col, ("n", "place", "m", "there"))))
@@ -288,14 +346,19 @@ def jaccard_components(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", t
         found, linked = join.links(join.matched(pairs, levels))
         if linked:
             roots = _joined(ws, found, roots)
-        ws.release(pairs, found)
+        ws.release(owner, pairs, found)
         ws.tidy()
         turn, going = turn + 1, linked * FEW_LINKS > (seen["rows"] or 0)
-    pairs = ws.save(_remaining(join, lists, roots))
-    found, linked = join.links(join.matched(pairs, levels))
-    if linked:
-        roots = _joined(ws, found, roots)
-    ws.release(pairs, lists, join.first)
+    pairs = ws.save(_remaining(join, roots))
+    ws.tidy()
+    likely = ws.save(join.matched(pairs, levels))
+    # one partner each, as most of the others are in one component then
+    some = ws.save(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    for last in (False, True):
+        found, linked = join.links(_apart(likely.join(some, ["a", "b"], "left_anti"), roots) if last else some)
+        if linked:
+            roots = _joined(ws, found, roots)
+    ws.release(pairs, likely, some, join.short, join.long, join.first)
     ws.tidy()
     owner = _rooted(join.classes, roots)
     lowest = owner.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -306,10 +369,19 @@ def jaccard_components(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", t
     return linked.union(alone).withColumnRenamed("id", id_col)
 
 
-def _remaining(join: _Join, lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    if roots is None:
+        return pairs
+    top = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    rooted = pairs.join(top("a"), "a", "left").join(top("b"), "b", "left")
+    return rooted.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _remaining(join: _Join, roots: DataFrame | None) -> DataFrame:
     """All pairs (a, b) of different components, a the smaller, that share a shingle of their prefixes for l = 1."""
     percent = join.percent
-    owner = _mixed(_rooted(lists, roots)) if roots is not None else lists.withColumn("root", F.col("key"))
+    owner = join.long.withColumn("root", F.col("key")) if roots is None else join.ws.save(_mixed(join.ws.save(_rooted(join.long, roots))))
     blocks = _up(F.col("size"), LIST_BLOCK)
     n, m, place, there = F.col("n"), F.col("m"), F.col("place"), F.col("there")
     readers = owner.where(place <= n - need(n, n, percent) + 1).select(
@@ -318,4 +390,5 @@ def _remaining(join: _Join, lists: DataFrame, roots: DataFrame | None) -> DataFr
                            F.col("place").alias("there"), F.col("root").alias("other_root"))
     fit = ((F.col("root") != F.col("other_root")) & (n * 100 >= m * percent) & ((n < m) | ((n == m) & (F.col("key") < F.col("other"))))
            & join.may_meet(n, place, m, there))
-    return readers.join(entries, ["token", "block"]).where(fit).select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
+    met = readers.join(entries, ["token", "block"]).where(fit).select(F.col("key").alias("a"), F.col("other").alias("b"))
+    return met.union(_apart(join.met_in_short(), roots)).distinct()
